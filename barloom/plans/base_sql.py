@@ -99,3 +99,45 @@ EVENTS_CTE = ", ".join([
     flips("ev_m", "macd", "macd_line", "macd_signal", "macd"), BANDS_CTE, BREAKS,
     "evs AS MATERIALIZED (SELECT * FROM ev_s UNION ALL SELECT * FROM ev_m UNION ALL SELECT * FROM breaks)",
 ])
+
+MEMBERS = """, mem AS MATERIALIZED (SELECT DISTINCT 'basket' || (regexp_extract(p_brand, '([0-9]+)', 1)::INT % 5) AS basket, p_brand AS symbol,
+    (1 + regexp_extract(p_brand, '([0-9]+)', 1)::INT % 3)::DOUBLE AS weight FROM part)"""
+
+
+def aligned(n: int | None) -> str:
+    cut = "" if n is None else f"QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= {n}"
+    return f"""{MEMBERS}, arec AS (SELECT symbol, ts, ret FROM rets {cut}),
+  aj AS (SELECT basket, symbol, ts, ret FROM arec JOIN mem USING (symbol) WHERE ret IS NOT NULL),
+  aligned AS MATERIALIZED (SELECT basket, symbol, ts, ret FROM aj JOIN (SELECT basket, count(DISTINCT symbol) AS size FROM aj GROUP BY basket) USING (basket)
+    QUALIFY count(*) OVER (PARTITION BY basket, ts) = size AND size >= 2)"""
+
+
+PREP = ", ".join([SMA_CTE, MACD_CTE, BANDS_CTE, RSI_CTE, """prep AS MATERIALIZED (
+  SELECT b.symbol, b.ts, b.close, sma_20, macd_line, macd_signal, bb_upper, bb_lower, zscore, rsi,
+         b.close / lag(b.close) OVER (PARTITION BY b.symbol ORDER BY b.ts) - 1 AS r,
+         row_number() OVER (PARTITION BY b.symbol ORDER BY b.ts) - 1 AS i, count(*) OVER (PARTITION BY b.symbol) AS n
+  FROM bars b JOIN sma USING (symbol, ts) JOIN macd USING (symbol, ts) JOIN bands USING (symbol, ts) JOIN rsi USING (symbol, ts)
+  QUALIFY n >= 22)"""])
+
+
+def kinds(src: str, key: str, name: str = "kinds") -> str:
+    """Event kinds firing on each bar of each series."""
+    w = f"(PARTITION BY {key} ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""{name} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN s1 <> last_value(s1 IGNORE NULLS) OVER {w} THEN s1 END AS s1,
+    CASE WHEN s2 <> last_value(s2 IGNORE NULLS) OVER {w} THEN s2 END AS s2, CASE WHEN s3 <> last_value(s3 IGNORE NULLS) OVER {w} THEN s3 END AS s3)
+  FROM (SELECT *, CASE WHEN close > sma_20 THEN 'bullish' WHEN close <= sma_20 THEN 'bearish' END AS s1,
+    CASE WHEN macd_line > macd_signal THEN 'bullish' WHEN macd_line <= macd_signal THEN 'bearish' END AS s2,
+    CASE WHEN close > bb_upper THEN 'upper' WHEN close < bb_lower THEN 'lower' WHEN bb_upper IS NOT NULL THEN 'inside' END AS s3 FROM {src}))"""
+
+
+def held(src: str, key: str, entry: str, exit_: str, bps: float, name: str = "held") -> str:
+    w = f"(PARTITION BY {key} ORDER BY ts)"
+    return f"""{name}_p AS (SELECT *, coalesce(last_value(sig IGNORE NULLS) OVER {w}, 0) AS position FROM (
+    SELECT *, coalesce({entry}, false) AS entry, coalesce({exit_}, false) AS exit,
+           CASE WHEN coalesce({exit_}, false) THEN 0 WHEN coalesce({entry}, false) THEN 1 END AS sig FROM {src})),
+  {name} AS MATERIALIZED (SELECT *, before * r AS strategy_r, position - before AS moved, abs(position - before) * {bps} / 10000.0::DOUBLE AS cost,
+    before * r - abs(position - before) * {bps} / 10000.0::DOUBLE AS net_r FROM (SELECT *, lag(position) OVER {w} AS before FROM {name}_p))"""
+
+
+CLASSIC = ("zscore < -2", "zscore > 0")
+MIXED = ("rsi < 35 OR s2 = 'bullish'", "s3 = 'upper' OR s1 = 'bearish'")

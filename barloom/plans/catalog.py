@@ -1,8 +1,8 @@
 """All registered queries."""
 
-from barloom.plans import technical  # noqa: F401
+from barloom.plans import backtest, portfolio, risk, technical  # noqa: F401
 from barloom.plans.registry import QUERIES, SQL
 
-FLAGSHIP = "ind_rsi"
+FLAGSHIP = "risk_metrics"
 
 __all__ = ["FLAGSHIP", "QUERIES", "SQL"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom import params as P
-from barloom.functions.series import rounded
+from barloom.functions.series import bands, rounded
 from barloom.operators import events as ev
 from barloom.operators import indicators as ti
 from barloom.plans.base_sql import (
@@ -112,11 +112,11 @@ def _(spark, sf):
   di AS MATERIALIZED (SELECT dm.symbol, dm.ts, a1.rn, 100 / a * p AS plus_di, 100 / a * m AS minus_di FROM dm JOIN a1 USING (symbol, ts)),
   dx AS MATERIALIZED (SELECT symbol, ts, rn, 100 * abs(plus_di - minus_di) / (plus_di + minus_di) AS dx FROM di),
   {recur('ax', 'dx', {'adx': ('dx', 1 / 14)})}
-  SELECT b.symbol, b.ts, round(plus_di, 5) AS plus_di, round(minus_di, 5) AS minus_di, round(adx, 5) AS adx, adx >= 25 AS trending
+  SELECT b.symbol, b.ts, round(plus_di, 5) AS plus_di, round(minus_di, 5) AS minus_di, round(adx, 5) AS adx, CASE WHEN adx >= 25 THEN 'trending' WHEN adx IS NOT NULL THEN 'ranging' END AS trend
   FROM bars b LEFT JOIN di USING (symbol, ts) LEFT JOIN ax USING (symbol, ts)""")
 def _(spark, sf):
-    out = ti.adx(bars_daily(spark, sf)).withColumn("trending", F.col("adx") >= P.ADX_TREND)
-    return rounded(out.select("symbol", "ts", "plus_di", "minus_di", "adx", "trending"), 5)
+    out = ti.adx(bars_daily(spark, sf)).withColumn("trend", bands(F.col("adx"), [(">=", P.ADX_TREND, "trending")], "ranging"))
+    return rounded(out.select("symbol", "ts", "plus_di", "minus_di", "adx", "trend"), 5)
 
 
 def _mid(n):

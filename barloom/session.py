@@ -13,6 +13,7 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str
         .appName("barloom")
         .config("spark.driver.memory", os.environ.get("BARLOOM_MEMORY", memory))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))

@@ -52,3 +52,15 @@ def bars_hourly(spark: SparkSession, folder: str) -> DataFrame:
 def benchmark(daily: DataFrame) -> DataFrame:
     """Equal-weight mean close per date: (ts, bench)."""
     return daily.groupBy("ts").agg(F.avg("close").alias("bench"))
+
+
+def brand_number(symbol: str = "symbol"):
+    return F.regexp_extract(F.col(symbol), r"(\d+)", 1).cast("int")
+
+
+def baskets(spark: SparkSession, folder: str) -> DataFrame:
+    """members(basket, symbol, weight): every brand belongs to one of five baskets."""
+    names = table(spark, folder, "part").select(F.col("p_brand").alias("symbol")).distinct()
+    n = brand_number()
+    return names.select(
+        F.concat(F.lit("basket"), (n % 5).cast("string")).alias("basket"), "symbol", (1.0 + n % 3).alias("weight"))
