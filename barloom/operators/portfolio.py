@@ -109,7 +109,7 @@ def uniform(*parts: Column) -> Column:
 
 def candidates(names: DataFrame, n: int = 500) -> DataFrame:
     """Long-only weight vectors: equal weight (0), then seeded draws from the flat Dirichlet."""
-    draw = names.withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(n))).cast("long"))
+    draw = names.withColumn("candidate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long"))))
     raw = F.when(F.col("candidate") == 0, 1.0).otherwise(-F.log(uniform(F.col("candidate"), F.col("symbol"))))
     part = Window.partitionBy("basket", "candidate")
     return draw.withColumn("_e", raw).withColumn("weight", F.col("_e") / F.sum("_e").over(part)).drop("_e")

@@ -64,3 +64,18 @@ def baskets(spark: SparkSession, folder: str) -> DataFrame:
     n = brand_number()
     return names.select(
         F.concat(F.lit("basket"), (n % 5).cast("string")).alias("basket"), "symbol", (1.0 + n % 3).alias("weight"))
+
+
+def lots(spark: SparkSession, folder: str) -> DataFrame:
+    """lots(portfolio, symbol, purchase_date, shares, cost): the purchases of a customer segment, summed per day."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("purchase_date"))
+    owners = table(spark, folder, "customer").select("c_custkey", F.col("c_mktsegment").alias("portfolio"))
+    lines = table(spark, folder, "lineitem").where(F.col("l_quantity") > 0)
+    parts = table(spark, folder, "part").select("p_partkey", F.col("p_brand").alias("symbol"))
+    bought = (
+        lines.join(parts, lines.l_partkey == parts.p_partkey).join(orders, lines.l_orderkey == orders.o_orderkey)
+        .join(owners, F.col("o_custkey") == F.col("c_custkey"))
+    )
+    price = 100 + 0.05 * F.sqrt(F.col("l_extendedprice") / F.col("l_quantity"))
+    return bought.groupBy("portfolio", "symbol", "purchase_date").agg(
+        F.sum("l_quantity").alias("shares"), F.sum(F.col("l_quantity") * price).alias("cost"))
