@@ -1,16 +1,18 @@
 """SQL fragments that repeat the table derivations of ``barloom.sources``."""
 
-BARS = """
+TICKS = """
 ticks AS (
   SELECT p_brand AS symbol, l_shipdate AS ts,
          l_orderkey * 8192 + l_linenumber * 1024 + l_partkey % 1024 AS seq,
          100 + 0.05 * sqrt(l_extendedprice / l_quantity) AS price, l_quantity AS qty
-  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 0),
+  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 0)"""
+FROM_TICKS = """
 bars AS MATERIALIZED (
   SELECT symbol, ts, arg_min(price, seq) AS open, max(price) AS high, min(price) AS low,
          arg_max(price, seq) AS close, sum(qty) AS volume
   FROM ticks GROUP BY symbol, ts)
 """
+BARS = f"{TICKS}, {FROM_TICKS}"
 
 HOURLY = """
 eticks AS (
@@ -23,10 +25,11 @@ hourly AS MATERIALIZED (
   FROM eticks GROUP BY symbol, ts)
 """
 
-RETURNS = BARS + """,
+RETS = """
 rets AS MATERIALIZED (
   SELECT symbol, ts, close, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY ts)) AS ret FROM bars)
 """
+RETURNS = f"{BARS}, {RETS}"
 BENCH = ", bench AS MATERIALIZED (SELECT ts, avg(close) AS bench FROM bars GROUP BY ts)"
 
 

@@ -14,7 +14,7 @@ st AS MATERIALIZED (SELECT symbol, k, make_date(yr, 12, 31) AS period_end, rev A
   CASE WHEN k % 9 <> 4 THEN tax END AS tax, 1.5::DOUBLE * ext AS ta, CASE WHEN k % 15 <> 6 THEN 0.5::DOUBLE * ext + 50 * qty END AS ca, 0.3::DOUBLE * ext AS cl,
   CASE WHEN k % 17 <> 6 THEN eq END AS eq, CASE WHEN k % 6 <> 5 THEN 1.5::DOUBLE * ext - eq END AS tl, CASE WHEN k % 12 <> 5 THEN 1.2::DOUBLE * ext - eq END AS ncl,
   CASE WHEN k % 8 <> 1 THEN 0.4::DOUBLE * ext END AS debt, 0.2::DOUBLE * rev AS re, CASE WHEN k % 5 <> 1 THEN 0.1::DOUBLE * ext END AS inv,
-  CASE WHEN k % 4 <> 3 THEN 0.1::DOUBLE * ext END AS cash1, 0.12::DOUBLE * ext AS cash2, CASE WHEN k % 14 <> 9 THEN oi * 0.6::DOUBLE END AS fcf,
+  CASE WHEN k % 4 <> 3 THEN 0.1::DOUBLE * ext END AS cash1, 0.12::DOUBLE * ext AS cash2, CASE WHEN (k + yr) % 4 <> 2 AND k % 13 <> 3 THEN 20000::DOUBLE + 1000 * (k % 7) END AS osn, CASE WHEN k % 26 <> 3 THEN 21000::DOUBLE + 1000 * (k % 7) END AS iss, CASE WHEN k % 14 <> 9 THEN oi * 0.6::DOUBLE END AS fcf,
   CASE WHEN k % 10 <> 7 THEN 0.05::DOUBLE * ext END AS da1, 0.04::DOUBLE * ext AS da2, -0.06::DOUBLE * rev AS capex,
   CASE WHEN k % 10 <> 2 THEN -0.02::DOUBLE * ext END AS nwc FROM op2)"""
 

@@ -34,11 +34,11 @@ def cols(names, digits):
     return ", ".join(f"round({n}, {digits}) AS {n}" for n in names)
 
 
-@query("fa_statements", f"""WITH {YEARLY}, {ST}, u AS (UNPIVOT (SELECT symbol, period_end, revenue, ebit_line, oi, ni, ta, eq, debt, fcf, nwc FROM st) ON revenue, ebit_line, oi, ni, ta, eq, debt, fcf, nwc INTO NAME col VALUE value)
-  SELECT symbol, statement, item, period_end::TIMESTAMP AS period, round(value, 4) AS value FROM u JOIN (VALUES ('revenue', 'income', 'Total Revenue'), ('ebit_line', 'income', 'EBIT'), ('oi', 'income', 'Operating Income'),
-    ('ni', 'income', 'Net Income'), ('ta', 'balance', 'Total Assets'), ('eq', 'balance', 'Stockholders Equity'), ('debt', 'balance', 'Total Debt'), ('fcf', 'cash', 'Free Cash Flow'), ('nwc', 'cash', 'Change In Working Capital')) m(col, statement, item) USING (col)""")
+@query("fa_statements", f"""WITH {YEARLY}, {ST}, u AS (UNPIVOT (SELECT symbol, period_end, revenue, oi, ta, eq, debt, fcf, nwc FROM st) ON revenue, oi, ta, eq, debt, fcf, nwc INTO NAME col VALUE value)
+  SELECT symbol, statement, item, period_end::TIMESTAMP AS period, round(value, 4) AS value FROM u JOIN (VALUES ('revenue', 'income', 'Total Revenue'), ('oi', 'income', 'Operating Income'),
+    ('ta', 'balance', 'Total Assets'), ('eq', 'balance', 'Stockholders Equity'), ('debt', 'balance', 'Total Debt'), ('fcf', 'cash', 'Free Cash Flow'), ('nwc', 'cash', 'Change In Working Capital')) m(col, statement, item) USING (col)""")
 def _(spark, sf):
-    shown = ("Total Revenue", "EBIT", "Operating Income", "Net Income", "Total Assets", "Stockholders Equity", "Total Debt", "Free Cash Flow", "Change In Working Capital")
+    shown = ("Total Revenue", "Operating Income", "Total Assets", "Stockholders Equity", "Total Debt", "Free Cash Flow", "Change In Working Capital")
     out = statements(yearly(spark, sf)).where(F.col("item").isin(*shown))
     return rounded(out.select("symbol", "statement", "item", F.col("period_end").cast("timestamp_ntz").alias("period"), "value"), 4)
 

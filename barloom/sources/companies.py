@@ -19,7 +19,7 @@ ITEMS = {
     "balance": ("Total Assets", "Current Assets", "Current Liabilities", "Stockholders Equity",
                 "Total Liabilities Net Minority Interest", "Total Non Current Liabilities Net Minority Interest",
                 "Total Debt", "Retained Earnings", "Inventory", "Cash And Cash Equivalents",
-                "Cash Cash Equivalents And Short Term Investments"),
+                "Cash Cash Equivalents And Short Term Investments", "Ordinary Shares Number", "Share Issued"),
     "cash": ("Free Cash Flow", "Depreciation And Amortization", "Depreciation Amortization Depletion",
              "Capital Expenditure", "Change In Working Capital"),
 }
@@ -74,6 +74,8 @@ def statement_rows(years: DataFrame) -> DataFrame:
         "Inventory": _unless(k, 5, 1, 0.1 * ext),
         "Cash And Cash Equivalents": _unless(k, 4, 3, 0.1 * ext),
         "Cash Cash Equivalents And Short Term Investments": 0.12 * ext,
+        "Ordinary Shares Number": F.when((k + F.col("yr")) % 4 != 2, _unless(k, 13, 3, 20000.0 + 1000.0 * (k % 7))),
+        "Share Issued": _unless(k, 26, 3, 21000.0 + 1000.0 * (k % 7)),
         "Free Cash Flow": _unless(k, 14, 9, op * 0.6),
         "Depreciation And Amortization": _unless(k, 10, 7, 0.05 * ext),
         "Depreciation Amortization Depletion": 0.04 * ext,
