@@ -47,20 +47,20 @@ def _(spark, sf):
 
 
 def _then(text: str) -> str:
-    """The same CTEs under names ending in _t."""
+    """The same CTEs under names ending in _q."""
     names = "ticks bars rets chg wl rsi perf rec cut tail mdd_d mdd_t mdd_r mdd vol metrics st profile lc nw hi s0 std tx an ck card".split()
-    return re.sub(r"\b(" + "|".join(names) + r")\b", r"\1_t", text)
+    return re.sub(r"\b(" + "|".join(names) + r")\b", r"\1_q", text)
 
 
 TAIL_CTES = f"{RETS}, {RSI_CTE}, {METRICS}"
-THEN = f"""ticks_t AS (SELECT * FROM ticks WHERE ts::DATE <= DATE '{AS_OF}'), {_then(FROM_TICKS + ', ' + TAIL_CTES)},
-  st_t AS (SELECT * FROM st WHERE period_end <= DATE '{AS_OF}'), {_then(LAST_CLOSE)},
-  sh_t AS (SELECT symbol, coalesce(arg_max(osn, period_end) FILTER (osn IS NOT NULL), arg_max(iss, period_end) FILTER (iss IS NOT NULL)) AS shares_then FROM st_t GROUP BY symbol),
-  n1_t AS (SELECT * FROM st_t QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY period_end DESC) = 1),
-  profile_t AS (SELECT n.symbol, n.k, sector, NULL::DOUBLE AS trailing_pe, NULL::DOUBLE AS price_to_book, ni / nullif(revenue, 0) AS profit_margins, NULL::DOUBLE AS return_on_equity, NULL::DOUBLE AS debt_to_equity,
+THEN = f"""ticks_q AS (SELECT * FROM ticks WHERE ts::DATE <= DATE '{AS_OF}'), {_then(FROM_TICKS + ', ' + TAIL_CTES)},
+  st_q AS (SELECT * FROM st WHERE period_end <= DATE '{AS_OF}'), {_then(LAST_CLOSE)},
+  sh_q AS (SELECT symbol, coalesce(arg_max(osn, period_end) FILTER (osn IS NOT NULL), arg_max(iss, period_end) FILTER (iss IS NOT NULL)) AS shares_then FROM st_q GROUP BY symbol),
+  n1_q AS (SELECT * FROM st_q QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY period_end DESC) = 1),
+  profile_q AS (SELECT n.symbol, n.k, sector, NULL::DOUBLE AS trailing_pe, NULL::DOUBLE AS price_to_book, ni / nullif(revenue, 0) AS profit_margins, NULL::DOUBLE AS return_on_equity, NULL::DOUBLE AS debt_to_equity,
     ca / nullif(cl, 0) AS current_ratio, NULL::DOUBLE AS beta, NULL::DOUBLE AS earnings_growth, NULL::DOUBLE AS revenue_growth, shares_then * last_close AS market_cap, NULL::DOUBLE AS shares_outstanding,
     NULL::DOUBLE AS quote_price, NULL::DOUBLE AS total_debt_reported, NULL::DOUBLE AS interest_reported, NULL::DOUBLE AS held_pct_insiders, NULL::DOUBLE AS held_pct_institutions, NULL::DATE AS most_recent_quarter
-    FROM n1_t n LEFT JOIN profile p USING (symbol) LEFT JOIN sh_t USING (symbol) LEFT JOIN lc_t USING (symbol)), {_then(STD_PRICED + ', ' + AN + ', ' + SCORE)}"""
+    FROM n1_q n LEFT JOIN profile p USING (symbol) LEFT JOIN sh_q USING (symbol) LEFT JOIN lc_q USING (symbol)), {_then(STD_PRICED + ', ' + AN + ', ' + SCORE)}"""
 
 
 def _side(s: str) -> str:
@@ -88,8 +88,8 @@ def _risk_score_sql() -> str:
 RISK_SCORE = _risk_score_sql()
 
 
-@query("hc_comparison", f"""WITH {TICKS}, {FROM_TICKS}, {TAIL_CTES}, {BRAND_ANALYZED}, {SCORE}, {THEN}, {_side('')}, {_side('_t')}
-  SELECT symbol, TIMESTAMP '{AS_OF}' AS as_of, grp, metric, round(t.v, 3) AS "then", round(n.v, 3) AS now, round(n.v - t.v, 3) AS delta FROM l_t_ t FULL JOIN l_ n USING (symbol, grp, metric)""")
+@query("hc_comparison", f"""WITH {TICKS}, {FROM_TICKS}, {TAIL_CTES}, {BRAND_ANALYZED}, {SCORE}, {THEN}, {_side('')}, {_side('_q')}
+  SELECT symbol, TIMESTAMP '{AS_OF}' AS as_of, grp, metric, round(t.v, 3) AS "then", round(n.v, 3) AS now, round(n.v - t.v, 3) AS delta FROM l_q_ t FULL JOIN l_ n USING (symbol, grp, metric)""")
 def _(spark, sf):
     periods, profile = company_tables(spark, sf, "brand")
     out = hc.comparison(closes(spark, sf), periods, profile, [AS_OF], NOW)
