@@ -71,12 +71,12 @@ RSI = ["""chg AS MATERIALIZED (
 RSI_CTE = ", ".join(RSI)
 
 MACD_CTE = ", ".join([
-    seeded("f0", "bars", "close", 12), recur("f1", "f0", {"y": ("close", 2 / 13)}),
-    seeded("s0", "bars", "close", 26), recur("s1", "s0", {"y": ("close", 2 / 27)}),
-    "mline AS MATERIALIZED (SELECT f1.symbol, f1.ts, f1.y - s1.y AS line FROM f1 JOIN s1 USING (symbol, ts))",
-    seeded("g0", "mline", "line", 9), recur("g1", "g0", {"y": ("line", 2 / 10)}),
-    """macd AS MATERIALIZED (SELECT b.symbol, b.ts, b.close, m.line AS macd_line, g1.y AS macd_signal, m.line - g1.y AS macd_hist
-  FROM bars b LEFT JOIN mline m USING (symbol, ts) LEFT JOIN g1 USING (symbol, ts))""",
+    seeded("mc_f0", "bars", "close", 12), recur("mc_f1", "mc_f0", {"y": ("close", 2 / 13)}),
+    seeded("mc_s0", "bars", "close", 26), recur("mc_s1", "mc_s0", {"y": ("close", 2 / 27)}),
+    "mline AS MATERIALIZED (SELECT mc_f1.symbol, mc_f1.ts, mc_f1.y - mc_s1.y AS line FROM mc_f1 JOIN mc_s1 USING (symbol, ts))",
+    seeded("mc_g0", "mline", "line", 9), recur("mc_g1", "mc_g0", {"y": ("line", 2 / 10)}),
+    """macd AS MATERIALIZED (SELECT b.symbol, b.ts, b.close, m.line AS macd_line, mc_g1.y AS macd_signal, m.line - mc_g1.y AS macd_hist
+  FROM bars b LEFT JOIN mline m USING (symbol, ts) LEFT JOIN mc_g1 USING (symbol, ts))""",
 ])
 
 BANDS_CTE = f"""bands AS MATERIALIZED (

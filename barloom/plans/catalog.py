@@ -1,8 +1,8 @@
 """All registered queries."""
 
-from barloom.plans import backtest, fundamentals, holdings, intake, learning, portfolio, replay, risk, screen, technical  # noqa: F401
+from barloom.plans import backtest, fundamentals, holdings, intake, learning, monitoring, portfolio, replay, risk, screen, technical  # noqa: F401
 from barloom.plans.registry import QUERIES, SQL
 
-FLAGSHIP = "risk_metrics"
+FLAGSHIP = "risk_snapshot"
 
 __all__ = ["FLAGSHIP", "QUERIES", "SQL"]
