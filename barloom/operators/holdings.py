@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from barloom import params as P
 from barloom.functions.series import bfill, ffill, prev, sdiv
+from barloom.session import stage
 
 
 def valid_lots(lots: DataFrame, as_of: Column) -> DataFrame:
@@ -135,7 +136,7 @@ def performance(lots: DataFrame, bars: DataFrame, bench: DataFrame, end: Column)
     """The summary line of every portfolio."""
     known = bars.select("symbol").distinct()
     priced = lots.join(known, "symbol", "left_semi")
-    series = value_series(priced, bars)
+    series = stage(value_series(priced, bars))
     final = series.groupBy("portfolio").agg(F.max_by("value", "ts").alias("value"), F.min("ts").alias("_s"), F.max("ts").alias("_e"))
     market = series.select("portfolio", "ts").join(bench, "ts").groupBy("portfolio").agg(
         F.when(F.count(F.lit(1)) >= 2, (sdiv(F.max_by("bench", "ts"), F.min_by("bench", "ts")) - 1) * 100).alias("benchmark_pct"))

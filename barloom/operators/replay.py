@@ -15,6 +15,7 @@ from barloom.functions.series import sdiv
 from barloom.operators import fundamentals as fa
 from barloom.operators import indicators as ti
 from barloom.operators import risk as rk
+from barloom.session import stage
 
 MIN_BARS = 30
 KEY = ("symbol", "as_of")
@@ -113,13 +114,13 @@ def _with_score(df: DataFrame) -> DataFrame:
 
 def comparison(bars: DataFrame, periods: DataFrame, profile: DataFrame, as_of: Sequence[str], now: str) -> DataFrame:
     """(symbol, as_of, grp, metric, then, now, delta): 21 rows per symbol and date."""
-    px = price_metrics(bars, [*as_of, now])
+    px = stage(price_metrics(bars, [*as_of, now]))
     then_px = px.where(F.col("as_of").isin([F.lit(d).cast("date") for d in as_of]))
     now_px = px.where(F.col("as_of") == F.lit(now).cast("date")).drop("as_of")
     funds = ("score_pct", "net_margin", "debt_to_equity", "current_ratio", "altman_z", "pe_ratio", "market_cap", "revenue", "net_income")
-    then = fundamentals_as_of(periods, profile, then_px, as_of).select(*KEY, *funds)
+    then = stage(fundamentals_as_of(periods, profile, then_px, as_of).select(*KEY, *funds))
     last = bars.groupBy("symbol").agg(F.max_by("close", "ts").alias("last_close"))
-    current = fa.scorecard(fa.ratios(fa.standardize(periods, profile, last))).select("symbol", *funds)
+    current = stage(fa.scorecard(fa.ratios(fa.standardize(periods, profile, last))).select("symbol", *funds))
     left = _long(_with_score(then_px.join(then, list(KEY), "left")), "then")
     asked = then_px.select(*KEY)
     right = _long(_with_score(asked.join(now_px, "symbol").join(current, "symbol", "left")), "now")

@@ -10,6 +10,7 @@ from barloom.operators import fundamentals as fa
 from barloom.plans.company_sql import ANALYZED, COMPANY, GATE, PROFILE, ST, YEARLY, intrinsic
 from barloom.plans.registry import query
 from barloom.sources.companies import profiles, statements, yearly
+from barloom.session import stage
 from barloom.sources.tables import table
 
 AS_OF = "2001-12-31"
@@ -17,7 +18,7 @@ GROWTH = 0.15
 
 
 def company_tables(spark, sf, by="supplier"):
-    years = yearly(spark, sf, by)
+    years = stage(yearly(spark, sf, by))
     return fa.by_period(statements(years)), profiles(years)
 
 

@@ -8,11 +8,18 @@ from barloom.functions.series import rounded
 from barloom.operators import holdings as ph
 from barloom.plans.base_sql import BARS, BENCH
 from barloom.plans.registry import query
-from barloom.plans.risk import closes
+from barloom.plans.risk import staged_closes
+from barloom.session import stage
 from barloom.sources.market import benchmark, lots
 
 END = "2001-12-31"
 
+
+def staged_lots(spark, sf):
+    """Purchases summed per (portfolio, symbol, day), written once for the branches that read them."""
+    return stage(lots(spark, sf))
+
+
 LOTS = f"""WITH {BARS}{BENCH}, lots AS MATERIALIZED (SELECT c_mktsegment AS portfolio, p_brand AS symbol, o_orderdate::DATE AS purchase_date, sum(l_quantity) AS shares,
     sum(l_quantity * (100 + 0.05 * sqrt(l_extendedprice / l_quantity))) AS cost
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity > 0 GROUP BY ALL)"""
@@ -28,7 +35,7 @@ VALUE = f"""{LOTS}, st AS (SELECT portfolio, min(purchase_date) AS start FROM lo
 
 @query("ph_value_series", f"{VALUE} SELECT portfolio, ts, round(value, 2) AS value, round(flow, 2) AS flow FROM series")
 def _(spark, sf):
-    return rounded(ph.value_series(lots(spark, sf), closes(spark, sf)), 2)
+    return rounded(ph.value_series(staged_lots(spark, sf), staged_closes(spark, sf)), 2)
 
 
 TWR = """twr AS (SELECT portfolio, (product(1 + (value - b - flow) / b) FILTER (b > 0) - 1) * 100 AS twr_pct, count(*) AS days
@@ -37,7 +44,7 @@ TWR = """twr AS (SELECT portfolio, (product(1 + (value - b - flow) / b) FILTER (
 
 @query("ph_time_weighted", f"{VALUE}, {TWR} SELECT portfolio, round(twr_pct, 4) AS twr_pct, days FROM twr")
 def _(spark, sf):
-    return rounded(ph.time_weighted(ph.value_series(lots(spark, sf), closes(spark, sf))), 4)
+    return rounded(ph.time_weighted(ph.value_series(staged_lots(spark, sf), staged_closes(spark, sf))), 4)
 
 
 MWR = f"""fin AS (SELECT portfolio, arg_max(value, ts) AS value FROM series GROUP BY portfolio),
@@ -54,8 +61,8 @@ MWR = f"""fin AS (SELECT portfolio, arg_max(value, ts) AS value FROM series GROU
 
 @query("ph_money_weighted", f"{VALUE}, {MWR} SELECT portfolio, round(mwr_pct, 5) AS mwr_pct FROM mwr")
 def _(spark, sf):
-    owned = lots(spark, sf)
-    series = ph.value_series(owned, closes(spark, sf))
+    owned = staged_lots(spark, sf)
+    series = ph.value_series(owned, staged_closes(spark, sf))
     final = series.groupBy("portfolio").agg(F.max_by("value", "ts").alias("value"))
     return rounded(ph.money_weighted(owned, final.withColumn("end", F.lit(END).cast("date"))), 5)
 
@@ -64,8 +71,8 @@ def _(spark, sf):
   k AS (SELECT portfolio, ts, value, coalesce(f, first_value(f IGNORE NULLS) OVER (PARTITION BY portfolio ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS f FROM j)
   SELECT portfolio, ts, round(value, 2) AS value, round(f / first_value(f) OVER w * first_value(value) OVER w, 4) AS benchmark FROM k WINDOW w AS (PARTITION BY portfolio ORDER BY ts)""")
 def _(spark, sf):
-    daily = closes(spark, sf)
-    return rounded(ph.rebased_benchmark(ph.value_series(lots(spark, sf), daily), benchmark(daily)), 4, value=2)
+    daily = staged_closes(spark, sf)
+    return rounded(ph.rebased_benchmark(ph.value_series(staged_lots(spark, sf), daily), benchmark(daily)), 4, value=2)
 
 
 @query("ph_lot_performance", f"""{LOTS}, l AS (SELECT symbol, arg_max(close, ts) AS price FROM bars GROUP BY symbol)
@@ -73,8 +80,8 @@ def _(spark, sf):
     round(shares * price - cost, 4) AS gain, round((shares * price - cost) / cost * 100, 5) AS gain_pct,
     CASE WHEN purchase_date > DATE '2001-06-30' THEN 'purchase date is in the future' ELSE '' END AS problems FROM lots LEFT JOIN l USING (symbol)""")
 def _(spark, sf):
-    checked = ph.valid_lots(lots(spark, sf), F.lit("2001-06-30").cast("date"))
-    out = ph.lot_performance(checked, closes(spark, sf)).withColumn("purchase_ts", F.col("purchase_date").cast("timestamp_ntz"))
+    checked = ph.valid_lots(staged_lots(spark, sf), F.lit("2001-06-30").cast("date"))
+    out = ph.lot_performance(checked, staged_closes(spark, sf)).withColumn("purchase_ts", F.col("purchase_date").cast("timestamp_ntz"))
     return rounded(out.select("portfolio", "symbol", "purchase_ts", "shares", "cost", "market_value", "gain", "gain_pct", "problems"), 4, gain_pct=5)
 
 
@@ -84,6 +91,6 @@ def _(spark, sf):
   SELECT portfolio, priced_lots, round(mv, 2) AS market_value, round(cost, 2) AS cost, round(mv - cost, 2) AS gain, round((mv - cost) / cost * 100, 5) AS gain_pct, round(twr_pct, 4) AS twr_pct, days,
     round(mwr_pct, 4) AS mwr_pct, round(bp, 4) AS benchmark_pct, round(twr_pct - bp, 4) AS excess_pct FROM t JOIN twr USING (portfolio) JOIN mwr USING (portfolio) JOIN m USING (portfolio)""")
 def _(spark, sf):
-    daily = closes(spark, sf)
-    out = ph.performance(lots(spark, sf), daily, benchmark(daily), F.lit(END).cast("date"))
+    daily = staged_closes(spark, sf)
+    out = ph.performance(staged_lots(spark, sf), daily, benchmark(daily), F.lit(END).cast("date"))
     return rounded(out.drop("note", "excluded_lots"), 4, market_value=2, cost=2, gain=2, gain_pct=5)

@@ -9,6 +9,7 @@ from barloom.operators import ml
 from barloom.operators import text as tx
 from barloom.plans.base_sql import BARS, MACD_CTE, RETS, RSI_CTE, full
 from barloom.plans.registry import query
+from barloom.session import stage
 from barloom.sources import payloads as pl
 from barloom.sources.market import bars_daily
 from barloom.sources.tables import table
@@ -29,7 +30,7 @@ def _(spark, sf):
 @query("ml_skipped", f"""WITH {FEAT} SELECT symbol, bars, coalesce(rows_, 0) AS rows, CASE WHEN bars < 60 THEN 'only ' || bars || ' usable bars' WHEN rows_ IS NULL THEN 'no rows survived feature warm-up and label horizon' END AS reason
   FROM (SELECT symbol, count(*) AS bars FROM bars GROUP BY symbol) LEFT JOIN (SELECT symbol, count(*) AS rows_ FROM dset GROUP BY symbol) USING (symbol)""")
 def _(spark, sf):
-    daily = bars_daily(spark, sf)
+    daily = stage(bars_daily(spark, sf))
     return ml.skipped(daily, ml.dataset(daily))
 
 
@@ -48,7 +49,7 @@ def _(spark, sf):
 
 @query("ml_predict_latest")
 def _(spark, sf):
-    daily = bars_daily(spark, sf)
+    daily = stage(bars_daily(spark, sf))
     trained = ml.train(ml.with_split(ml.dataset(daily)))
     return rounded(ml.predict_latest(trained.model, daily), 4)
 

@@ -15,15 +15,15 @@ from barloom.operators import screen as sc
 from barloom.plans.base_sql import BANDS_CTE, BARS, BREAKS, MACD_CTE, RETS, SMA_CTE, flips
 from barloom.plans.company_sql import ANALYZED, BRAND_ANALYZED
 from barloom.plans.fundamentals import DCF, DCF_STATUS, GROWTH, QUALITY, SCORE, analyzed
-from barloom.plans.holdings import END, MWR, TWR, VALUE
+from barloom.plans.holdings import END, TWR, VALUE, staged_lots
 from barloom.plans.registry import query
 from barloom.plans.replay import RISK_SCORE
-from barloom.plans.risk import METRICS, PERF, closes, drawdown_sql, tail_sql
+from barloom.plans.risk import METRICS, PERF, drawdown_sql, staged_closes, tail_sql
 from barloom.plans.screen import WIDE_SQL, full_metrics
 from barloom.plans.technical import bollinger_events, indicator_events, macd_events, sma_events
 from barloom.operators.events import recent_events
 from barloom.sources.bars import bars
-from barloom.sources.market import benchmark, brand_number, event_ticks, lots
+from barloom.sources.market import benchmark, brand_number, event_ticks
 from barloom.sources.tables import table
 
 TRIGGERS = (*al.PRICE_TRIGGERS, *al.CROSS_TRIGGERS, *al.ZONE_TRIGGERS, "fundamental", "volume_spike")
@@ -42,13 +42,14 @@ def rules(spark, sf):
                     F.when(fund, metric).alias("metric"), F.when(fund, F.lit("<")).alias("op"), "n")
 
 
-def snapshots(spark, sf):
-    wide = rk.risk_score(full_metrics(spark, sf))
+def snapshots(spark, sf, daily=None):
+    wide = rk.risk_score(full_metrics(spark, sf, daily))
     return wide.select("symbol", *METRIC_KEYS)
 
 
 def results(spark, sf):
-    return al.evaluate_all(rules(spark, sf), al.indicator_state(closes(spark, sf)), snapshots(spark, sf))
+    daily = staged_closes(spark, sf)
+    return al.evaluate_all(rules(spark, sf), al.indicator_state(daily), snapshots(spark, sf, daily))
 
 
 _DEF = {k: t for k, *_r, t in al.RISK_METRICS}
@@ -119,8 +120,8 @@ OWNERS = f"""orl AS (SELECT * FROM (SELECT n_name AS owner, [{', '.join(repr(k)
   br AS MATERIALIZED (SELECT rl.owner, sl.symbol, metric, threshold, value FROM sl JOIN rl USING (metric) JOIN wl_ ON wl_.owner = rl.owner AND wl_.symbol = sl.symbol WHERE value < threshold)"""
 
 
-def owner_breaches(spark, sf):
-    long = sc.long_metrics(snapshots(spark, sf), {k: k for k in METRIC_KEYS})
+def owner_breaches(spark, sf, daily=None):
+    long = sc.long_metrics(snapshots(spark, sf, daily), {k: k for k in METRIC_KEYS})
     mine = long.join(watch_lists(spark, sf), "symbol")
     r = owner_rules(spark, sf)
     return dg.breach_lines(mine.join(r, ["owner", "metric"]).where(sc.compare(F.col("value"), F.col("op"), F.col("threshold"))))
@@ -150,7 +151,7 @@ def period_moves(spark, sf, daily):
 
 @query("dg_moves", f"WITH {BARS}, {MOVES} SELECT symbol, round(a, 6) AS start_price, round(b, 6) AS end_price, round((b - a) / a * 100, 6) AS change_pct, unavailable FROM mv")
 def _(spark, sf):
-    return rounded(period_moves(spark, sf, closes(spark, sf)))
+    return rounded(period_moves(spark, sf, staged_closes(spark, sf)))
 
 
 FIRED = f"""{BANDS_CTE}, {BREAKS}, fired AS (SELECT * FROM (SELECT * FROM es UNION ALL SELECT * FROM em UNION ALL SELECT * FROM breaks) WHERE ts >= TIMESTAMP '{DIG_END}' - INTERVAL {DIG_DAYS} DAY AND ts < TIMESTAMP '{DIG_END}')"""
@@ -160,7 +161,7 @@ FIRED = f"""{BANDS_CTE}, {BREAKS}, fired AS (SELECT * FROM (SELECT * FROM es UNI
   QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, indicator || '/' || kind) <= 100""")
 def _(spark, sf):
     end = F.lit(DIG_END).cast("timestamp_ntz")
-    history = dg.fired_since(indicator_events(closes(spark, sf)), end - F.expr(f"INTERVAL {DIG_DAYS} DAYS")).where(F.col("ts") < end)
+    history = dg.fired_since(indicator_events(staged_closes(spark, sf)), end - F.expr(f"INTERVAL {DIG_DAYS} DAYS")).where(F.col("ts") < end)
     history = history.withColumn("rule_id", F.concat_ws("/", "indicator", "kind"))
     return al.trimmed_history(history).select("symbol", "ts", "indicator", "kind")
 
@@ -171,10 +172,10 @@ def _(spark, sf):
   SELECT owner, symbols, priced, alerts, breaches, top_symbol, round(top_pct, 6) AS top_pct, CASE WHEN alerts > 0 THEN alerts || CASE WHEN alerts = 1 THEN ' alert fired' ELSE ' alerts fired' END WHEN breaches > 0 THEN breaches || CASE WHEN breaches = 1 THEN ' risk threshold breached' ELSE ' risk thresholds breached' END
     WHEN top_pct IS NOT NULL THEN top_symbol || format(' {{:+.1f}}%', top_pct) ELSE 'no material movement' END AS headline FROM g""")
 def _(spark, sf):
-    daily = closes(spark, sf)
+    daily = staged_closes(spark, sf)
     end = F.lit(DIG_END).cast("timestamp_ntz")
     fired = dg.fired_since(bollinger_events(daily), end - F.expr(f"INTERVAL {DIG_DAYS} DAYS")).where(F.col("ts") < end)
-    return rounded(dg.build(watch_lists(spark, sf), period_moves(spark, sf, daily), fired, owner_breaches(spark, sf)))
+    return rounded(dg.build(watch_lists(spark, sf), period_moves(spark, sf, daily), fired, owner_breaches(spark, sf, daily)))
 
 
 @query("dg_is_due", """WITH s AS (SELECT c_custkey AS user_id, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'not a date' ELSE strftime(TIMESTAMP '2001-06-01' + INTERVAL (c_custkey % 40) DAY, '%Y-%m-%d %H:%M:%S') END AS last_sent, 1 + c_custkey % 14 AS period FROM customer)
@@ -190,14 +191,14 @@ def _(spark, sf):
   m AS (SELECT portfolio, (arg_max(bench, ts) / arg_min(bench, ts) - 1) * 100 AS bp FROM series JOIN bench USING (ts) GROUP BY portfolio)
   SELECT portfolio, format('value {{:.0f}}; time-weighted {{:+.2f}}%; vs benchmark {{:+.2f}}%', mv, twr_pct, twr_pct - bp) AS line FROM t JOIN twr USING (portfolio) JOIN m USING (portfolio)""")
 def _(spark, sf):
-    daily = closes(spark, sf)
-    return dg.portfolio_line(ph.performance(lots(spark, sf), daily, benchmark(daily), F.lit(END).cast("date")))
+    daily = staged_closes(spark, sf)
+    return dg.portfolio_line(ph.performance(staged_lots(spark, sf), daily, benchmark(daily), F.lit(END).cast("date")))
 
 
 def flag_state(spark, sf):
     """Everything the flag list reads, one row per brand."""
-    daily = closes(spark, sf)
-    base = rk.risk_score(fa.dcf(fa.company_quality(fa.scorecard(full_metrics(spark, sf))), GROWTH))
+    daily = staged_closes(spark, sf)
+    base = rk.risk_score(fa.dcf(fa.company_quality(fa.scorecard(full_metrics(spark, sf, daily))), GROWTH))
     recent = recent_events(
         sma_events(daily).unionByName(macd_events(daily)).unionByName(bollinger_events(daily)), daily)
     kind = lambda i: F.max_by("kind", F.when(F.col("indicator") == i, F.col("ts")))
@@ -268,7 +269,7 @@ _P = lambda c: f"CASE WHEN c.bars >= 30 THEN round({c} * 100, 2) END"  # noqa: E
     CASE WHEN c.bars < 30 THEN 'only ' || c.bars || ' bars: too few to annualize from' END AS refusal
   FROM (SELECT symbol, count(*) AS bars FROM bars GROUP BY symbol) c JOIN perf USING (symbol) JOIN tail USING (symbol) JOIN mdd USING (symbol)""")
 def _(spark, sf):
-    return dg.risk_view(closes(spark, sf), VIEW_END)
+    return dg.risk_view(staged_closes(spark, sf), VIEW_END)
 
 
 @query("risk_snapshot", f"""WITH {WIDE_SQL} SELECT symbol, {RISK_SCORE} AS risk_score, CASE WHEN {RISK_SCORE} >= 75 THEN 'low risk' WHEN {RISK_SCORE} >= 50 THEN 'moderate risk' WHEN {RISK_SCORE} >= 30 THEN 'elevated risk' ELSE 'high risk' END AS risk_grade,

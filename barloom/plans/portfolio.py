@@ -8,7 +8,8 @@ from barloom.functions.series import rounded, sdiv
 from barloom.operators import portfolio as pa
 from barloom.plans.base_sql import BARS, BENCH, RETURNS, aligned
 from barloom.plans.registry import query
-from barloom.plans.risk import closes
+from barloom.plans.risk import closes, staged_closes
+from barloom.session import stage
 from barloom.sources.market import baskets, benchmark
 
 N = 1000  # newest returns per symbol that enter the alignment
@@ -16,7 +17,7 @@ N = 1000  # newest returns per symbol that enter the alignment
 
 @query("pa_aligned_returns", f"WITH {RETURNS}{aligned(N)} SELECT basket, symbol, ts, round(ret, 8) AS ret FROM aligned")
 def _(spark, sf):
-    return rounded(pa.aligned_returns(closes(spark, sf), baskets(spark, sf), N), 8)
+    return rounded(pa.aligned_returns(staged_closes(spark, sf), baskets(spark, sf), N), 8)
 
 
 @query("pa_alignment_report", f"""WITH {RETURNS}{aligned(N)}, o AS (SELECT basket, count(DISTINCT ts) AS observations FROM aligned GROUP BY basket),
@@ -26,7 +27,7 @@ def _(spark, sf):
     coalesce(observations, 0) >= 20 AND count(*) FILTER (b >= 2) OVER (PARTITION BY basket) >= 2 AS sufficient
   FROM mem LEFT JOIN h USING (symbol) LEFT JOIN o USING (basket)""")
 def _(spark, sf):
-    daily, members = closes(spark, sf), baskets(spark, sf)
+    daily, members = staged_closes(spark, sf), baskets(spark, sf)
     return pa.alignment_report(pa.aligned_returns(daily, members, N), daily, members)
 
 
@@ -36,7 +37,7 @@ PAIRS = """pairs AS MATERIALIZED (SELECT x.basket, x.symbol AS a, y.symbol AS b,
 
 @query("pa_correlation_covariance", f"WITH {RETURNS}{aligned(N)}, {PAIRS} SELECT basket, a, b, round(corr, 6) AS corr, round(cov, 6) AS cov, n FROM pairs")
 def _(spark, sf):
-    return rounded(pa.pair_statistics(pa.aligned_returns(closes(spark, sf), baskets(spark, sf), N)))
+    return rounded(pa.pair_statistics(pa.aligned_returns(staged_closes(spark, sf), baskets(spark, sf), N)))
 
 
 BETA = """mkt AS (SELECT ts, ln(bench / lag(bench) OVER (ORDER BY ts)) AS m FROM bench),
@@ -47,7 +48,7 @@ BETA = """mkt AS (SELECT ts, ln(bench / lag(bench) OVER (ORDER BY ts)) AS m FROM
 
 @query("pa_capm_beta", f"WITH {RETURNS}{BENCH}, {BETA} SELECT symbol, round(beta, 6) AS beta, round(r_squared, 6) AS r_squared, n FROM beta")
 def _(spark, sf):
-    daily = closes(spark, sf)
+    daily = staged_closes(spark, sf)
     return rounded(pa.capm_beta(daily, benchmark(daily)))
 
 
@@ -57,7 +58,7 @@ def _(spark, sf):
   SELECT symbol, days, round(rf, 6) AS risk_free_pct, round(a - rf, 6) AS total_excess_pct, round(beta * (b - rf), 6) AS systematic_pct,
     round(a - rf - beta * (b - rf), 6) AS selection_pct FROM q""")
 def _(spark, sf):
-    daily = closes(spark, sf)
+    daily = staged_closes(spark, sf)
     bench = benchmark(daily)
     span = daily.join(bench, "ts").groupBy("symbol").agg(
         ((sdiv(F.max_by("close", "ts"), F.min_by("close", "ts")) - 1) * 100).alias("a"),
@@ -75,7 +76,7 @@ def _(spark, sf):
   SELECT basket, round(pv, 6) AS portfolio_vol, round(wv, 6) AS weighted_vol, round(wv - pv, 6) AS benefit, round(wv / pv, 6) AS ratio FROM v JOIN m USING (basket)""")
 def _(spark, sf):
     members = baskets(spark, sf)
-    return rounded(pa.diversification(pa.aligned_returns(closes(spark, sf), members, N), members))
+    return rounded(pa.diversification(pa.aligned_returns(staged_closes(spark, sf), members, N), members))
 
 
 CANDS = f"""{PAIRS}, nm AS (SELECT DISTINCT basket, symbol FROM aligned),
@@ -90,7 +91,7 @@ CANDS = f"""{PAIRS}, nm AS (SELECT DISTINCT basket, symbol FROM aligned),
 
 
 def scored(spark, sf):
-    data = pa.aligned_returns(closes(spark, sf), baskets(spark, sf), N)
+    data = stage(pa.aligned_returns(closes(spark, sf), baskets(spark, sf), N))
     return pa.score_candidates(data, pa.candidates(data.select("basket", "symbol").distinct()))
 
 
@@ -106,14 +107,14 @@ def _(spark, sf):
     UNION ALL SELECT DISTINCT basket, 'equal_weight', 0 FROM scored)
   SELECT basket, candidate, portfolio, round(exp_return, 6) AS exp_return, round(vol, 6) AS vol, round(sharpe, 6) AS sharpe FROM pick JOIN scored USING (basket, candidate)""")
 def _(spark, sf):
-    return rounded(pa.best_candidates(scored(spark, sf)))
+    return rounded(pa.best_candidates(stage(scored(spark, sf))))
 
 
 @query("pa_frontier", f"""WITH {RETURNS}{aligned(N)}, {CANDS}, e AS (SELECT basket, arg_min(exp_return, vol) AS lo, max(exp_return) AS hi FROM scored GROUP BY basket)
   SELECT basket, least(floor((exp_return - lo) / (hi - lo) * 25), 24)::BIGINT AS point, arg_min(candidate, vol) AS candidate,
     round(arg_min(exp_return, vol), 6) AS exp_return, round(min(vol), 6) AS vol FROM scored JOIN e USING (basket) WHERE exp_return >= lo GROUP BY 1, 2""")
 def _(spark, sf):
-    return rounded(pa.frontier(scored(spark, sf)))
+    return rounded(pa.frontier(stage(scored(spark, sf))))
 
 
 @query("pa_momentum", f"WITH {BARS} SELECT symbol, count(*) AS bars, round(arg_max(close, ts) / arg_min(close, ts) - 1, 6) AS momentum FROM bars GROUP BY symbol")

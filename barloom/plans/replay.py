@@ -15,7 +15,7 @@ from barloom.plans.base_sql import BARS, FROM_TICKS, RETS, RETURNS, RSI_CTE, TIC
 from barloom.plans.company_sql import AN, BRAND_ANALYZED, GATE, PROFILE, ST, STD_PRICED, YEARLY, YEARLY_BRAND, LAST_CLOSE, intrinsic
 from barloom.plans.fundamentals import GROWTH, SCORE, company_tables
 from barloom.plans.registry import query
-from barloom.plans.risk import METRICS, PERF, closes, drawdown_sql, tail_sql
+from barloom.plans.risk import METRICS, PERF, closes, drawdown_sql, staged_closes, tail_sql
 from barloom.plans.screen import brand_analyzed
 from barloom.sources.companies import profiles, statements, yearly
 
@@ -92,7 +92,7 @@ RISK_SCORE = _risk_score_sql()
   SELECT symbol, TIMESTAMP '{AS_OF}' AS as_of, grp, metric, round(t.v, 3) AS "then", round(n.v, 3) AS now, round(n.v - t.v, 3) AS delta FROM l_q_ t FULL JOIN l_ n USING (symbol, grp, metric)""")
 def _(spark, sf):
     periods, profile = company_tables(spark, sf, "brand")
-    out = hc.comparison(closes(spark, sf), periods, profile, [AS_OF], NOW)
+    out = hc.comparison(staged_closes(spark, sf), periods, profile, [AS_OF], NOW)
     return rounded(out.withColumn("as_of", F.col("as_of").cast("timestamp_ntz")), 3)
 
 
@@ -106,7 +106,7 @@ STATS = """SELECT symbol, count(*) AS sims, round(avg(CASE WHEN e > start THEN 1
   x AS (SELECT symbol, sim, start, m - 0.5 * sd * sd + sd * sqrt(-2 * ln({U.format("symbol || '|' || sim || '|' || day || '|a'")})) * cos(2 * {math.pi!r}::DOUBLE * {U.format("symbol || '|' || sim || '|' || day || '|b'")}) AS step
     FROM s, range(1000) a(sim), range(1, 61) b(day)), ends AS (SELECT symbol, sim, any_value(start) AS start, any_value(start) * exp(sum(step)) AS e FROM x GROUP BY ALL) {STATS}""")
 def _(spark, sf):
-    return rounded(pj.terminal_stats(pj.gbm_steps(closes(spark, sf))).drop("seed"), 5)
+    return rounded(pj.terminal_stats(pj.gbm_steps(staged_closes(spark, sf))).drop("seed"), 5)
 
 
 @query("mc_bootstrap", f"""WITH {RETURNS}, ix AS (SELECT symbol, ret, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM rets WHERE ret IS NOT NULL),
@@ -114,7 +114,7 @@ def _(spark, sf):
   x AS (SELECT symbol, sim, start, (floor({U.format("symbol || '|' || sim || '|' || ((day - 1) // 5)")} * (n - 4)) + (day - 1) % 5)::BIGINT AS i FROM s, range(1000) a(sim), range(1, 61) b(day)),
   ends AS (SELECT x.symbol, sim, any_value(start) AS start, any_value(start) * exp(sum(ret)) AS e FROM x JOIN ix ON x.symbol = ix.symbol AND x.i = ix.i GROUP BY ALL) {STATS}""")
 def _(spark, sf):
-    return rounded(pj.terminal_stats(pj.bootstrap_steps(closes(spark, sf))).drop("seed"), 5)
+    return rounded(pj.terminal_stats(pj.bootstrap_steps(staged_closes(spark, sf))).drop("seed"), 5)
 
 
 @query("mc_paths", f"""WITH {RETURNS}, ix AS (SELECT symbol, ret, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM rets WHERE ret IS NOT NULL),
@@ -122,7 +122,7 @@ def _(spark, sf):
   x AS (SELECT symbol, sim, day, start, (floor({U.format("symbol || '|' || sim || '|' || ((day - 1) // 5)")} * (n - 4)) + (day - 1) % 5)::BIGINT AS i FROM s, range(20) a(sim), range(1, 61) b(day))
   SELECT x.symbol, sim, day, round(start * exp(sum(ret) OVER (PARTITION BY x.symbol, sim ORDER BY day)), 5) AS price FROM x JOIN ix ON x.symbol = ix.symbol AND x.i = ix.i""")
 def _(spark, sf):
-    return rounded(pj.paths(pj.bootstrap_steps(closes(spark, sf), sims=20)), 5)
+    return rounded(pj.paths(pj.bootstrap_steps(staged_closes(spark, sf), sims=20)), 5)
 
 
 SCN = "scn AS (SELECT * FROM (VALUES " + ", ".join(f"('{s.name}', {s.growth_delta}::DOUBLE, {s.discount_delta}::DOUBLE, {s.vol_mult}::DOUBLE, {s.mean_shift}::DOUBLE)" for s in pj.PRESETS) + ") v(scenario, gd, dd, vm, ms))"
@@ -150,7 +150,7 @@ AFTER = f"""sr AS (SELECT sk AS symbol, ts, ln(close / lag(close) OVER (PARTITIO
   FROM dcfs d LEFT JOIN perf2 p ON p.symbol = d.symbol || '/' || d.scenario LEFT JOIN (SELECT symbol, hist_var AS hist_var_, expected_shortfall FROM tail_2) t ON t.symbol = d.symbol || '/' || d.scenario
     LEFT JOIN mdd2 x ON x.symbol = d.symbol || '/' || d.scenario LEFT JOIN metrics m ON m.symbol = d.symbol LEFT JOIN dv ON dv.symbol = d.symbol""")
 def _(spark, sf):
-    daily = closes(spark, sf)
+    daily = staged_closes(spark, sf)
     _p, profile = company_tables(spark, sf, "brand")
     out = pj.run_scenarios(brand_analyzed(spark, sf, daily), profile, daily, GROWTH)
     return rounded(out, 6, base_intrinsic=3, shocked_intrinsic=3, change_pct=4, base_sharpe=5, shocked_sharpe=5, lost_income=5, shocked_yield_pct=5, implied_change=3)

@@ -12,6 +12,7 @@ from barloom.plans.base_sql import BARS, RETURNS, full
 from barloom.plans.registry import query
 from barloom.sources.market import bars_daily
 from barloom.sources.bars import bars
+from barloom.session import stage
 from barloom.sources.market import event_ticks
 
 
@@ -19,6 +20,11 @@ def closes(spark, sf):
     return bars_daily(spark, sf).select("symbol", "ts", "close")
 
 
+def staged_closes(spark, sf):
+    """The closes written once, for queries that read them from several branches."""
+    return stage(closes(spark, sf))
+
+
 @query("risk_log_returns", f"WITH {RETURNS} SELECT symbol, ts, round(ret, 8) AS ret FROM rets")
 def _(spark, sf):
     return rounded(rk.log_returns(closes(spark, sf)).drop("close"), 8)

@@ -15,7 +15,7 @@ from barloom.plans.base_sql import BARS, MEMBERS, RETURNS, RSI_CTE
 from barloom.plans.company_sql import ANALYZED, BRAND_ANALYZED, COMPANY, PROFILE, YEARLY
 from barloom.plans.fundamentals import analyzed, company_tables, standardized
 from barloom.plans.registry import query
-from barloom.plans.risk import METRICS, closes
+from barloom.plans.risk import METRICS, staged_closes
 from barloom.sources.bars import bars_from_bars
 from barloom.sources.companies import profiles, yearly
 from barloom.sources.market import bars_daily, baskets
@@ -31,14 +31,14 @@ CRITERIA = (
 
 def brand_analyzed(spark, sf, daily=None):
     periods, profile = company_tables(spark, sf, "brand")
-    daily = closes(spark, sf) if daily is None else daily
+    daily = staged_closes(spark, sf) if daily is None else daily
     last = daily.groupBy("symbol").agg(F.max_by("close", "ts").alias("last_close"))
     return fa.ratios(fa.standardize(periods, profile, last))
 
 
-def full_metrics(spark, sf):
+def full_metrics(spark, sf, daily=None):
     """Fundamental and price metrics of every brand, one row each."""
-    daily = closes(spark, sf)
+    daily = staged_closes(spark, sf) if daily is None else daily
     prices = rk.risk_metrics(daily).drop("bars", "last_close", "n_returns")
     last_rsi = latest(ti.rsi(daily).select("symbol", "ts", "rsi")).select("symbol", "rsi")
     return brand_analyzed(spark, sf, daily).join(prices, "symbol", "left").join(last_rsi, "symbol", "left")
@@ -89,7 +89,7 @@ PEERS = f"""{BARS}, {BRAND_ANALYZED}{MEMBERS}, pm AS (SELECT a.*, (last_close /
 
 
 def peer_frame(spark, sf):
-    daily = closes(spark, sf)
+    daily = staged_closes(spark, sf)
     mom = pa.momentum(daily).select("symbol", (F.col("momentum") * 100).alias("momentum_pct"))
     groups = baskets(spark, sf).select("symbol", F.col("basket").alias("peer_group"))
     return brand_analyzed(spark, sf, daily).join(groups, "symbol").join(mom, "symbol", "left")

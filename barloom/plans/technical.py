@@ -12,6 +12,7 @@ from barloom.plans.base_sql import (
     BANDS_CTE, BARS, BENCH, BREAKS, EVENTS_CTE, HOURLY, MACD_CTE, RSI_CTE, SMA_CTE, flips, full, recur, seeded,
 )
 from barloom.plans.registry import query
+from barloom.session import stage
 from barloom.sources.bars import bars_from_bars
 from barloom.sources.market import bars_daily, bars_hourly, benchmark
 
@@ -214,12 +215,12 @@ def _(spark, sf):
 @query("events_newest", f"""WITH {BARS}, {EVENTS_CTE} SELECT symbol, ts, indicator, kind, round(price, 5) AS price, round(level, 5) AS level,
   row_number() OVER (PARTITION BY symbol, indicator ORDER BY ts DESC, kind) AS rank FROM evs QUALIFY rank <= 10""")
 def _(spark, sf):
-    return rounded(ev.newest_events(indicator_events(closes(spark, sf))), 5)
+    return rounded(ev.newest_events(indicator_events(stage(closes(spark, sf)))), 5)
 
 
 @query("events_recent", f"""WITH {BARS}, {EVENTS_CTE}, cut AS (SELECT symbol, min(ts) AS cut FROM (
     SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS r FROM bars) WHERE r <= 10 GROUP BY symbol)
   SELECT evs.symbol, ts, indicator, kind, round(price, 5) AS price, round(level, 5) AS level FROM evs JOIN cut USING (symbol) WHERE ts >= cut""")
 def _(spark, sf):
-    daily = closes(spark, sf)
+    daily = stage(closes(spark, sf))
     return rounded(ev.recent_events(indicator_events(daily), daily), 5)

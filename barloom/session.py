@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -24,11 +25,27 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a fallback is used only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or fallback
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names in spark.checkpoint.dir.
+
+    Only a local-mode session without that setting gets a folder of its own; a cluster must name one.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
-        raise ValueError("spark.checkpoint.dir is not set and no fallback folder was given")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+        named = tempfile.mkdtemp(prefix="barloom-checkpoint-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
     return named
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write an intermediate table that several branches read, and cut its lineage.
+
+    Meant for tables that are already small (bars, lots per day, one row per company): one reliable
+    checkpoint replaces a rescan of the ticks per branch and survives lost executors.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
