@@ -211,3 +211,20 @@ def quotes(profile: DataFrame) -> DataFrame:
         "symbol", p.alias("price"), c.alias("previous_close"), change.alias("change_pct"),
         F.when(change.isNull(), "unavailable").otherwise("ok").alias("status"),
         F.when(change.isNull(), "quote missing price or previous close").alias("detail"))
+
+
+def candidate_universe(sources: Sequence[DataFrame], target: str) -> DataFrame:
+    """Distinct upper-cased symbols over all sources, without the target."""
+    parts = [s.select(F.upper(F.trim("symbol")).alias("symbol")) for s in sources]
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    return both.where((F.col("symbol") != "") & (F.col("symbol") != target.strip().upper())).distinct()
+
+
+def quotes_for(asked: DataFrame, quoted: DataFrame) -> DataFrame:
+    """Quotes of the asked symbols, numbered in the caller's order; unknown ones are unavailable."""
+    out = asked.select("ordinal", "symbol").join(quoted, "symbol", "left")
+    missing = F.col("status").isNull()
+    return out.withColumns({
+        "status": F.coalesce("status", F.lit("unavailable")), "detail": F.when(missing, "no quote data returned").otherwise(F.col("detail"))})

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from barloom.functions.series import rounded
 from barloom.operators import clean as cl
 from barloom.operators import thresholds as th
-from barloom.plans.base_sql import BARS
+from barloom.plans.base_sql import BARS, BENCH
 from barloom.plans.registry import query
 from barloom.sources import payloads as pl
 from barloom.sources.companies import statements, yearly
-from barloom.sources.market import bars_daily, brand_number
+from barloom.sources.market import bars_daily, brand_number, macro_bundle
 from barloom.sources.tables import bars_between, bars_of, table
 
 
@@ -147,3 +147,18 @@ def _(spark, sf):
 def _(spark, sf):
     out = statements(yearly(spark, sf)).select("symbol", F.col("period_end").cast("timestamp_ntz").alias("period"))
     return out.distinct()
+
+
+@query("src_macro_bundle", f"""WITH {BARS}{BENCH}, e AS (SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS ts, arg_max(100 + 0.5 * sqrt(value), epoch_us(events.ts) * 4096 + event_id % 4096) AS c FROM events WHERE event_type IN ('error', 'view') GROUP BY ALL),
+  s AS (SELECT ts, max(c) FILTER (event_type = 'error') AS fear, max(c) FILTER (event_type = 'view') AS yield FROM e GROUP BY ts)
+  SELECT ts, round(bench, 6) AS benchmark, round(fear, 6) AS fear, round(yield, 6) AS yield FROM bench FULL JOIN s USING (ts)""")
+def _(spark, sf):
+    return rounded(macro_bundle(spark, sf))
+
+
+@query("src_provider_union", f"""WITH {BARS}, e AS (SELECT 'crypto:' || event_type AS symbol, date_trunc('day', ts)::TIMESTAMP AS ts, arg_max(value, epoch_ms(ts)) AS close FROM events GROUP BY ALL)
+  SELECT symbol, 'primary' AS provider, count(*) AS bars, count(volume) AS with_volume FROM bars GROUP BY symbol UNION ALL SELECT symbol, 'chart', count(*), 0 FROM e GROUP BY symbol""")
+def _(spark, sf):
+    other = pl.daily_from_chart(chart_payloads(spark, sf)).drop("volume")
+    both = pl.with_provider(bars_daily(spark, sf), other, "chart")
+    return both.groupBy("symbol", "provider").agg(F.count(F.lit(1)).alias("bars"), F.count("volume").alias("with_volume"))

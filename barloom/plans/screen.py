@@ -214,3 +214,20 @@ def _(spark, sf):
   CASE WHEN quote_price IS NULL OR previous_close IS NULL THEN 'unavailable' ELSE 'ok' END AS status, CASE WHEN quote_price IS NULL OR previous_close IS NULL THEN 'quote missing price or previous close' END AS detail FROM profile""")
 def _(spark, sf):
     return rounded(sc.quotes(profiles(yearly(spark, sf))), 5)
+
+
+@query("sc_quotes_in_order", f"""WITH {YEARLY}, {PROFILE}, a AS (SELECT s_suppkey AS ordinal, 'S' || (s_suppkey * 7) AS symbol FROM supplier)
+  SELECT ordinal, a.symbol, quote_price AS price, round((quote_price - previous_close) / previous_close * 100, 5) AS change_pct, CASE WHEN quote_price IS NULL OR previous_close IS NULL THEN 'unavailable' ELSE 'ok' END AS status,
+    CASE WHEN p.symbol IS NULL THEN 'no quote data returned' WHEN quote_price IS NULL OR previous_close IS NULL THEN 'quote missing price or previous close' END AS detail FROM a LEFT JOIN profile p USING (symbol)""")
+def _(spark, sf):
+    k = F.col("s_suppkey")
+    asked = table(spark, sf, "supplier").select(k.alias("ordinal"), F.concat(F.lit("S"), (k * 7).cast("string")).alias("symbol"))
+    return rounded(sc.quotes_for(asked, sc.quotes(profiles(yearly(spark, sf)))).drop("previous_close"), 5)
+
+
+@query("sc_candidate_universe", """SELECT DISTINCT upper(trim(symbol)) AS symbol FROM (SELECT p_brand AS symbol FROM part UNION ALL SELECT event_type FROM events UNION ALL SELECT ' ' || n_name || ' ' FROM nation) WHERE upper(trim(symbol)) NOT IN ('', 'BRAND#7')""")
+def _(spark, sf):
+    parts = table(spark, sf, "part").select(F.col("p_brand").alias("symbol"))
+    events = table(spark, sf, "events").select(F.col("event_type").alias("symbol"))
+    nations = table(spark, sf, "nation").select(F.concat(F.lit(" "), "n_name", F.lit(" ")).alias("symbol"))
+    return sc.candidate_universe([parts, events, nations], "Brand#7 ")

@@ -79,3 +79,15 @@ def lots(spark: SparkSession, folder: str) -> DataFrame:
     price = 100 + 0.05 * F.sqrt(F.col("l_extendedprice") / F.col("l_quantity"))
     return bought.groupBy("portfolio", "symbol", "purchase_date").agg(
         F.sum("l_quantity").alias("shares"), F.sum(F.col("l_quantity") * price).alias("cost"))
+
+
+RESERVED = {"benchmark": BENCHMARK, "fear": "error", "yield": "view"}
+
+
+def macro_bundle(spark: SparkSession, folder: str) -> DataFrame:
+    """(ts, benchmark, fear, yield): the reserved series side by side, one row per day."""
+    base = benchmark(bars_daily(spark, folder)).withColumnRenamed("bench", "benchmark")
+    daily = bars(event_ticks(spark, folder), "day")
+    picked = daily.where(F.col("symbol").isin(RESERVED["fear"], RESERVED["yield"]))
+    side = picked.groupBy("ts").agg(*[F.max(F.when(F.col("symbol") == RESERVED[n], F.col("close"))).alias(n) for n in ("fear", "yield")])
+    return base.join(side, "ts", "full")

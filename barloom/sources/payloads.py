@@ -86,3 +86,9 @@ def load_status(symbols: DataFrame, tables: dict[str, DataFrame], required: str)
         out = out.join(df.select("symbol").distinct().withColumn(f"_{name}", F.lit(True)), "symbol", "left")
     warn = F.concat_ws(", ", *[F.when(F.col(f"_{n}").isNull(), F.lit(f"no {n}")) for n in tables if n != required])
     return out.select("symbol", warn.alias("warnings"), F.when(F.col(f"_{required}").isNull(), F.lit(f"no {required}")).alias("error"))
+
+
+def with_provider(primary: DataFrame, other: DataFrame, name: str) -> DataFrame:
+    """Rows of a second provider under the first one's schema; columns it lacks stay NULL."""
+    tagged = primary.withColumn("provider", F.lit("primary"))
+    return tagged.unionByName(other.withColumn("provider", F.lit(name)), allowMissingColumns=True).select(*tagged.columns)
