@@ -39,17 +39,19 @@ def _(spark, sf):
     return rounded(done.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
 
 
-@query("stream_new_triggers", """WITH e AS (SELECT event_type || '/' || t AS rule_id, ts, event_id, 100 + 0.5 * sqrt(value) >= t AS is_met FROM events, (VALUES (106), (108)) v(t)),
+@query("stream_new_triggers", f"""WITH {HOURLY}, b AS (SELECT symbol, ts, close FROM hourly WHERE ts + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 HOUR FROM events)),
+  e AS (SELECT symbol || '/' || t AS rule_id, ts, close >= t AS is_met FROM b, (VALUES (106), (108)) v(t)),
   l AS (SELECT *, coalesce(lag(is_met) OVER (PARTITION BY rule_id ORDER BY ts), false) AS was FROM e)
   SELECT rule_id, ts FROM l WHERE is_met AND NOT was""")
 def _(spark, sf):
+    """Price rules evaluated on finished bars, so a batch holds at most one row per rule and bar."""
     out = _workspace(spark)
     level = F.explode(F.array(F.lit(106), F.lit(108))).alias("t")
-    results = _event_stream(spark, sf).select("symbol", "ts", "price", level).select(
-        F.concat_ws("/", "symbol", F.col("t").cast("string")).alias("rule_id"), "ts", (F.col("price") >= F.col("t")).alias("is_met"))
+    results = stream_bars(_event_stream(spark, sf)).select("symbol", "ts", "close", level).select(
+        F.concat_ws("/", "symbol", F.col("t").cast("string")).alias("rule_id"), "ts", (F.col("close") >= F.col("t")).alias("is_met"))
 
     def deliver(fired, batch_id):
-        fired.select("rule_id", "ts").write.mode("overwrite").parquet(f"{out}/fired/batch={batch_id}")
+        fired.select("rule_id", F.col("ts").cast("timestamp_ntz").alias("ts")).write.mode("overwrite").parquet(f"{out}/fired/batch={batch_id}")
 
     watch(results, f"{out}/state", deliver, f"{out}/log").awaitTermination()
     return spark.read.parquet(f"{out}/fired").select("rule_id", "ts")

@@ -27,31 +27,23 @@ def advanced(batch: DataFrame, state: DataFrame) -> DataFrame:
 
 
 class StateTable:
-    """Rule state as one folder per batch; a batch is committed by writing its folder."""
+    """Rule state as one partition per batch; committing a batch replaces only its own partition."""
 
-    SCHEMA = "rule_id string, was_active boolean"
+    SCHEMA = "rule_id string, was_active boolean, batch long"
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
-
-    def _folder(self, batch_id: int) -> str:
-        return f"{self.path}/state-{batch_id:012d}"
-
-    def _exists(self, folder: str) -> bool:
-        jvm = self.spark._jvm
-        done = jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
-        return done.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(done)
-
-    def committed(self, batch_id: int) -> bool:
-        return self._exists(self._folder(batch_id))
+        spark.createDataFrame([], self.SCHEMA).write.mode("ignore").partitionBy("batch").parquet(path)
 
     def before(self, batch_id: int) -> DataFrame:
-        if batch_id > 0 and self.committed(batch_id - 1):
-            return self.spark.read.schema(self.SCHEMA).parquet(self._folder(batch_id - 1))
-        return self.spark.createDataFrame([], self.SCHEMA)
+        """The newest state older than the batch (empty at the start)."""
+        known = self.spark.read.schema(self.SCHEMA).parquet(self.path).where(F.col("batch") < batch_id)
+        newest = known.agg(F.max("batch").alias("batch"))
+        return known.join(newest, "batch", "left_semi").drop("batch")
 
     def commit(self, batch_id: int, state: DataFrame) -> None:
-        state.write.mode("overwrite").parquet(self._folder(batch_id))
+        state.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.path)
 
 
 def watch(results: DataFrame, state_path: str, deliver: Callable[[DataFrame, int], None], checkpoint: str,
@@ -59,16 +51,18 @@ def watch(results: DataFrame, state_path: str, deliver: Callable[[DataFrame, int
     """Deliver new triggers of every micro-batch, then store the state.
 
     The state moves only after ``deliver`` returned, so a failed delivery is repeated (at least once); a dry
-    run delivers and stores nothing.
+    run delivers and stores nothing (give it a checkpoint of its own).
     """
     table = StateTable(results.sparkSession, state_path)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        if dry_run or table.committed(batch_id):
+        if dry_run:
             return
         state = table.before(batch_id)
+        batch = batch.persist()
         deliver(edges(batch, state), batch_id)
         table.commit(batch_id, advanced(batch, state))
+        batch.unpersist()
 
     return results.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
