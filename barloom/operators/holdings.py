@@ -34,28 +34,32 @@ def merge_lots(lots: DataFrame) -> DataFrame:
 def value_series(lots: DataFrame, bars: DataFrame) -> DataFrame:
     """(portfolio, ts, value, flow): market value and money added on every trading day since the first purchase.
 
-    Lots and prices are interleaved per (portfolio, symbol): the running sum of shares and the last price
-    give the as-of holding, without a range join of lots to days.
+    Lots, prices and calendar days are interleaved per (portfolio, symbol): the running sum of shares and the
+    last price give the as-of holding of every day, without a range join.
     """
     lots = merge_lots(lots)
     held = lots.groupBy("portfolio", "symbol").agg(F.min("purchase_date").alias("_first"))
     start = held.groupBy("portfolio").agg(F.min("_first").alias("_start"))
-    known = bars.select("symbol").distinct()
-    pairs = held.join(known, "symbol", "left_semi").join(start, "portfolio").select("portfolio", "symbol", "_start")
+    # one row per held and priced symbol; written once because three branches read it
+    pairs = stage(held.join(bars.select("symbol").distinct(), "symbol", "left_semi").join(start, "portfolio").select("portfolio", "symbol", "_start"))
     prices = bars.join(pairs, "symbol").where(F.col("ts") >= F.col("_start").cast("timestamp_ntz")).select(
         "portfolio", "symbol", "ts", "close")
-    calendar = prices.select("portfolio", "ts").distinct()
-    grid = calendar.join(pairs.select("portfolio", "symbol"), "portfolio").join(prices, ["portfolio", "symbol", "ts"], "left")
+    days = prices.select("portfolio", "ts").distinct().join(pairs.select("portfolio", "symbol"), "portfolio")
     none = F.lit(None).cast("double")
-    timeline = grid.select("portfolio", "symbol", "ts", F.lit(1).alias("_day"), "close", none.alias("shares"), none.alias("cost")).unionByName(
-        lots.join(known, "symbol", "left_semi").select(
-            "portfolio", "symbol", F.col("purchase_date").cast("timestamp_ntz").alias("ts"), F.lit(0).alias("_day"),
-            none.alias("close"), "shares", "cost"))
-    w = Window.partitionBy("portfolio", "symbol").orderBy("ts", "_day").rowsBetween(Window.unboundedPreceding, 0)
+
+    def events(df: DataFrame, order: int, close: Column = none, shares: Column = none, cost: Column = none) -> DataFrame:
+        return df.select("portfolio", "symbol", "ts", F.lit(order).alias("_k"), close.alias("close"), shares.alias("shares"), cost.alias("cost"))
+
+    bought = lots.join(pairs.select("portfolio", "symbol"), ["portfolio", "symbol"], "left_semi").withColumn(
+        "ts", F.col("purchase_date").cast("timestamp_ntz"))
+    timeline = (
+        events(bought, 0, shares=F.col("shares"), cost=F.col("cost")).unionByName(events(prices, 1, close=F.col("close")))
+        .unionByName(events(days, 2)))
+    w = Window.partitionBy("portfolio", "symbol").orderBy("ts", "_k").rowsBetween(Window.unboundedPreceding, 0)
     run = timeline.select(
-        "portfolio", "symbol", "ts", "_day", F.last("close", ignorenulls=True).over(w).alias("price"),
+        "portfolio", "symbol", "ts", "_k", F.last("close", ignorenulls=True).over(w).alias("price"),
         F.coalesce(F.sum("shares").over(w), F.lit(0.0)).alias("shares"), F.coalesce(F.sum("cost").over(w), F.lit(0.0)).alias("paid"))
-    daily = run.where(F.col("_day") == 1).groupBy("portfolio", "ts").agg(
+    daily = run.where(F.col("_k") == 2).groupBy("portfolio", "ts").agg(
         F.sum(F.coalesce(F.col("shares") * F.col("price"), F.lit(0.0))).alias("value"), F.sum("paid").alias("_paid"))
     before = prev(F.col("_paid"), key=("portfolio",))
     return daily.withColumn("flow", F.col("_paid") - F.coalesce(before, F.lit(0.0))).drop("_paid")

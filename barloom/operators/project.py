@@ -50,10 +50,14 @@ def bootstrap_steps(bars: DataFrame, sims: int = P.SIMULATIONS, days: int = P.FO
     start = rets.groupBy("symbol").agg(F.max_by("close", "ts").alias("start"), F.count("ret").alias("n"))
     indexed = rets.where(F.col("ret").isNotNull()).select(
         "symbol", (F.row_number().over(over_time()) - 1).cast("long").alias("i"), F.col("ret").alias("step"))
-    paths = _spread(start.where(F.col("n") > P.MIN_HISTORY), sims).withColumn("day", _days(days))
-    b = F.floor((F.col("day") - 1) / block)
-    first = F.floor(uniform(F.col("symbol"), F.col("sim"), b) * (F.col("n") - block + 1))
-    drawn = paths.withColumn("i", (first + (F.col("day") - 1) % block).cast("long"))
+    blocks = -(-days // block)
+    paths = _spread(start.where(F.col("n") > P.MIN_HISTORY), sims).withColumn(
+        "_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    # one draw per block, then its consecutive days
+    first = F.floor(uniform(F.col("symbol"), F.col("sim"), F.col("_b")) * (F.col("n") - block + 1)).cast("long")
+    inside = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(block - 1).cast("long")))
+    drawn = paths.withColumn("_first", first).withColumn("_k", inside).withColumns({
+        "i": F.col("_first") + F.col("_k"), "day": F.col("_b") * block + F.col("_k") + 1}).where(F.col("day") <= days)
     return drawn.join(indexed, ["symbol", "i"]).select(*PATH, "day", "start", "step")
 
 

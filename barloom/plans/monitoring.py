@@ -19,7 +19,7 @@ from barloom.plans.holdings import END, TWR, VALUE, staged_lots
 from barloom.plans.registry import query
 from barloom.plans.replay import RISK_SCORE
 from barloom.plans.risk import METRICS, PERF, drawdown_sql, staged_closes, tail_sql
-from barloom.plans.screen import WIDE_SQL, full_metrics
+from barloom.plans.screen import WIDE_SQL, full_metrics, risk_inputs
 from barloom.plans.technical import bollinger_events, indicator_events, macd_events, sma_events
 from barloom.operators.events import recent_events
 from barloom.sources.bars import bars
@@ -43,7 +43,7 @@ def rules(spark, sf):
 
 
 def snapshots(spark, sf, daily=None):
-    wide = rk.risk_score(full_metrics(spark, sf, daily))
+    wide = rk.risk_score(risk_inputs(spark, sf, daily))
     return wide.select("symbol", *METRIC_KEYS)
 
 
@@ -276,6 +276,6 @@ def _(spark, sf):
   ({' + '.join(f'({n} IS NOT NULL)::INT' for n, *_ in P.RISK_FACTORS)})::BIGINT AS factors, concat_ws(', ', {', '.join(f"CASE WHEN {n} IS NULL THEN '{n}' END" for n, *_ in P.RISK_FACTORS)}) AS excluded,
   round(altman_z, 5) AS altman_z, round(rolling_vol, 5) AS rolling_vol, round(hist_var, 6) AS hist_var, round(expected_shortfall, 6) AS expected_shortfall, round(max_drawdown, 6) AS max_drawdown FROM wide""")
 def _(spark, sf):
-    out = rk.risk_score(full_metrics(spark, sf))
+    out = rk.risk_score(risk_inputs(spark, sf))
     return rounded(out.select("symbol", "risk_score", "risk_grade", "factors", "excluded", "altman_z", "rolling_vol", "hist_var", "expected_shortfall", "max_drawdown"),
                    6, altman_z=5, rolling_vol=5)

@@ -36,12 +36,18 @@ def brand_analyzed(spark, sf, daily=None):
     return fa.ratios(fa.standardize(periods, profile, last))
 
 
-def full_metrics(spark, sf, daily=None):
-    """Fundamental and price metrics of every brand, one row each."""
+def risk_inputs(spark, sf, daily=None):
+    """Fundamental and risk columns of every brand, one row each."""
     daily = staged_closes(spark, sf) if daily is None else daily
     prices = rk.risk_metrics(daily).drop("bars", "last_close", "n_returns")
+    return brand_analyzed(spark, sf, daily).join(prices, "symbol", "left")
+
+
+def full_metrics(spark, sf, daily=None):
+    """Fundamental, risk and indicator metrics of every brand, one row each."""
+    daily = staged_closes(spark, sf) if daily is None else daily
     last_rsi = latest(ti.rsi(daily).select("symbol", "ts", "rsi")).select("symbol", "rsi")
-    return brand_analyzed(spark, sf, daily).join(prices, "symbol", "left").join(last_rsi, "symbol", "left")
+    return risk_inputs(spark, sf, daily).join(last_rsi, "symbol", "left")
 
 
 CRIT_SQL = "crit AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{m}', '{o}', {t}::DOUBLE)" for s, m, o, t in CRITERIA) + ") c(screen_id, metric, op, threshold))"
