@@ -20,7 +20,7 @@ from barloom.plans.registry import query
 from barloom.plans.replay import RISK_SCORE
 from barloom.plans.risk import METRICS, PERF, drawdown_sql, staged_closes, tail_sql
 from barloom.plans.screen import WIDE_SQL, full_metrics, risk_inputs
-from barloom.plans.technical import bollinger_events, indicator_events, macd_events, sma_events
+from barloom.plans.technical import bollinger_events, indicator_events
 from barloom.operators.events import recent_events
 from barloom.sources.bars import bars
 from barloom.sources.market import benchmark, brand_number, event_ticks
@@ -199,8 +199,7 @@ def flag_state(spark, sf):
     """Everything the flag list reads, one row per brand."""
     daily = staged_closes(spark, sf)
     base = rk.risk_score(fa.dcf(fa.company_quality(fa.scorecard(full_metrics(spark, sf, daily))), GROWTH))
-    recent = recent_events(
-        sma_events(daily).unionByName(macd_events(daily)).unionByName(bollinger_events(daily)), daily)
+    recent = recent_events(indicator_events(daily), daily)
     kind = lambda i: F.max_by("kind", F.when(F.col("indicator") == i, F.col("ts")))
     kinds = recent.groupBy("symbol").agg(kind("sma").alias("sma_kind"), kind("macd").alias("macd_kind"), kind("bollinger").alias("band_kind"))
     fear = bars(event_ticks(spark, sf).where(F.col("symbol") == "error"), "day")

@@ -8,6 +8,7 @@ from barloom import params as P
 from barloom.functions.series import bands, rounded
 from barloom.operators import events as ev
 from barloom.operators import indicators as ti
+from barloom.operators.backtest import event_kind
 from barloom.plans.base_sql import (
     BANDS_CTE, BARS, BENCH, BREAKS, EVENTS_CTE, HOURLY, MACD_CTE, RSI_CTE, SMA_CTE, flips, full, recur, seeded,
 )
@@ -178,13 +179,19 @@ def bollinger_events(daily):
 
 
 def indicator_events(daily):
-    """SMA, MACD and Bollinger events of every symbol from one indicator frame."""
+    """SMA, MACD and Bollinger events of every symbol, read off one indicator frame (no union of branches)."""
+    sma = f"sma_{P.SMA_DEFAULT}"
     frame = ti.bollinger(ti.sma(ti.macd(daily), [P.SMA_DEFAULT]))
-    return (
-        ev.crossings(frame, "close", f"sma_{P.SMA_DEFAULT}", "sma")
-        .unionByName(ev.crossings(frame, "macd_line", "macd_signal", "macd"))
-        .unionByName(ev.breakouts(frame))
-    )
+    frame = frame.withColumns({f"_{i}": event_kind(i) for i in ("sma_cross", "macd_cross", "bollinger_breakout")})
+    band = F.col("_bollinger_breakout")
+
+    def fired(name, kind, level):
+        return F.when(kind.isNotNull(), F.struct(F.lit(name).alias("indicator"), kind.alias("kind"), F.col("close").alias("price"), level.alias("level")))
+
+    found = F.array_compact(F.array(
+        fired("sma", F.col("_sma_cross"), F.col(sma)), fired("macd", F.col("_macd_cross"), F.col("macd_signal")),
+        fired("bollinger", F.when(band != "inside", band), F.when(band == "upper", F.col("bb_upper")).otherwise(F.col("bb_lower")))))
+    return frame.select("symbol", "ts", F.explode(found).alias("e")).select("symbol", "ts", "e.*")
 
 
 def closes(spark, sf):

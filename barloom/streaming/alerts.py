@@ -22,8 +22,9 @@ def edges(batch: DataFrame, state: DataFrame) -> DataFrame:
 
 def advanced(batch: DataFrame, state: DataFrame) -> DataFrame:
     """State after the batch: the newest evaluation of every rule, older rules kept."""
-    newest = batch.groupBy("rule_id").agg(F.max_by("is_met", "ts").alias("was_active"))
-    return newest.unionByName(state.join(newest, "rule_id", "left_anti"))
+    newest = batch.groupBy("rule_id").agg(F.max_by("is_met", "ts").alias("_now"))
+    both = newest.join(state.select("rule_id", "was_active"), "rule_id", "full")
+    return both.select("rule_id", F.coalesce("_now", "was_active").alias("was_active"))
 
 
 class StateTable:
