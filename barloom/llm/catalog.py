@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from barloom.llm import quality
+from barloom.llm import bpe, chat, embeddup, mixing, neardup, pii, quality, tokenfile, urls
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
+    "op2_urls": urls.op2_urls,
+    "op3_bpe": bpe.op3_bpe,
+    "op4_neardup": neardup.op4_neardup,
+    "op5_chat": chat.op5_chat,
+    "op6_tokenfile": tokenfile.op6_tokenfile,
+    "op7_pii": pii.op7_pii,
     "op9_quality": quality.op9_quality,
+    "op10_embeddings": embeddup.op10_embeddings,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_urls": urls.OP2_SQL,
+    "op10_embeddings": embeddup.OP10_SQL,
+}
