@@ -215,9 +215,9 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = f"""
 WITH RECURSIVE v AS (
-  SELECT vec_id, row_number() OVER () AS rn, list_transform(embedding, x -> x::DOUBLE) AS e,
-         embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-           AND len(list_filter(embedding, x -> x <> 0)) > 0 AS ok FROM embeddings),
+  SELECT vec_id, row_number() OVER () AS rn, list_transform(embedding, lambda x: x::DOUBLE) AS e,
+         embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+           AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok FROM embeddings),
 n AS MATERIALIZED (SELECT vec_id, rn, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE ok),
 l AS MATERIALIZED (SELECT a.rn AS a, b.rn AS b FROM n a JOIN n b ON a.rn <> b.rn AND len(a.e) = len(b.e)
       AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= {COSINE}),

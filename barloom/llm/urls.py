@@ -122,7 +122,7 @@ fit AS (SELECT u.rn, r.suffix || r.rpath AS rule, r.verdict,
 judged AS (SELECT u.rn, page_id, host, path, rule, verdict FROM u LEFT JOIN fit ON u.rn = fit.rn AND k = 1),
 edges AS (SELECT src, dst, count(*) AS n FROM (
             SELECT DISTINCT rn, host AS src, unnest(list_transform(regexp_extract_all(html, '{LINK.replace("'", "''")}', 1),
-                   x -> translate(x, '{UPPER}', '{LOWER}'))) AS dst FROM u WHERE host <> '') WHERE src <> dst GROUP BY ALL),
+                   lambda x: translate(x, '{UPPER}', '{LOWER}'))) AS dst FROM u WHERE host <> '') WHERE src <> dst GROUP BY ALL),
 w AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS fw, n / sum(n) OVER (PARTITION BY dst) AS bk FROM edges),
 seeds AS (SELECT host, max(good) AS good, max(bad) AS bad FROM (
             SELECT host, avg(CASE WHEN verdict = 'allow' THEN 1.0 ELSE 0.0 END) AS good,
