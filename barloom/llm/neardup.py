@@ -4,14 +4,14 @@ Words are runs of letters and digits, lower-cased; shingles are ``K`` words, lab
 in the text.  For each of ``SKETCHES`` hash functions the ``ORDERED`` least labelled shingles, put back into text order, make one
 sketch.  Two texts meet where a sketch is equal, which needs the same shingles in the same order: sensitive to edits and moves.
 
-A pair that meets is linked if its labelled shingles have a Jaccard similarity of ``SIMILARITY`` or more (an upper bound, quick
-to reject by) and its words align with an edit similarity of as much: furthest-reaching diagonals inside a band as
-wide as that similarity allows.
+A pair that meets is linked if its words align with an edit similarity (one less edits over the longer length) of
+``SIMILARITY`` or more: furthest-reaching diagonals inside a band as wide as that similarity allows.  A bound by the words
+the two have in common, in any order, rejects most other pairs before.
 
 Texts with the same words are one class from the start and are never paired.  Inside a bucket of equal sketches all members are
-compared with one leader, not with each other; as long as members lie in several components, the next component sends a
-leader, which is compared with everybody outside its own.  So a bucket of n copies costs n comparisons, and the number of rounds follows
-the number of different texts that share a sketch.  Groups are the connected components of the links.
+compared with one leader, not with each other; as long as members lie in components that have sent no leader, ``MORE`` times as many
+send one, each compared with everybody outside its own component.  So a bucket of n copies costs n comparisons, and the rounds follow
+the logarithm of the different texts that share a sketch.  Groups are the connected components of the links.
 
 Defined cases: a null text counts as empty; texts without words are grouped by the exact text, texts of fewer than ``K`` words have
 one shingle of all words; repeated rows are members of the same class each; of a group the smallest ``doc_id`` stays (null
@@ -27,17 +27,20 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import aside, components, table, whole_row
 
 K = 5
 SIMILARITY = 0.8
-SKETCHES = 16
+SKETCHES = 32
 ORDERED = 3
+MORE = 8
+#: Hashes held at once while sketching.
+WIDE = 1_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
-SALTS = np.array([int.from_bytes(blake2b(bytes([i]), digest_size=8).digest(), "little") | 1 for i in range(SKETCHES)], np.uint64)
+SALTS = np.array([int.from_bytes(blake2b(bytes([i]), digest_size=8).digest(), "little") for i in range(SKETCHES)], np.uint64)
 FEATURES = "digest binary, n_words int, sketches array<long>, words binary"
 
 _KEEP = np.zeros(256, bool)  # bytes of words: ASCII letters and digits, and all of longer characters
@@ -87,16 +90,21 @@ def shingles(words: np.ndarray) -> np.ndarray:
 
 def sketches(labelled: np.ndarray) -> np.ndarray:
     """One 64-bit key a hash function: its least shingles in text order."""
-    with np.errstate(over="ignore"):
-        few = min(ORDERED, len(labelled))
-        keys = np.zeros(SKETCHES, np.uint64)
-        for i, salt in enumerate(SALTS):
-            hashed = _mix(labelled * salt + salt)
-            least = np.argpartition(hashed, few - 1)[:few] if few < len(hashed) else np.arange(few)
-            key = np.full(1, i + 1, np.uint64)
-            for x in labelled[np.sort(least)]:
-                key = _mix(key * ODD + x)
-            keys[i] = key[0]
+    few, n = min(ORDERED, len(labelled)), len(labelled)
+    keys = np.arange(1, SKETCHES + 1, dtype=np.uint64)
+    at_once = max(1, WIDE // n)  # hash functions
+    for first in range(0, SKETCHES, at_once):
+        salts = SALTS[first:first + at_once, None]
+        hashed = (labelled ^ salts) * (salts | np.uint64(1))
+        hashed ^= hashed >> np.uint64(31)
+        rows = np.arange(len(salts))
+        least = np.empty((len(salts), few), np.int64)
+        for k in range(few):
+            least[:, k] = hashed.argmin(axis=1)
+            hashed[rows, least[:, k]] = np.uint64(2**64 - 1)
+        least.sort(axis=1)
+        for k in range(few):
+            keys[first:first + at_once] = _mix(keys[first:first + at_once] * ODD + labelled[least[:, k]])
     return keys.view(np.int64)
 
 
@@ -131,14 +139,14 @@ def edits(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two texts, as word hashes, are near-duplicates."""
-    if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
-        return False
-    one, two = shingles(a), shingles(b)
-    common = len(np.intersect1d(one, two, assume_unique=True))
-    if common < SIMILARITY * (len(one) + len(two) - common):
-        return False
-    return edits(a, b, int((1 - SIMILARITY) * max(len(a), len(b)) + 1e-9)) is not None
+    """Whether two texts, as word hashes, have an edit similarity of SIMILARITY or more."""
+    longer = max(len(a), len(b))
+    most = int((1 - SIMILARITY) * longer + 1e-9)
+    # no alignment matches more words than the two bags share
+    values, counts = np.unique(a, return_counts=True)
+    ordered = np.sort(b)
+    shared = np.minimum(counts, np.searchsorted(ordered, values, "right") - np.searchsorted(ordered, values, "left")).sum()
+    return longer - shared <= most and edits(a, b, most) is not None
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,12 +187,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links ``(a, b)`` between digests of near texts, and the components ``(node, root)`` that they make."""
-    members = found.where("n_words > 0").select("digest", F.explode("sketches").alias("sketch")).distinct()
+    members = found.where("n_words > 0").select("digest", "n_words", F.explode("sketches").alias("sketch")).distinct()
     ends = members.groupBy("sketch").agg(F.min("digest").alias("least"), F.max("digest").alias("most"))
     members = aside(members.join(ends.where("least <> most").select("sketch"), "sketch"))
     met = members.select("digest").distinct()
     words = aside(found.select("digest", "words").join(met, "digest", "left_semi").dropDuplicates(["digest"]))
-    near, roots, sent = None, None, None  # sent: (sketch, node), the leaders so far
+    near, roots, sent, at_once = None, None, None, 1  # sent: (sketch, node), the leaders so far
     while True:
         if roots is None:
             own = waiting = members.withColumn("root", F.col("digest"))
@@ -192,22 +200,29 @@ def links(found: DataFrame) -> tuple[DataFrame, DataFrame]:
             own = aside(_rooted(members, roots, "digest"))
             led = _rooted(sent, roots, "node").select("sketch", "root").distinct()
             waiting = own.join(led, ["sketch", "root"], "left_anti")
-        # the least by a hash that differs from bucket to bucket, so that one group has many leaders
-        first = F.min(F.struct(F.xxhash64("digest", "sketch").alias("h"), "digest", "root")).alias("first")
-        leaders = waiting.groupBy("sketch").agg(first)
-        leaders = aside(leaders.select("sketch", F.col("first.digest").alias("leader"), F.col("first.root").alias("its_root")))
+        chosen = F.struct(F.xxhash64("digest").alias("h"), "digest", "root", "n_words")
+        leaders = waiting.groupBy("sketch", "root").agg(F.min(chosen).alias("first"))
+        if at_once == 1:
+            leaders = leaders.groupBy("sketch").agg(F.min("first").alias("first"))
+        else:
+            order = Window.partitionBy("sketch").orderBy("first.h", "first.digest")
+            leaders = leaders.withColumn("k", F.row_number().over(order)).where(F.col("k") <= at_once)
+        leaders = aside(leaders.select(
+            "sketch", F.col("first.digest").alias("leader"), F.col("first.root").alias("its_root"), F.col("first.n_words").alias("its_words")))
         if leaders.isEmpty():
             return near, roots
-        pairs = own.join(leaders, "sketch").where("root <> its_root")
+        fits = F.least("n_words", "its_words") >= SIMILARITY * F.greatest("n_words", "its_words")
+        pairs = own.join(leaders, "sketch").where((F.col("root") != F.col("its_root")) & fits)
         pairs = pairs.select(F.least("leader", "digest").alias("a"), F.greatest("leader", "digest").alias("b")).distinct()
         told = pairs.join(words.select(F.col("digest").alias("a"), F.col("words").alias("words_a")), "a")
         told = told.join(words.select(F.col("digest").alias("b"), F.col("words").alias("words_b")), "b")
         new = aside(told.select("a", "b", "words_a", "words_b").mapInArrow(_verify, "a binary, b binary"))
         near = new if near is None else near.union(new)
         roots = components(near)
-        members = own.join(leaders.select("sketch"), "sketch", "left_semi").select("sketch", "digest")
+        members = own.join(leaders.select("sketch").distinct(), "sketch", "left_semi").select("sketch", "digest", "n_words")
         now = leaders.select("sketch", F.col("leader").alias("node"))
         sent = now if sent is None else sent.union(now)
+        at_once *= MORE
 
 
 def _rooted(rows: DataFrame, roots: DataFrame, node: str) -> DataFrame:
