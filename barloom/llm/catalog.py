@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from barloom.llm import bpe, chat, embeddup, mixing, neardup, pii, quality, tokenfile, urls
+import corpus_pipeline
+from barloom.llm import bpe, chat, embeddup, mixing, neardup, pages, pii, quality, tokenfile, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -12,8 +13,10 @@ QUERIES = {
     "op5_chat": chat.op5_chat,
     "op6_tokenfile": tokenfile.op6_tokenfile,
     "op7_pii": pii.op7_pii,
+    "op8_pages": pages.op8_pages,
     "op9_quality": quality.op9_quality,
     "op10_embeddings": embeddup.op10_embeddings,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {
