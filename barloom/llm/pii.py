@@ -131,9 +131,11 @@ def _listed(kinds: tuple[Kind, ...]) -> Column:
 
 def redact(found: DataFrame) -> DataFrame:
     """The input rows with every span replaced by a tag such as ``[EMAIL]``; ``n_chars``, where there, follows."""
-    spans = F.sort_array(F.concat(*[
-        F.transform(k.name, lambda s, tag=k.name: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{tag.upper()}]").alias("tag")))
-        for k in KINDS]))
+    def tagged(kind: Kind) -> Column:
+        tag = F.lit(f"[{kind.name.upper()}]").alias("tag")
+        return F.transform(kind.name, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), tag))
+
+    spans = F.sort_array(F.concat(*[tagged(k) for k in KINDS]))
     held = found.select("row", "text", spans.alias("spans"))
     def step(acc: Column, s: Column) -> Column:
         piece = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), s["tag"])
