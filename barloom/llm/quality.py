@@ -29,9 +29,11 @@ MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
 #: Hash space of the n-grams: it bounds the model, whatever the corpus.
 BUCKETS = 10_000
+#: Corpus n-grams mixed into the trusted counts, so that a few trusted documents judge mildly.
+PRIOR = 20 * BUCKETS
 TRUSTED_ROWS = 20_000
 #: A document whose n-grams are this much less likely (in nats each) in trusted text than in the corpus goes.
-MIN_SCORE = -0.03
+MIN_SCORE = -0.05
 
 
 def _words(text: Column) -> Column:
@@ -74,11 +76,11 @@ def counts(docs: DataFrame) -> DataFrame:
         F.coalesce(covered["n"], F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS) -> list[float]:
+def fit(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS, prior: float = PRIOR) -> list[float]:
     """Log ratio of each hash bucket: trusted multinomial, smoothed toward the corpus, over the corpus multinomial.
 
     The only thing collected is one number per bucket.  The ids of the trusted sample are at most ``trusted_rows``
-    numbers, which is what makes their broadcast safe.
+    numbers, which is what makes their broadcast safe.  ``prior`` is how many corpus n-grams are mixed in.
     """
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("good_id")).where("good_id is not null").distinct()
     good = good.orderBy(F.xxhash64("good_id"), "good_id").limit(trusted_rows)
@@ -93,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS) ->
     ratios = [0.0] * BUCKETS
     for r in counted:
         share = r["n"] / total
-        ratios[r["bucket"]] = log((r["n_good"] + BUCKETS * share) / ((good_total + BUCKETS) * share))
+        ratios[r["bucket"]] = log((r["n_good"] + prior * share) / ((good_total + prior) * share))
     return ratios
 
 

@@ -17,6 +17,7 @@ a very long text is one segment; an empty table gives an empty file; columns oth
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,7 +38,9 @@ PERCENTILE = 90
 SEGMENT_IDS = 65_536
 END_ID = 2
 CHUNK_CHARS = 400_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
+#: Words of composed Latin letters, where lower case is a matter of single letters.
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 HEAD = struct.Struct("<IHHB")
 SEGMENTS = "shard int, segment int, first long, n_ids long, doc_ids array<long>, doc_lengths array<int>, payload binary"
 
@@ -58,8 +61,9 @@ def pack(ids: np.ndarray) -> bytes:
     packed: list[bytes] = [b""] * blocks
     for width in np.unique(widths).tolist():
         rows = np.flatnonzero(widths == width)
-        bits = ((rest[rows][:, :, None] >> np.arange(width)) & 1).astype(np.uint8)
-        for row, line in zip(rows.tolist(), np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")):
+        bits = np.unpackbits(rest[rows].astype("<u4").view(np.uint8), axis=1, bitorder="little").reshape(len(rows), BLOCK_IDS, 32)
+        lines = np.packbits(bits[:, :, :width].reshape(len(rows), BLOCK_IDS * width), axis=1, bitorder="little")
+        for row, line in zip(rows.tolist(), lines):
             packed[row] = line.tobytes()
     body, starts, at = [], [], 8 + 4 * (blocks + 1)
     for k in range(blocks):
@@ -82,8 +86,9 @@ def unpack(payload: bytes, first_block: int = 0, last_block: int | None = None)
         low, count, exceptions, width = HEAD.unpack_from(payload, starts[k])
         at = starts[k] + HEAD.size
         size = BLOCK_IDS * width // 8
-        bits = np.unpackbits(np.frombuffer(payload, np.uint8, size, at), bitorder="little")
-        ids = bits.reshape(BLOCK_IDS, width)[:count] @ (1 << np.arange(width, dtype=np.int64))
+        bits = np.zeros((BLOCK_IDS, 32), np.uint8)
+        bits[:, :width] = np.unpackbits(np.frombuffer(payload, np.uint8, size, at), bitorder="little").reshape(BLOCK_IDS, width)
+        ids = np.packbits(bits.ravel(), bitorder="little").view("<u4")[:count].astype(np.int64)
         places = np.frombuffer(payload, "<u2", exceptions, at + size)
         ids[places] += np.frombuffer(payload, "<u4", exceptions, at + size + 2 * exceptions).astype(np.int64) << width
         out.append(ids + low)
@@ -94,6 +99,7 @@ class Encoder:
     """The library's tokenizer behind a bounded cache of words.
 
     The vocabulary's own rules never join text across a space or line end, so the parts between them can be encoded one by one.
+    They also lower-case, and split letters from a full stop or comma, so a word of Latin letters shares its entry with its lower case.
     """
 
     def __init__(self, path: str):
@@ -102,24 +108,38 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, list[int]] = {"": []}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+        self.cache: dict[str, bytes] = {"": b""}
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words in one call; the library says which word each id came from."""
+        if not words:
+            return
+        found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(found.ids, "<u4").tobytes()
+        ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words)), side="right")
+        at = 0
+        for word, end in zip(words, (4 * ends).tolist()):
+            self.cache[word] = ids[at:end]
+            at = end
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         parts = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.cache) > CACHED_WORDS:
-            self.cache = {"": []}
+            self.cache = {"": b""}
         cache = self.cache
-        new = list({w for p in parts for w in p if w not in cache})
-        for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            cache[word] = got.ids
-        out = []
-        for p in parts:
-            ids: list[int] = []
-            for word in p:
-                ids += cache[word]
-            ids.append(END_ID)
-            out.append(ids)
-        return out
+        split, plain = {}, {".", ","}
+        for word in {w for p in parts for w in p}.difference(cache):
+            core, mark = (word[:-1], word[-1]) if word[-1] in ".," else (word, "")
+            if LATIN(core):
+                split[word] = core.lower(), mark
+                plain.add(core.lower())
+            else:
+                plain.add(word)
+        self._learn([w for w in plain if w not in cache])
+        for word, (core, mark) in split.items():
+            cache[word] = cache[core] + cache[mark] if mark else cache[core]
+        end = np.array([END_ID], "<u4").tobytes()
+        return [np.frombuffer(b"".join([*map(cache.__getitem__, p), end]), "<u4") for p in parts]
 
 
 @lru_cache(2)
@@ -156,7 +176,7 @@ def _writer(path: str):
             for doc_id, tokens in zip(ids, encoder(path).encode(texts)):
                 doc_ids.append(doc_id)
                 lengths.append(len(tokens))
-                held.append(np.array(tokens, np.int64))
+                held.append(tokens.astype(np.int64))
                 size += len(tokens)
                 if size >= SEGMENT_IDS:
                     yield row()

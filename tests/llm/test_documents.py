@@ -67,7 +67,7 @@ def test_quality_prefers_trusted(spark):
     bad = [(100 + i, " ".join(f"{w}%%%" for w in prose(50 + i, 80).split()), None, None, None) for i in range(20)]
     docs = frame(spark, good + bad)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(20)] + [(100 + i, 0, 0) for i in range(5)], "doc_id long, quality int, toxic int")
-    kept = {r[0] for r in quality.judge(docs, quality.fit(docs, labels)).where("kept").select("row.doc_id").collect()}
+    kept = {r[0] for r in quality.judge(docs, quality.fit(docs, labels, prior=2000)).where("kept").select("row.doc_id").collect()}
     assert kept == set(range(40))
 
 
