@@ -36,16 +36,11 @@ def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     edges = aside(both.where("a <> b").distinct())
     roots = edges.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("root"))
     for _ in range(max_rounds):
-        if edges.isEmpty():
-            break
-        hooks = edges.groupBy("a").agg(F.min(spread("b")).alias("least")).select(
-            "a", F.least("least", spread("a"))["n"].alias("to"))
-        hooks = aside(hooks)
-        roots = roots.join(hooks.select(F.col("a").alias("root"), "to"), "root", "left").select(
-            "node", F.coalesce("to", "root").alias("root"))
+        hooks = edges.groupBy("a").agg(F.min(spread("b")).alias("least")).select("a", F.least("least", spread("a"))["n"].alias("to"))
+        roots = roots.join(hooks.select(F.col("a").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
         left = edges.join(hooks, "a").select(F.col("to").alias("x"), "b")
         both = left.join(hooks.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
         edges = aside(both.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-    else:
-        raise RuntimeError("links were left after the last round")
-    return aside(roots)
+        if edges.isEmpty():
+            return aside(roots)
+    raise RuntimeError("links were left after the last round")

@@ -5,7 +5,7 @@ in the text.  For each of ``SKETCHES`` hash functions the ``ORDERED`` least labe
 sketch.  Two texts meet where a sketch is equal, which needs the same shingles in the same order: sensitive to edits and moves.
 
 A pair that meets is linked if its words align with an edit similarity (one less edits over the longer length) of
-``SIMILARITY`` or more: furthest-reaching diagonals inside a band as wide as that similarity allows.  A bound by the words
+``SIMILARITY`` or more, inside a band around the diagonal as wide as that similarity allows.  A bound by the words
 the two have in common, in any order, rejects most other pairs before.
 
 Texts with the same words are one class from the start and are never paired.  Inside a bucket of equal sketches all members are
@@ -21,7 +21,6 @@ out of the way.
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -36,7 +35,7 @@ K = 5
 SIMILARITY = 0.8
 SKETCHES = 32
 ORDERED = 3
-MORE = 8
+MORE = 64
 #: Hashes held at once while sketching.
 WIDE = 1_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -108,34 +107,61 @@ def sketches(labelled: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def edits(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """Word edits (insert, drop, replace) between two texts, or None if more than ``most``: diagonals within that band."""
-    if abs(len(a) - len(b)) > most:
-        return None
+def _edits_in_band(a: list[int], b: list[int], band: int) -> int | None:
+    """Edits between two word lists if at most ``band``, else None; only cells within ``band`` of the diagonal are looked at.
+
+    Columns of the alignment table are bit vectors of the differences between neighbouring cells.  Bit ``i`` of column ``j`` is row
+    ``j - band + i``, so the window slides along the diagonal.
+    """
     n, m = len(a), len(b)
-    unlike: dict[int, list[int]] = {}
-
-    def slide(diagonal: int, x: int) -> int:
-        """Place in ``a`` up to which the diagonal agrees from ``x`` on."""
-        found = unlike.get(diagonal)
-        if found is None:
-            lo, hi = max(0, -diagonal), min(n, m - diagonal)
-            places = np.flatnonzero(a[lo:hi] != b[lo + diagonal:hi + diagonal]) + lo
-            found = unlike[diagonal] = [*places.tolist(), hi]
-        return found[bisect_left(found, x)] if x < found[-1] else x
-
-    reach = {0: slide(0, 0)}
-    for done in range(most + 1):
-        if reach.get(m - n, -1) >= n:
-            return done
-        then = {}
-        for d in range(max(-done - 1, -n, -most), min(done + 1, m, most) + 1):
-            x = max(reach.get(d, -2) + 1, reach.get(d - 1, -2), reach.get(d + 1, -2) + 1)
-            x = min(x, n, m - d)
-            if x >= max(0, -d):
-                then[d] = slide(d, x)
-        reach = then
-    return None
+    if abs(n - m) > band:
+        return None
+    places: dict[int, int] = {}
+    for i, word in enumerate(a):
+        places[word] = places.get(word, 0) | 1 << i
+    whole = (1 << 2 * band + 1) - 1
+    top = 1 << 2 * band
+    up, down = whole ^ ((1 << band) - 1), 0  # the first column counts 1, 2, 3 ...
+    score = min(band, n)  # of the lowest cell of the window
+    for j in range(1, m + 1):
+        equal = places.get(b[j - 1], 0)
+        shift = j - band - 1
+        equal = (equal >> shift if shift >= 0 else equal << -shift) & whole
+        level = (((equal & up) + up) ^ up | equal | down) & whole
+        right_up = down | whole & ~(level | up)
+        right_down = level & up
+        if j + band <= n:
+            score += not level & top
+            if score > 2 * band + m - n:  # more than the columns left can take back
+                return None
+        else:
+            lowest = 1 << n - j + band
+            score += bool(right_up & lowest) - bool(right_down & lowest)
+        level >>= 1
+        up = right_down | whole & ~(level | right_up)
+        down = level & right_up
+    return score if score <= band else None
+
+
+def edits(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
+    """Word edits (insert, drop, replace) between two texts, or None if more than ``most``: bands that grow up to that width."""
+    short = min(len(a), len(b))
+    unlike = np.flatnonzero(a[:short] != b[:short])
+    head = int(unlike[0]) if len(unlike) else short
+    a, b = a[head:], b[head:]
+    short = min(len(a), len(b))
+    unlike = np.flatnonzero(a[len(a) - short:][::-1] != b[len(b) - short:][::-1])
+    tail = int(unlike[0]) if len(unlike) else short
+    one, two = a[:len(a) - tail].tolist(), b[:len(b) - tail].tolist()
+    if not one or not two:
+        found = max(len(one), len(two))
+        return found if found <= most else None
+    band = min(most, max(16, abs(len(one) - len(two))))
+    while True:
+        found = _edits_in_band(one, two, band)
+        if found is not None or band >= most:
+            return found
+        band = min(most, 4 * band)
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -188,8 +214,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links ``(a, b)`` between digests of near texts, and the components ``(node, root)`` that they make."""
     members = found.where("n_words > 0").select("digest", "n_words", F.explode("sketches").alias("sketch")).distinct()
-    ends = members.groupBy("sketch").agg(F.min("digest").alias("least"), F.max("digest").alias("most"))
-    members = aside(members.join(ends.where("least <> most").select("sketch"), "sketch"))
+    shared = members.groupBy("sketch").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    members = aside(members.join(shared.select("sketch"), "sketch"))
     met = members.select("digest").distinct()
     words = aside(found.select("digest", "words").join(met, "digest", "left_semi").dropDuplicates(["digest"]))
     near, roots, sent, at_once = None, None, None, 1  # sent: (sketch, node), the leaders so far
@@ -197,7 +223,7 @@ def links(found: DataFrame) -> tuple[DataFrame, DataFrame]:
         if roots is None:
             own = waiting = members.withColumn("root", F.col("digest"))
         else:
-            own = aside(_rooted(members, roots, "digest"))
+            own = _rooted(members, roots, "digest")
             led = _rooted(sent, roots, "node").select("sketch", "root").distinct()
             waiting = own.join(led, ["sketch", "root"], "left_anti")
         chosen = F.struct(F.xxhash64("digest").alias("h"), "digest", "root", "n_words")
