@@ -78,31 +78,32 @@ def smooth(df: DataFrame, specs: Sequence[Smooth], key: Sequence[str] = KEY, ord
     if seeds:
         step = step.withColumns(seeds)
 
-    inputs: dict[str, Column] = {}
+    steps: dict[str, Column] = {}
     for i, s in enumerate(specs):
         x, n, start = F.col(s.x), F.col(f"_n{i}"), s.seed or 1
-        first = F.col(f"_s{i}") if s.seed is not None else x
         at_start = (n == start) if s.positional else (n == start) & x.isNotNull()
-        d = F.when(at_start, first).when(n > start, s.alpha * x).when(n == start, F.lit(0.0))
-        if s.alpha >= 1.0:
-            inputs[f"_d{i}"] = F.when(at_start, first).when(n > start, x)
-        else:
-            j = F.col("_rn") % size[s.alpha]
-            inputs[f"_d{i}"] = F.coalesce(d, F.lit(0.0)) * F.pow(F.lit(1.0 - s.alpha), -j.cast("double"))
+        first = F.col(f"_s{i}") if s.seed is not None else x
+        steps[f"_c{i}"] = F.when(at_start, first).when(n > start, s.alpha * x if s.alpha < 1.0 else x)
+    step = step.withColumns(steps)
+    # steps so far
+    counted = {f"_m{i}": F.count(f"_c{i}").over(cum) for i in range(len(specs))}
+    step = step.withColumns(counted)
+
+    inputs: dict[str, Column] = {}
+    place: dict[int, Column] = {}
+    for i, s in enumerate(specs):
+        if s.alpha < 1.0:
+            b = size[s.alpha]
+            place[i] = F.greatest(F.col(f"_m{i}") - 1, F.lit(0)) % b
+            inputs[f"_b{i}"] = F.greatest(F.col(f"_m{i}") - 1, F.lit(0)).cast("long") - place[i]
+            inputs[f"_d{i}"] = F.coalesce(f"_c{i}", F.lit(0.0)) * F.pow(F.lit(1.0 - s.alpha), -place[i].cast("double"))
     step = step.withColumns(inputs)
 
     local: dict[str, Column] = {}
     for i, s in enumerate(specs):
-        if s.alpha >= 1.0:
-            continue
-        b = size[s.alpha]
-        blocks = (
-            Window.partitionBy(*key, (F.col("_rn") / b).cast("long"))
-            .orderBy(order)
-            .rowsBetween(Window.unboundedPreceding, 0)
-        )
-        j = (F.col("_rn") % b).cast("double")
-        local[f"_l{i}"] = F.pow(F.lit(1.0 - s.alpha), j) * F.sum(f"_d{i}").over(blocks)
+        if s.alpha < 1.0:
+            blocks = Window.partitionBy(*key, f"_b{i}").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+            local[f"_l{i}"] = F.pow(F.lit(1.0 - s.alpha), place[i].cast("double")) * F.sum(f"_d{i}").over(blocks)
     if local:
         step = step.withColumns(local)
 
@@ -110,12 +111,17 @@ def smooth(df: DataFrame, specs: Sequence[Smooth], key: Sequence[str] = KEY, ord
     result: dict[str, Column] = {}
     for i, s in enumerate(specs):
         if s.alpha >= 1.0:
-            y = F.col(f"_d{i}")
+            y = F.last(f"_c{i}", ignorenulls=True).over(cum)
         else:
             b = size[s.alpha]
-            j = F.col("_rn") % b
-            carry = F.last(F.when(j == b - 1, F.col(f"_l{i}")), ignorenulls=True).over(earlier)
-            y = F.col(f"_l{i}") + F.pow(F.lit(1.0 - s.alpha), j.cast("double") + 1) * F.coalesce(carry, F.lit(0.0))
+            # of the block before: the value after its last step
+            carry = F.last(F.when((place[i] == b - 1) & F.col(f"_c{i}").isNotNull(), F.struct(F.col(f"_b{i}").alias("b"), F.col(f"_l{i}").alias("l"))),
+                           ignorenulls=True).over(earlier)
+            older = F.when(carry["b"] < F.col(f"_b{i}"), carry["l"])
+            y = F.col(f"_l{i}") + F.pow(F.lit(1.0 - s.alpha), place[i].cast("double") + 1) * F.coalesce(older, F.lit(0.0))
         need = max(s.seed or 1, s.min_count)
-        result[s.out] = F.when(F.col(f"_n{i}") >= need, y)
+        shown = F.col(f"_n{i}") >= need
+        if s.seed is not None and not s.positional:
+            shown = shown & F.col(s.x).isNotNull()
+        result[s.out] = F.when(shown, y)
     return step.withColumns(result).select(*keep, *[s.out for s in specs])

@@ -156,9 +156,10 @@ def save(trained: Trained, model_path: str, history_path: str, run_at: str) -> N
     trained.metrics.withColumn("run_at", F.lit(run_at)).write.mode("append").parquet(history_path)
 
 
-def history(spark: SparkSession, path: str, keep: int = 50) -> DataFrame:
-    """The newest runs, newest last."""
-    return spark.read.parquet(path).orderBy(F.col("run_at").desc()).limit(keep).orderBy("run_at")
+def history(spark: SparkSession, path: str, keep: int | None = None) -> DataFrame:
+    """All runs, newest last; ``keep`` shows the newest so many."""
+    runs = spark.read.parquet(path)
+    return (runs if keep is None else runs.orderBy(F.col("run_at").desc()).limit(keep)).orderBy("run_at")
 
 
 def load(path: str) -> PipelineModel:

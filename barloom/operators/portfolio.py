@@ -21,12 +21,10 @@ def aligned_returns(bars: DataFrame, members: DataFrame, n: int | None = None) -
     rets = rets.where(F.col("recent").isNotNull()).select("symbol", "ts", F.col("recent").alias("ret"))
     joined = rets.join(members.select("basket", "symbol"), "symbol")
     usable = joined.select("basket", "symbol").distinct().groupBy("basket").agg(F.count(F.lit(1)).alias("_size"))
-    here = F.count(F.lit(1)).over(Window.partitionBy("basket", "ts"))
-    return (
-        joined.withColumn("_here", here).join(usable, "basket")
-        .where((F.col("_here") == F.col("_size")) & (F.col("_size") >= 2))
-        .select("basket", "symbol", "ts", "ret")
-    )
+    # a count and a join: both combine before the shuffle or split a large basket, which a window cannot
+    whole = joined.groupBy("basket", "ts").agg(F.count(F.lit(1)).alias("_here")).join(usable, "basket")
+    whole = whole.where((F.col("_here") == F.col("_size")) & (F.col("_size") >= 2)).select("basket", "ts")
+    return joined.join(whole, ["basket", "ts"]).select("basket", "symbol", "ts", "ret")
 
 
 def alignment_report(aligned: DataFrame, bars: DataFrame, members: DataFrame) -> DataFrame:

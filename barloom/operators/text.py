@@ -96,15 +96,17 @@ def is_relevant(title: Column, tokens: Column) -> Column:
     return F.exists(tokens, lambda t: F.lower(title).contains(t))
 
 
-def analyse(articles: DataFrame, companies: DataFrame, lexicon: DataFrame, cap: int = P.MAX_ARTICLES) -> DataFrame:
-    """Sentiment per symbol over its first relevant articles in feed order (the cap is part of the report).
+def analyse(articles: DataFrame, companies: DataFrame, lexicon: DataFrame, cap: int | None = None) -> DataFrame:
+    """Sentiment per symbol over its relevant articles; ``cap`` keeps the first so many in feed order for a display.
 
     articles(symbol, feed_pos, title, summary), companies(symbol, name).
     """
     known = articles.join(companies, "symbol").withColumn("_rel", is_relevant(F.col("title"), company_tokens(F.col("symbol"), F.col("name"))))
     totals = known.groupBy("symbol").agg(F.count(F.lit(1)).alias("considered"), F.count_if(~F.col("_rel")).alias("dropped"))
-    w = Window.partitionBy("symbol").orderBy("feed_pos")
-    shown = known.where("_rel").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap)
+    shown = known.where("_rel")
+    if cap is not None:
+        w = Window.partitionBy("symbol").orderBy("feed_pos")
+        shown = shown.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap)
     shown = shown.select("symbol", "feed_pos", F.concat_ws(". ", "title", "summary").alias("text"))
     scored = score(shown, lexicon, ["symbol", "feed_pos"], "text").withColumn("label", classify(F.col("score")))
     sums = scored.groupBy("symbol").agg(

@@ -35,13 +35,24 @@ def cols(names, digits):
     return ", ".join(f"round({n}, {digits}) AS {n}" for n in names)
 
 
-@query("fa_statements", f"""WITH {YEARLY}, {ST}, u AS (UNPIVOT (SELECT symbol, period_end, revenue, oi, ta, eq, debt, fcf, nwc FROM st) ON revenue, oi, ta, eq, debt, fcf, nwc INTO NAME col VALUE value)
-  SELECT symbol, statement, item, period_end::TIMESTAMP AS period, round(value, 4) AS value FROM u JOIN (VALUES ('revenue', 'income', 'Total Revenue'), ('oi', 'income', 'Operating Income'),
-    ('ta', 'balance', 'Total Assets'), ('eq', 'balance', 'Stockholders Equity'), ('debt', 'balance', 'Total Debt'), ('fcf', 'cash', 'Free Cash Flow'), ('nwc', 'cash', 'Change In Working Capital')) m(col, statement, item) USING (col)""")
+#: Column of the SQL statement table -> (statement, item).
+STATEMENT_ITEMS = {
+    "revenue": ("income", "Total Revenue"), "ebit_line": ("income", "EBIT"), "oi": ("income", "Operating Income"), "ni": ("income", "Net Income"),
+    "ie": ("income", "Interest Expense"), "gp": ("income", "Gross Profit"), "pretax": ("income", "Pretax Income"), "tax": ("income", "Tax Provision"),
+    "ta": ("balance", "Total Assets"), "ca": ("balance", "Current Assets"), "cl": ("balance", "Current Liabilities"), "eq": ("balance", "Stockholders Equity"),
+    "tl": ("balance", "Total Liabilities Net Minority Interest"), "ncl": ("balance", "Total Non Current Liabilities Net Minority Interest"),
+    "debt": ("balance", "Total Debt"), "re": ("balance", "Retained Earnings"), "inv": ("balance", "Inventory"), "cash1": ("balance", "Cash And Cash Equivalents"),
+    "cash2": ("balance", "Cash Cash Equivalents And Short Term Investments"), "osn": ("balance", "Ordinary Shares Number"), "iss": ("balance", "Share Issued"),
+    "fcf": ("cash", "Free Cash Flow"), "da1": ("cash", "Depreciation And Amortization"), "da2": ("cash", "Depreciation Amortization Depletion"),
+    "capex": ("cash", "Capital Expenditure"), "nwc": ("cash", "Change In Working Capital")}
+
+
+@query("fa_statements", f"""WITH {YEARLY}, {ST}, u AS (UNPIVOT (SELECT symbol, period_end, {", ".join(f"{c}::DOUBLE AS {c}" for c in STATEMENT_ITEMS)} FROM st) ON {", ".join(STATEMENT_ITEMS)} INTO NAME col VALUE value)
+  SELECT symbol, statement, item, period_end::TIMESTAMP AS period, round(value, 1) AS value
+  FROM u JOIN (VALUES {", ".join(f"('{c}', '{s}', '{i}')" for c, (s, i) in STATEMENT_ITEMS.items())}) m(col, statement, item) USING (col)""")
 def _(spark, sf):
-    shown = ("Total Revenue", "Operating Income", "Total Assets", "Stockholders Equity", "Total Debt", "Free Cash Flow", "Change In Working Capital")
-    out = statements(yearly(spark, sf)).where(F.col("item").isin(*shown))
-    return rounded(out.select("symbol", "statement", "item", F.col("period_end").cast("timestamp_ntz").alias("period"), "value"), 4)
+    out = statements(yearly(spark, sf))
+    return rounded(out.select("symbol", "statement", "item", F.col("period_end").cast("timestamp_ntz").alias("period"), "value"), 1)
 
 
 @query("fa_field_history", f"""WITH {YEARLY}, {ST} SELECT symbol, count(coalesce(CASE WHEN c > 0 THEN ebit_line ELSE oi END)) AS periods,

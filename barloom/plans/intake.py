@@ -75,10 +75,10 @@ def chart_payloads(spark, sf):
 
 
 @query("src_chart_daily", """WITH e AS (SELECT 'crypto:' || event_type AS symbol, date_trunc('day', ts)::TIMESTAMP AS d, epoch_ms(ts) AS ms, value, (event_id % 1000)::DOUBLE AS v FROM events),
-  b AS (SELECT symbol, d AS ts, arg_max(value, ms) AS close, arg_max(v, ms) AS volume FROM e GROUP BY ALL)
+  b AS (SELECT symbol, d AS ts, arg_max(value, (ms, value)) AS close, arg_max(v, (ms, v)) AS volume FROM e GROUP BY ALL)
   SELECT symbol, ts, close AS open, close AS high, close AS low, close, volume FROM b""")
 def _(spark, sf):
-    return pl.daily_from_chart(chart_payloads(spark, sf), "2024-12-30")
+    return pl.daily_from_chart(chart_payloads(spark, sf))
 
 
 @query("src_asset_profiles", """SELECT 'crypto:' || c_custkey AS symbol, lower(trim(c_custkey::VARCHAR)) AS coin, c_name AS long_name, upper(c_mktsegment) AS code, c_acctbal AS quote_price,

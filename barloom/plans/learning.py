@@ -124,7 +124,7 @@ def _(spark, sf):
     return a.select("symbol", "feed_pos", tx.is_relevant(F.col("title"), tx.company_tokens(F.col("symbol"), F.col("name"))).alias("relevant"))
 
 
-@query("ns_analyse", f"""WITH {NEWS}, {LEX}, {TOKENS}, sh AS MATERIALIZED (SELECT symbol, feed_pos, title || '. ' || summary AS txt FROM rel WHERE rel QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY feed_pos) <= 20),
+@query("ns_analyse", f"""WITH {NEWS}, {LEX}, {TOKENS}, sh AS MATERIALIZED (SELECT symbol, feed_pos, title || '. ' || summary AS txt FROM rel WHERE rel),
   {scored_sql('sh', 'feed_pos', 'txt')}, g AS (SELECT symbol, count(score) AS usable, count(*) FILTER (score >= 0.05) AS positive, count(*) FILTER (score <= -0.05) AS negative, avg(score) AS m FROM sh JOIN sc USING (feed_pos) GROUP BY symbol),
   t AS (SELECT symbol, count(*) AS considered, count(*) FILTER (NOT rel) AS dropped FROM rel GROUP BY symbol),
   j AS (SELECT co.symbol, coalesce(considered, 0) AS considered, coalesce(dropped, 0) AS dropped, coalesce(usable, 0) AS usable, coalesce(positive, 0) AS positive, coalesce(negative, 0) AS negative, CASE WHEN usable >= 3 THEN m END AS score FROM co LEFT JOIN t USING (symbol) LEFT JOIN g USING (symbol))

@@ -157,13 +157,11 @@ def _(spark, sf):
 FIRED = f"""{BANDS_CTE}, {BREAKS}, fired AS (SELECT * FROM (SELECT * FROM es UNION ALL SELECT * FROM em UNION ALL SELECT * FROM breaks) WHERE ts >= TIMESTAMP '{DIG_END}' - INTERVAL {DIG_DAYS} DAY AND ts < TIMESTAMP '{DIG_END}')"""
 
 
-@query("dg_fired_alerts", f"""WITH {BARS}, {SMA_CTE}, {MACD_CTE}, {flips('es', 'sma', 'close', 'sma_20', 'sma')}, {flips('em', 'macd', 'macd_line', 'macd_signal', 'macd')}, {FIRED} SELECT symbol, ts, indicator, kind FROM fired
-  QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, indicator || '/' || kind) <= 100""")
+@query("dg_fired_alerts", f"""WITH {BARS}, {SMA_CTE}, {MACD_CTE}, {flips('es', 'sma', 'close', 'sma_20', 'sma')}, {flips('em', 'macd', 'macd_line', 'macd_signal', 'macd')}, {FIRED} SELECT symbol, ts, indicator, kind FROM fired""")
 def _(spark, sf):
     end = F.lit(DIG_END).cast("timestamp_ntz")
     history = dg.fired_since(indicator_events(staged_closes(spark, sf)), end - F.expr(f"INTERVAL {DIG_DAYS} DAYS")).where(F.col("ts") < end)
-    history = history.withColumn("rule_id", F.concat_ws("/", "indicator", "kind"))
-    return al.trimmed_history(history).select("symbol", "ts", "indicator", "kind")
+    return history.select("symbol", "ts", "indicator", "kind")
 
 
 @query("dg_digest", f"""WITH {WIDE_SQL}, {SNAP}, {STATE}, {OWNERS}, {MOVES}, {FIRED}, f AS (SELECT symbol, count(*) AS f FROM fired WHERE indicator = 'bollinger' GROUP BY symbol), b AS (SELECT owner, symbol, count(*) AS b FROM br GROUP BY ALL),

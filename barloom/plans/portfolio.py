@@ -12,7 +12,7 @@ from barloom.plans.risk import closes, staged_closes
 from barloom.session import stage
 from barloom.sources.market import baskets, benchmark
 
-N = 1000  # newest returns per symbol that enter the alignment
+N = None  # all returns enter the alignment
 
 
 @query("pa_aligned_returns", f"WITH {RETURNS}{aligned(N)} SELECT basket, symbol, ts, round(ret, 8) AS ret FROM aligned")

@@ -119,10 +119,10 @@ def _(spark, sf):
 
 @query("mc_paths", f"""WITH {RETURNS}, ix AS (SELECT symbol, ret, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM rets WHERE ret IS NOT NULL),
   s AS (SELECT symbol, arg_max(close, ts) AS start, count(ret) AS n FROM rets GROUP BY symbol HAVING count(ret) > 30),
-  x AS (SELECT symbol, sim, day, start, (floor({U.format("symbol || '|' || sim || '|' || ((day - 1) // 5)")} * (n - 4)) + (day - 1) % 5)::BIGINT AS i FROM s, range(20) a(sim), range(1, 61) b(day))
+  x AS (SELECT symbol, sim, day, start, (floor({U.format("symbol || '|' || sim || '|' || ((day - 1) // 5)")} * (n - 4)) + (day - 1) % 5)::BIGINT AS i FROM s, range(1000) a(sim), range(1, 61) b(day))
   SELECT x.symbol, sim, day, round(start * exp(sum(ret) OVER (PARTITION BY x.symbol, sim ORDER BY day)), 5) AS price FROM x JOIN ix ON x.symbol = ix.symbol AND x.i = ix.i""")
 def _(spark, sf):
-    return rounded(pj.paths(pj.bootstrap_steps(staged_closes(spark, sf), sims=20)), 5)
+    return rounded(pj.paths(pj.bootstrap_steps(staged_closes(spark, sf))), 5)
 
 
 SCN = "scn AS (SELECT * FROM (VALUES " + ", ".join(f"('{s.name}', {s.growth_delta}::DOUBLE, {s.discount_delta}::DOUBLE, {s.vol_mult}::DOUBLE, {s.mean_shift}::DOUBLE)" for s in pj.PRESETS) + ") v(scenario, gd, dd, vm, ms))"

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CRYPTO_PREFIX = "crypto:"  # fixed value
-MAX_HISTORY_DAYS = 365  # fixed value
 
 CHART = "prices array<array<double>>, total_volumes array<array<double>>"
 ASSET = ("name string, symbol string, market_data struct<current_price: struct<usd: double>, price_change_24h: double, "
@@ -21,7 +20,7 @@ def is_crypto(symbol: Column) -> Column:
 
 
 def coin_id(symbol: Column) -> Column:
-    return F.when(is_crypto(symbol), F.lower(F.trim(F.substring(F.trim(symbol), len(CRYPTO_PREFIX) + 1, 1000))))
+    return F.when(is_crypto(symbol), F.lower(F.trim(F.substring(F.trim(symbol), len(CRYPTO_PREFIX) + 1, F.length(symbol)))))
 
 
 def _points(df: DataFrame, field: str) -> DataFrame:
@@ -29,19 +28,20 @@ def _points(df: DataFrame, field: str) -> DataFrame:
     return p.select("symbol", F.col("p")[0].cast("long").alias("ms"), F.col("p")[1].alias("v")).where(F.col("v").isNotNull())
 
 
-def daily_from_chart(payloads: DataFrame, end: str | None = None) -> DataFrame:
-    """payloads(symbol, body): [[epoch_ms, value], ...] arrays -> one bar per UTC day with the last value.
+def daily_from_chart(payloads: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """payloads(symbol, body): [[epoch_ms, value], ...] arrays -> one bar per UTC day in [start, end] with the last value.
 
     Open, high and low equal the close because the source has no intraday range.
     """
     parsed = payloads.select("symbol", F.from_json("body", CHART).alias("d"))
     day = F.date_trunc("DAY", F.timestamp_millis("ms")).cast("timestamp_ntz").alias("ts")
-    close = _points(parsed, "prices").groupBy("symbol", day).agg(F.max_by("v", "ms").alias("close"))
-    volume = _points(parsed, "total_volumes").groupBy("symbol", day).agg(F.max_by("v", "ms").alias("volume"))
+    close = _points(parsed, "prices").groupBy("symbol", day).agg(F.max(F.struct("ms", "v"))["v"].alias("close"))
+    volume = _points(parsed, "total_volumes").groupBy("symbol", day).agg(F.max(F.struct("ms", "v"))["v"].alias("volume"))
     out = close.join(volume, ["symbol", "ts"], "left")
+    if start is not None:
+        out = out.where(F.to_date("ts") >= F.lit(start).cast("date"))
     if end is not None:
-        last = F.lit(end).cast("date")
-        out = out.where((F.to_date("ts") >= F.date_sub(last, MAX_HISTORY_DAYS)) & (F.to_date("ts") <= last))
+        out = out.where(F.to_date("ts") <= F.lit(end).cast("date"))
     c = F.col("close")
     return out.select("symbol", "ts", c.alias("open"), c.alias("high"), c.alias("low"), "close", "volume")
 

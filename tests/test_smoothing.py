@@ -53,3 +53,30 @@ def test_min_count_blanks_warm_up(spark):
     _pdf, df = series(spark, 30)
     got = smooth(df, [Smooth("y", "close", 0.2, min_count=14)]).orderBy("ts").toPandas()["y"]
     assert got[:13].isna().all() and got[13:].notna().all()
+
+
+@pytest.mark.parametrize("seed", [None, 5])
+@pytest.mark.parametrize("alpha", [1 / 14, 2 / 6, 0.9, 1.0])
+def test_inner_nulls_are_no_steps(spark, alpha, seed):
+    """Seeded: the recurrence over the non-null values, null elsewhere; unseeded: the same with the value carried on."""
+    pdf = walk(1200, 5)[["symbol", "ts", "close"]]
+    rng = np.random.default_rng(2)
+    pdf.loc[rng.random(len(pdf)) < 0.2, "close"] = np.nan
+    pdf.loc[[0, 1, 700, 701, 702], "close"] = np.nan
+    df = spark.createDataFrame([(r.symbol, r.ts.to_pydatetime(), None if np.isnan(r.close) else r.close) for r in pdf.itertuples()],
+                               "symbol string, ts timestamp_ntz, close double").repartition(3)
+    got = smooth(df, [Smooth("y", "close", alpha, seed=seed), Smooth("z", "close", 0.5)]).orderBy("ts").toPandas()["y"].astype(float)
+    known = pdf["close"].dropna()
+    if seed:
+        known = pd.concat([pd.Series([np.nan] * (seed - 1) + [known.iloc[:seed].mean()], index=known.index[:seed]), known.iloc[seed:]])
+    want = known.ewm(alpha=alpha, adjust=False).mean().reindex(pdf.index)
+    want = want if seed else want.ffill()
+    assert (got.isna() == want.isna()).all() and np.nanmax(np.abs(got - want)) < 1e-9
+
+
+def test_a_constant_with_nulls_stays(spark):
+    rows = [("X", (pd.Timestamp("2024-01-01") + pd.Timedelta(days=i)).to_pydatetime(), None if i in (20, 21, 30) else 100.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, close double")
+    specs = [Smooth("a", "close", 2 / 13), Smooth("b", "close", 1 / 3, seed=5), Smooth("c", "close", 0.1, seed=4, positional=True)]
+    out = smooth(df, specs).toPandas()[["a", "b", "c"]].astype(float)
+    assert np.nanmax(np.abs(out - 100.0)) < 1e-9 and out["b"].isna().sum() == 4 + 3 and out["c"].isna().sum() == 3
