@@ -48,11 +48,11 @@ STATEMENT_ITEMS = {
 
 
 @query("fa_statements", f"""WITH {YEARLY}, {ST}, u AS (UNPIVOT (SELECT symbol, period_end, {", ".join(f"{c}::DOUBLE AS {c}" for c in STATEMENT_ITEMS)} FROM st) ON {", ".join(STATEMENT_ITEMS)} INTO NAME col VALUE value)
-  SELECT symbol, statement, item, period_end::TIMESTAMP AS period, round(value, 1) AS value
+  SELECT symbol, statement, item, period_end::TIMESTAMP AS period, round(value, 8) AS value
   FROM u JOIN (VALUES {", ".join(f"('{c}', '{s}', '{i}')" for c, (s, i) in STATEMENT_ITEMS.items())}) m(col, statement, item) USING (col)""")
 def _(spark, sf):
     out = statements(yearly(spark, sf))
-    return rounded(out.select("symbol", "statement", "item", F.col("period_end").cast("timestamp_ntz").alias("period"), "value"), 1)
+    return rounded(out.select("symbol", "statement", "item", F.col("period_end").cast("timestamp_ntz").alias("period"), "value"), 8)
 
 
 @query("fa_field_history", f"""WITH {YEARLY}, {ST} SELECT symbol, count(coalesce(CASE WHEN c > 0 THEN ebit_line ELSE oi END)) AS periods,
