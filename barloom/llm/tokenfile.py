@@ -38,7 +38,8 @@ PERCENTILE = 90
 SEGMENT_IDS = 65_536
 END_ID = 2
 CHUNK_CHARS = 400_000
-CACHED_WORDS = 800_000
+CACHED_WORDS = 1_400_000
+MARKS = (".", ",")
 #: Words of composed Latin letters, where lower case is a matter of single letters.
 LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 HEAD = struct.Struct("<IHHB")
@@ -95,6 +96,18 @@ def unpack(payload: bytes, first_block: int = 0, last_block: int | None = None)
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+class Words(dict):
+    """Ids of words as bytes; a word that is looked up for the first time is noted in ``new`` and stands empty until learnt."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> bytes:
+        self.new.append(word)
+        self[word] = b""
+        return b""
+
+
 class Encoder:
     """The library's tokenizer behind a bounded cache of words.
 
@@ -108,38 +121,44 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode words in one call; the library says which word each id came from."""
-        if not words:
-            return
-        found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        self.words = Words()
+        self.end = np.array([END_ID], "<u4").tobytes()
+
+    def _learn(self) -> None:
+        """Encode the new words in one call; the library says which word each id came from."""
+        words, split, plain = self.words, {}, {}
+        for word in words.new:
+            core, mark = (word[:-1], word[-1]) if word[-1:] in MARKS else (word, "")
+            lower = core.lower()
+            if (mark or lower != core) and LATIN(core):
+                split[word] = lower, mark
+                for part in (lower, mark):
+                    if not words.get(part):
+                        plain[part] = None
+            else:
+                plain[word] = None
+        asked = [w for w in plain if w]
+        found = self.tokenizer.encode(asked, is_pretokenized=True, add_special_tokens=False)
         ids = np.array(found.ids, "<u4").tobytes()
-        ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words)), side="right")
+        ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(asked)), side="right")
         at = 0
-        for word, end in zip(words, (4 * ends).tolist()):
-            self.cache[word] = ids[at:end]
+        for word, end in zip(asked, (4 * ends).tolist()):
+            words[word] = ids[at:end]
             at = end
+        for word, (lower, mark) in split.items():
+            words[word] = words[lower] + words[mark]
+        words.new = []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.words) > CACHED_WORDS:
+            self.words.clear()
+        known = self.words.__getitem__
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.cache) > CACHED_WORDS:
-            self.cache = {"": b""}
-        cache = self.cache
-        split, plain = {}, {".", ","}
-        for word in {w for p in parts for w in p}.difference(cache):
-            core, mark = (word[:-1], word[-1]) if word[-1] in ".," else (word, "")
-            if LATIN(core):
-                split[word] = core.lower(), mark
-                plain.add(core.lower())
-            else:
-                plain.add(word)
-        self._learn([w for w in plain if w not in cache])
-        for word, (core, mark) in split.items():
-            cache[word] = cache[core] + cache[mark] if mark else cache[core]
-        end = np.array([END_ID], "<u4").tobytes()
-        return [np.frombuffer(b"".join([*map(cache.__getitem__, p), end]), "<u4") for p in parts]
+        packed = [b"".join(map(known, p)) for p in parts]
+        if self.words.new:
+            self._learn()
+            packed = [b"".join(map(known, p)) for p in parts]
+        return [np.frombuffer(ids + self.end, "<u4") for ids in packed]
 
 
 @lru_cache(2)
