@@ -73,13 +73,13 @@ def compound(total: Column) -> Column:
 def score(texts: DataFrame, lexicon: DataFrame, key: list[str], text: str) -> DataFrame:
     """(key..., score): compound sentiment of every whole text; NULL when the text is empty.
 
-    Words are counted per text before the lexicon join, which keeps a word that occurs everywhere from
-    multiplying rows; the lexicon is a vocabulary, and Spark broadcasts it only while it is small.
+    Words meet the lexicon where they are read, while Spark finds it small enough to broadcast, and are summed there:
+    one row per text is shuffled, and the texts are read once.
     """
-    filled = texts.where(F.trim(text) != "").select(*key, F.explode(words(F.col(text))).alias("term"))
-    counts = filled.where(F.col("term") != "").groupBy(*key, "term").agg(F.count(F.lit(1)).alias("_n"))
-    sums = counts.join(lexicon, "term").groupBy(*key).agg(F.sum(F.col("_n") * F.col("valence")).alias("_s"))
-    out = texts.select(*key, (F.coalesce(F.trim(text), F.lit("")) != "").alias("_filled")).join(sums, key, "left")
+    filled = F.coalesce(F.trim(text), F.lit("")) != ""
+    terms = texts.select(*key, filled.alias("_filled"), F.explode_outer(words(F.col(text))).alias("term"))
+    found = terms.join(lexicon.select("term", "valence"), "term", "left")
+    out = found.groupBy(*key).agg(F.max("_filled").alias("_filled"), F.sum("valence").alias("_s"))
     return out.select(*key, F.when(F.col("_filled"), compound(F.coalesce("_s", F.lit(0.0)))).alias("score"))
 
 

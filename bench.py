@@ -18,7 +18,7 @@ from barloom.plans import catalog  # noqa: E402
 from barloom.session import local_session  # noqa: E402
 
 HEADLINE = (
-    "bars_daily", "cl_audit", "ind_rsi", "ind_macd", "ind_adx", "events_bollinger", "risk_metrics", "risk_hurst",
+    "bars_daily", "cl_audit", "ind_rsi", "ind_macd", "ind_adx", "events_bollinger", "risk_snapshot", "risk_metrics", "risk_hurst",
     "pa_correlation_covariance", "bt_run_classic", "bt_walk_forward", "bt_portfolio_curve", "ph_value_series", "fa_scorecard",
     "sc_run_screen", "sc_sector_percentiles", "mc_bootstrap", "ml_dataset", "ns_score_text", "al_evaluate_all", "stream_bars_hourly",
 )
