@@ -164,7 +164,7 @@ def _(spark, sf):
     return history.select("symbol", "ts", "indicator", "kind")
 
 
-@query("dg_digest", f"""WITH {WIDE_SQL}, {SNAP}, {STATE}, {OWNERS}, {MOVES}, {flips('es', 'sma', 'close', 'sma_20', 'sma')}, {flips('em', 'macd', 'macd_line', 'macd_signal', 'macd')}, {FIRED}, f AS (SELECT symbol, count(*) AS f FROM fired GROUP BY symbol), b AS (SELECT owner, symbol, count(*) AS b FROM br GROUP BY ALL),
+@query("dg_digest", f"""WITH {WIDE_SQL}, {SNAP}, {STATE}, {OWNERS}, {MOVES}, {FIRED}, f AS (SELECT symbol, count(*) AS f FROM fired GROUP BY symbol), b AS (SELECT owner, symbol, count(*) AS b FROM br GROUP BY ALL),
   j AS (SELECT owner, symbol, CASE WHEN unavailable IS NULL THEN (mv.b - a) / a * 100 END AS ch, f, b.b AS nb FROM wl_ LEFT JOIN mv USING (symbol) LEFT JOIN f USING (symbol) LEFT JOIN b USING (owner, symbol)),
   g AS (SELECT owner, count(*) AS symbols, count(ch) AS priced, coalesce(sum(f), 0)::BIGINT AS alerts, coalesce(sum(nb), 0)::BIGINT AS breaches, arg_max(symbol, abs(ch)) AS top_symbol, arg_max(ch, abs(ch)) AS top_pct FROM j GROUP BY owner)
   SELECT owner, symbols, priced, alerts, breaches, top_symbol, round(top_pct, 6) AS top_pct, CASE WHEN alerts > 0 THEN alerts || CASE WHEN alerts = 1 THEN ' alert fired' ELSE ' alerts fired' END WHEN breaches > 0 THEN breaches || CASE WHEN breaches = 1 THEN ' risk threshold breached' ELSE ' risk thresholds breached' END
