@@ -23,6 +23,12 @@ def aside(df: DataFrame) -> DataFrame:
     return stage(df)
 
 
+def broadcast_if_small(df: DataFrame, large: str, most_bytes: int = 16_000_000) -> DataFrame:
+    """A table set aside, marked for broadcast if its rows and the text column ``large`` measure at most ``most_bytes``."""
+    size = df.agg(F.sum(F.octet_length(large) + 200).alias("bytes")).first()["bytes"] or 0
+    return F.broadcast(df) if size <= most_bytes else df
+
+
 def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Connected components: ``links(a, b)`` -> ``(node, root)``, one row per node that has a link.
 

@@ -11,7 +11,8 @@ A page that agrees with the pivot in most of its article is a copy, not evidence
 ``MOST_CONSTANT`` of a page's article: a host that repeats one article keeps it.
 
 The pivot is one page a host, the one with the least hash.  Counts combine before they are shuffled, so a host with a third of
-all pages costs each task one row per pivot block.
+all pages costs each task one row per pivot block.  Pivots are broadcast while they measure at most 16 MB, so pages need not move; beyond
+that pages and pivots meet by a shuffle on the host, whose large partitions Spark splits.
 
 Defined cases: null and empty html give an empty text; a null url is a host of its own; hosts of one page have no wrapper, and roles
 alone decide; broken markup is closed where an enclosing element ends; repeated rows are extracted each; other columns
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import aside, table
+from barloom.llm.common import aside, broadcast_if_small, table
 
 CONSTANT = 0.9
 EVIDENCE = 3
@@ -311,11 +312,12 @@ def texts(pages: DataFrame) -> DataFrame:
     pivots = held.where("html is not null").groupBy("host").agg(
         F.min_by("html", F.xxhash64("page_id", "html")).alias("pivot"), F.count(F.lit(1)).alias("n"))
     pivots = aside(pivots.where(F.col("n") > EVIDENCE).select("host", "pivot"))  # the pivot itself is no evidence
-    counted = held.join(pivots, "host").select("host", "html", "pivot").mapInArrow(_count, "host string, block int, same long, pages long")
+    counted = held.join(broadcast_if_small(pivots, "pivot"), "host").select("host", "html", "pivot").mapInArrow(_count, "host string, block int, same long, pages long")
     counted = counted.groupBy("host", "block").agg(F.sum("same").alias("same"), F.sum("pages").alias("pages"))
     constant = counted.where((F.col("pages") >= EVIDENCE) & (F.col("same") >= CONSTANT * F.col("pages")))
-    wrappers = pivots.join(constant.groupBy("host").agg(F.sort_array(F.collect_list("block")).alias("constants")), "host")
-    return held.join(wrappers, "host", "left").select("page_id", "url", "html", "pivot", "constants").mapInArrow(
+    # at most one number per block of the pivot
+    wrappers = aside(pivots.join(constant.groupBy("host").agg(F.sort_array(F.collect_list("block")).alias("constants")), "host"))
+    return held.join(broadcast_if_small(wrappers, "pivot"), "host", "left").select("page_id", "url", "html", "pivot", "constants").mapInArrow(
         _texts, f"page_id {kind}, url string, text string, n_chars long")
 
 
