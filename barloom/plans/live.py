@@ -12,7 +12,7 @@ from barloom.plans.registry import query
 from barloom.session import ensure_checkpoint_dir
 from barloom.sources.tables import table
 from barloom.streaming.alerts import watch
-from barloom.streaming.bars import stream_bars
+from barloom.streaming.bars import newest_bars, stream_bars, upsert_bars
 
 
 def _event_stream(spark, sf):
@@ -28,15 +28,11 @@ def _workspace(spark):
     return f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
-@query("stream_bars_hourly", f"""WITH {HOURLY} SELECT symbol, ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM hourly
-  WHERE ts + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 HOUR FROM events)""")
+@query("stream_bars_hourly", f"""WITH {HOURLY} SELECT symbol, ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM hourly""")
 def _(spark, sf):
     out = _workspace(spark)
-    bars = stream_bars(_event_stream(spark, sf))
-    run = bars.writeStream.format("parquet").option("checkpointLocation", f"{out}/log").option("path", f"{out}/bars").trigger(availableNow=True).start()
-    run.awaitTermination()
-    done = spark.read.schema(bars.schema).parquet(f"{out}/bars")
-    return rounded(done.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+    upsert_bars(stream_bars(_event_stream(spark, sf)), f"{out}/bars", f"{out}/log").awaitTermination()
+    return rounded(newest_bars(spark, f"{out}/bars").withColumn("ts", F.col("ts").cast("timestamp_ntz")))
 
 
 @query("stream_new_triggers", f"""WITH {HOURLY}, b AS (SELECT symbol, ts, close FROM hourly WHERE ts + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 HOUR FROM events)),

@@ -3,7 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from barloom.streaming.alerts import ROCKSDB, stream_edges, watch
-from barloom.streaming.bars import stream_bars
+from barloom.streaming.bars import newest_bars, stream_bars, upsert_bars
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -30,6 +30,23 @@ def test_late_ticks_are_dropped(spark, tmp_path):
     assert T0 + dt.timedelta(hours=6) in bars
 
 
+def test_open_bars_are_written_and_changed_later(spark, tmp_path):
+    schema = "symbol string, ts timestamp, seq long, price double, qty double"
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def run():
+        ticks = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(src)
+        upsert_bars(stream_bars(ticks), out, str(tmp_path / "log")).awaitTermination()
+        return {r.ts: r for r in newest_bars(spark, out).collect()}
+
+    feed(spark, src, "a", [("A", T0, 1, 10.0, 1.0), ("A", T0 + dt.timedelta(hours=1), 2, 12.0, 1.0)], schema)
+    first = run()
+    assert first[T0 + dt.timedelta(hours=1)].close == 12.0 and len(first) == 2
+    feed(spark, src, "b", [("A", T0 + dt.timedelta(hours=1, minutes=9), 3, 15.0, 2.0)], schema)
+    then = run()
+    assert then[T0 + dt.timedelta(hours=1)].close == 15.0 and then[T0 + dt.timedelta(hours=1)].volume == 3.0 and then[T0].close == 10.0
+
+
 def evaluations(spark, src):
     return spark.readStream.schema("rule_id string, ts timestamp, is_met boolean").option("recursiveFileLookup", "true").parquet(src)
 
