@@ -81,19 +81,30 @@ def pack(ids: np.ndarray) -> bytes:
 def unpack(payload: bytes, first_block: int = 0, last_block: int | None = None) -> np.ndarray:
     """Ids of some blocks of a segment (of all by default), by the index of block starts."""
     _, blocks = struct.unpack_from("<II", payload)
-    starts = np.frombuffer(payload, "<u4", blocks + 1, 8).tolist()
-    out = []
-    for k in range(first_block, blocks if last_block is None else min(last_block, blocks)):
-        low, count, exceptions, width = HEAD.unpack_from(payload, starts[k])
-        at = starts[k] + HEAD.size
-        size = BLOCK_IDS * width // 8
-        bits = np.zeros((BLOCK_IDS, 32), np.uint8)
-        bits[:, :width] = np.unpackbits(np.frombuffer(payload, np.uint8, size, at), bitorder="little").reshape(BLOCK_IDS, width)
-        ids = np.packbits(bits.ravel(), bitorder="little").view("<u4")[:count].astype(np.int64)
-        places = np.frombuffer(payload, "<u2", exceptions, at + size)
-        ids[places] += np.frombuffer(payload, "<u4", exceptions, at + size + 2 * exceptions).astype(np.int64) << width
-        out.append(ids + low)
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+    last_block = blocks if last_block is None else min(last_block, blocks)
+    if first_block >= last_block:
+        return np.zeros(0, np.int64)
+    raw = np.frombuffer(payload, np.uint8)
+    starts = np.frombuffer(payload, "<u4", last_block - first_block, 8 + 4 * first_block).astype(np.int64)
+    low, count, exceptions, width = (np.array(x, np.int64) for x in zip(*(HEAD.unpack_from(payload, s) for s in starts.tolist())))
+    body = starts + HEAD.size
+    grid = np.zeros((len(starts), BLOCK_IDS), np.int64)
+    for w in np.unique(width[width > 0]).tolist():
+        rows = np.flatnonzero(width == w)
+        lines = raw[body[rows][:, None] + np.arange(BLOCK_IDS * w // 8)]
+        bits = np.zeros((len(rows), BLOCK_IDS, 32), np.uint8)
+        bits[:, :, :w] = np.unpackbits(lines, axis=1, bitorder="little").reshape(len(rows), BLOCK_IDS, w)
+        grid[rows] = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little").view("<u4")
+    block = np.repeat(np.arange(len(starts)), exceptions)
+    nth = np.arange(len(block)) - np.repeat(np.cumsum(exceptions) - exceptions, exceptions)
+    lists = body + BLOCK_IDS * width // 8
+    at = lists[block] + 2 * nth
+    places = raw[at].astype(np.int64) | raw[at + 1].astype(np.int64) << 8
+    at = (lists + 2 * exceptions)[block] + 4 * nth
+    high = sum(raw[at + i].astype(np.int64) << 8 * i for i in range(4))
+    grid[block, places] += high << width[block]
+    grid += low[:, None]
+    return grid[np.arange(BLOCK_IDS) < count[:, None]]
 
 
 class Words(dict):

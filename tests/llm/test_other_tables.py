@@ -217,6 +217,14 @@ def test_pipeline_on_no_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_filter_of_the_quality_stage_repeats_nothing(spark, tmp_path):
+    """The filter stays above the steps that lead to the verdict."""
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    plan = quality.stage_quality(spark, frame(spark, odd_rows()), str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Filter") < plan.index("Generate") < plan.index("aggregate(")
+    assert plan.count("split(") <= 2
+
+
 def test_native_plans_run_no_python(spark):
     docs = frame(spark, odd_rows())
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
