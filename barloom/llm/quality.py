@@ -124,4 +124,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that pass, unchanged."""
-    return judge(docs, fit(docs, table(spark, sf_dir, "labels"))).where("kept").select("row.*")
+    judged = judge(docs, fit(docs, table(spark, sf_dir, "labels"))).select("row", "kept")
+    # a generator between the verdict and the filter: without it the optimizer moves the filter below the steps that lead to the
+    # verdict and repeats them inside it, once per use
+    fenced = judged.select(F.inline_outer(F.array(F.struct("row", "kept"))))
+    return fenced.where("kept").select("row.*")
