@@ -9,9 +9,11 @@ A pair that meets is linked if its words align with an edit similarity (one less
 the two have in common, in any order, rejects most other pairs before.
 
 Texts with the same words are one class from the start and are never paired.  Inside a bucket of equal sketches all members are
-compared with one leader, not with each other; as long as members lie in components that have sent no leader, ``MORE`` times as many
-send one, each compared with everybody outside its own component.  So a bucket of n copies costs n comparisons, and the rounds follow
-the logarithm of the different texts that share a sketch.  Groups are the connected components of the links.
+compared with one leader, not with each other.  The first rounds use a few hash functions, so that most copies are joined
+before the other buckets are looked at; whoever is in the leader's component already is not compared again.  As long as members lie
+in components that have sent no leader, ``MORE`` times as many send one, each compared with everybody outside its own component.
+So a bucket of n copies costs n comparisons, and the rounds follow the logarithm of the different texts that share a sketch.
+Groups are the connected components of the links.
 
 Defined cases: a null text counts as empty; texts without words are grouped by the exact text, texts of fewer than ``K`` words have
 one shingle of all words; repeated rows are members of the same class each; of a group the smallest ``doc_id`` stays (null
@@ -35,7 +37,9 @@ K = 5
 SIMILARITY = 0.8
 SKETCHES = 32
 ORDERED = 3
-MORE = 64
+#: (hash functions, leaders a bucket) of the first rounds; later rounds use all functions and MORE times as many leaders.
+FIRST_ROUNDS = ((4, 1), (12, 1), (SKETCHES, 1))
+MORE = 8
 #: Hashes held at once while sketching.
 WIDE = 1_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -213,17 +217,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links ``(a, b)`` between digests of near texts, and the components ``(node, root)`` that they make."""
-    members = found.where("n_words > 0").select("digest", "n_words", F.explode("sketches").alias("sketch")).distinct()
+    members = found.where("n_words > 0").select("digest", "n_words", F.posexplode("sketches").alias("nth", "sketch")).distinct()
     shared = members.groupBy("sketch").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
     members = aside(members.join(shared.select("sketch"), "sketch"))
     met = members.select("digest").distinct()
     words = aside(found.select("digest", "words").join(met, "digest", "left_semi").dropDuplicates(["digest"]))
-    near, roots, sent, at_once = None, None, None, 1  # sent: (sketch, node), the leaders so far
-    while True:
+    near, roots, sent = None, None, None  # sent: (sketch, node), the leaders so far
+    for functions, at_once in _rounds():
+        own = members.where(F.col("nth") < functions)
         if roots is None:
-            own = waiting = members.withColumn("root", F.col("digest"))
+            own = waiting = own.withColumn("root", F.col("digest"))
         else:
-            own = _rooted(members, roots, "digest")
+            own = _rooted(own, roots, "digest")
             led = _rooted(sent, roots, "node").select("sketch", "root").distinct()
             waiting = own.join(led, ["sketch", "root"], "left_anti")
         chosen = F.struct(F.xxhash64("digest").alias("h"), "digest", "root", "n_words")
@@ -236,6 +241,8 @@ def links(found: DataFrame) -> tuple[DataFrame, DataFrame]:
         leaders = aside(leaders.select(
             "sketch", F.col("first.digest").alias("leader"), F.col("first.root").alias("its_root"), F.col("first.n_words").alias("its_words")))
         if leaders.isEmpty():
+            if functions < SKETCHES:
+                continue
             return near, roots
         fits = F.least("n_words", "its_words") >= SIMILARITY * F.greatest("n_words", "its_words")
         pairs = own.join(leaders, "sketch").where((F.col("root") != F.col("its_root")) & fits)
@@ -245,10 +252,16 @@ def links(found: DataFrame) -> tuple[DataFrame, DataFrame]:
         new = aside(told.select("a", "b", "words_a", "words_b").mapInArrow(_verify, "a binary, b binary"))
         near = new if near is None else near.union(new)
         roots = components(near)
-        members = own.join(leaders.select("sketch").distinct(), "sketch", "left_semi").select("sketch", "digest", "n_words")
         now = leaders.select("sketch", F.col("leader").alias("node"))
         sent = now if sent is None else sent.union(now)
-        at_once *= MORE
+
+
+def _rounds() -> Iterator[tuple[int, int]]:
+    yield from FIRST_ROUNDS
+    leaders = MORE
+    while True:
+        yield SKETCHES, leaders
+        leaders *= MORE
 
 
 def _rooted(rows: DataFrame, roots: DataFrame, node: str) -> DataFrame:
