@@ -224,11 +224,15 @@ def links(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     words = aside(found.select("digest", "words").join(met, "digest", "left_semi").dropDuplicates(["digest"]))
     near, roots, sent = None, None, None  # sent: (sketch, node), the leaders so far
     for functions, at_once in _rounds():
-        own = members.where(F.col("nth") < functions)
         if roots is None:
-            own = waiting = own.withColumn("root", F.col("digest"))
+            own = waiting = members.where(F.col("nth") < functions).withColumn("root", F.col("digest"))
         else:
-            own = _rooted(own, roots, "digest")
+            # buckets of one component are done: components only grow together
+            own = _rooted(members, roots, "digest")
+            ends = own.groupBy("sketch").agg(F.min(F.xxhash64("root")).alias("low"), F.max(F.xxhash64("root")).alias("high"))
+            own = aside(own.join(ends.where("low <> high").select("sketch"), "sketch"))
+            members = own.drop("root")
+            own = own.where(F.col("nth") < functions)
             led = _rooted(sent, roots, "node").select("sketch", "root").distinct()
             waiting = own.join(led, ["sketch", "root"], "left_anti")
         chosen = F.struct(F.xxhash64("digest").alias("h"), "digest", "root", "n_words")
