@@ -10,9 +10,10 @@ the two have in common, in any order, rejects most other pairs before.
 
 Texts with the same words are one class from the start and are never paired.  Inside a bucket of equal sketches all members are
 compared with one leader, not with each other.  The first rounds use a few hash functions, so that most copies are joined
-before the other buckets are looked at; whoever is in the leader's component already is not compared again.  As long as members lie
-in components that have sent no leader, ``MORE`` times as many send one, each compared with everybody outside its own component.
-So a bucket of n copies costs n comparisons, and the rounds follow the logarithm of the different texts that share a sketch.
+before the other buckets are looked at; whoever is in the leader's component already is not compared again.  A pair of components in
+a bucket is done when all members of one of them have led, so all but the component with most members left go on sending leaders, about
+``MORE`` times as many a round, drawn by a hash that differs from bucket to bucket.  A bucket of n copies costs n comparisons,
+different texts that share a sketch are all compared, and the rounds follow the logarithm of their number.
 Groups are the connected components of the links.
 
 Defined cases: a null text counts as empty; texts without words are grouped by the exact text, texts of fewer than ``K`` words have
@@ -28,7 +29,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.common import aside, components, table, whole_row
@@ -225,7 +226,7 @@ def links(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     near, roots, sent = None, None, None  # sent: (sketch, node), the leaders so far
     for functions, at_once in _rounds():
         if roots is None:
-            own = waiting = members.where(F.col("nth") < functions).withColumn("root", F.col("digest"))
+            own = members.where(F.col("nth") < functions).withColumns({"root": F.col("digest"), "led": F.lit(False)})
         else:
             # buckets of one component are done: components only grow together
             own = _rooted(members, roots, "digest")
@@ -233,23 +234,16 @@ def links(found: DataFrame) -> tuple[DataFrame, DataFrame]:
             own = aside(own.join(ends.where("low <> high").select("sketch"), "sketch"))
             members = own.drop("root")
             own = own.where(F.col("nth") < functions)
-            led = _rooted(sent, roots, "node").select("sketch", "root").distinct()
-            waiting = own.join(led, ["sketch", "root"], "left_anti")
-        chosen = F.struct(F.xxhash64("digest").alias("h"), "digest", "root", "n_words")
-        leaders = waiting.groupBy("sketch", "root").agg(F.min(chosen).alias("first"))
-        if at_once == 1:
-            leaders = leaders.groupBy("sketch").agg(F.min("first").alias("first"))
-        else:
-            order = Window.partitionBy("sketch").orderBy("first.h", "first.digest")
-            leaders = leaders.withColumn("k", F.row_number().over(order)).where(F.col("k") <= at_once)
-        leaders = aside(leaders.select(
-            "sketch", F.col("first.digest").alias("leader"), F.col("first.root").alias("its_root"), F.col("first.n_words").alias("its_words")))
+            led = sent.select("sketch", F.col("node").alias("digest"), F.lit(True).alias("led"))
+            own = own.join(led, ["sketch", "digest"], "left").withColumn("led", F.coalesce("led", F.lit(False)))
+        leaders = aside(_leaders(own, at_once))
         if leaders.isEmpty():
             if functions < SKETCHES:
                 continue
             return near, roots
         fits = F.least("n_words", "its_words") >= SIMILARITY * F.greatest("n_words", "its_words")
-        pairs = own.join(leaders, "sketch").where((F.col("root") != F.col("its_root")) & fits)
+        # who led before has met everybody outside its component
+        pairs = own.where("not led").join(leaders, "sketch").where((F.col("root") != F.col("its_root")) & fits)
         pairs = pairs.select(F.least("leader", "digest").alias("a"), F.greatest("leader", "digest").alias("b")).distinct()
         told = pairs.join(words.select(F.col("digest").alias("a"), F.col("words").alias("words_a")), "a")
         told = told.join(words.select(F.col("digest").alias("b"), F.col("words").alias("words_b")), "b")
@@ -260,6 +254,24 @@ def links(found: DataFrame) -> tuple[DataFrame, DataFrame]:
         sent = now if sent is None else sent.union(now)
 
 
+def _leaders(own: DataFrame, at_once: int) -> DataFrame:
+    """``sketch, leader, its_root, its_words``: about ``at_once`` members a bucket that have not led, one at least where pairs are left.
+
+    The component with most such members sends none: it has met the others when all of theirs have led.
+    """
+    left = own.where("not led").groupBy("sketch", "root").agg(F.count(F.lit(1)).alias("n"))
+    buckets = left.groupBy("sketch").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"))
+    # a component of members that all led has met everybody
+    buckets = buckets.where(F.col("all") > F.col("most.n")).select("sketch", F.col("most.root").alias("stays"), (F.col("all") - F.col("most.n")).alias("waiting"))
+    draw = F.xxhash64("digest", "sketch", F.lit(at_once))
+    waiting = own.where("not led").join(buckets, "sketch").where("root <> stays").withColumn("draw", draw)
+    first = waiting.groupBy("sketch").agg(F.min_by(F.struct("digest", "root", "n_words"), F.struct("draw", "digest")).alias("x")).select("sketch", "x.*")
+    if at_once > 1:
+        low = F.pmod("draw", F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("waiting") < F.lit(at_once - 1.0)
+        first = first.union(waiting.where(low).select("sketch", "digest", "root", "n_words")).distinct()
+    return first.select("sketch", F.col("digest").alias("leader"), F.col("root").alias("its_root"), F.col("n_words").alias("its_words"))
+
+
 def _rounds() -> Iterator[tuple[int, int]]:
     yield from FIRST_ROUNDS
     leaders = MORE

@@ -270,6 +270,26 @@ def test_neardup_groups(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(got.values()))
 
 
+def test_neardup_links_of_led_components(spark):
+    """Four texts in one bucket with the true links a-b, c-d and b-d only; whichever of them lead, all end in one group."""
+    rows = []
+    for turn in range(24):
+        b = np.arange(1000 * turn, 1000 * turn + 100).astype(np.uint32)
+        a, d = b.copy(), b.copy()
+        a[:15] += 500
+        d[40:55] += 500
+        c = d.copy()
+        c[80:95] += 500
+        texts = {x: v for x, v in zip("abcd", (a, b, c, d))}
+        near = {x + y for x, y in combinations("abcd", 2) if neardup.alike(texts[x], texts[y])}
+        assert near == {"ab", "bd", "cd"}
+        rows += [(i, i, hashlib.md5(f"{turn}{x}".encode()).digest(), 100, [turn], v.tobytes()) for i, (x, v) in enumerate(texts.items())]
+    found = spark.createDataFrame(rows, f"doc_id long, h long, {neardup.FEATURES}")
+    _, roots = neardup.links(found)
+    root = {bytes(r["node"]): bytes(r["root"]) for r in roots.collect()}
+    assert len(root) == 24 * 4 and len(set(root.values())) == 24
+
+
 def test_neardup_odd_rows(docs, empty):
     got = neardup.groups(docs).collect()
     assert len(got) == len(ROWS)
