@@ -290,6 +290,24 @@ def test_neardup_links_of_led_components(spark):
     assert len(root) == 24 * 4 and len(set(root.values())) == 24
 
 
+def test_neardup_candidates_near_the_threshold():
+    """Pairs that the verification accepts meet: all of few words, 98 % of longer ones."""
+    rng = np.random.default_rng(3)
+    with np.errstate(over="ignore"):
+        for n, least in ((5, 1.0), (9, 1.0), (10, 1.0), (14, 1.0), (30, 1.0), (40, 1.0), (100, 0.98), (400, 0.98)):
+            met = 0
+            for _ in range(200):
+                a = rng.integers(0, 2**32, n).astype(np.uint32)
+                b = a.copy()
+                b[rng.choice(n, n // 5, replace=False)] = rng.integers(0, 2**32, n // 5)
+                assert neardup.alike(a, b)
+                met += bool(set(neardup.keys_of(a)) & set(neardup.keys_of(b)))
+            assert met >= least * 200, (n, met)
+        a = np.arange(10).astype(np.uint32)
+        for b in (np.delete(a, 5), np.delete(a, [3, 7]), np.insert(a, 5, 77).astype(np.uint32), np.array([0, 1, 90, 3, 4, 5, 91, 7, 8, 9], np.uint32)):
+            assert neardup.alike(a, b) and set(neardup.keys_of(a)) & set(neardup.keys_of(b))
+
+
 def test_neardup_odd_rows(docs, empty):
     got = neardup.groups(docs).collect()
     assert len(got) == len(ROWS)
