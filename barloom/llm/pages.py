@@ -7,8 +7,8 @@ wrapper's constants; the slots between them that vary are content.  Every page i
 the blocks of roles that are never the article (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles, comments) go, and what stays inside the article is the text, in page order.
 
-A page that agrees with the pivot in most of its article is a copy, not evidence for a wrapper, and constants never take more than
-``MOST_CONSTANT`` of a page's article: a host that repeats one article keeps it.
+A page whose article differs from the pivot in less than ``1 - COPY`` of its text is a copy, not evidence for a wrapper: a host that repeats one
+article keeps it.  Constants go block by block, unless nothing else would be left of a page.
 
 The pivot is one page a host, the one with the least hash.  Counts combine before they are shuffled, so a host with a third of
 all pages costs each task one row per pivot block.  Pivots are broadcast while they measure at most 16 MB, so pages need not move; beyond
@@ -34,8 +34,7 @@ from barloom.llm.common import aside, broadcast_if_small, table
 
 CONSTANT = 0.9
 EVIDENCE = 3
-COPY = 0.5
-MOST_CONSTANT = 0.3
+COPY = 0.95
 #: Trees are not aligned further down than this.
 DEEPEST = 200
 
@@ -252,9 +251,7 @@ def extract(source: str, pivot: str | None = None, constants: frozenset[int] = f
         template, numbers = _pivot(pivot)
         _sizes(root)
         fixed = {id(b) for a, b in align(template, root)[1] if numbers[id(a)] in constants and a.text == b.text}
-        going = [x for x in blocks if id(x) in fixed]
-        if sum(len(x.text) for x in going) <= MOST_CONSTANT * sum(len(x.text) for x in blocks):
-            blocks = [x for x in blocks if id(x) not in fixed]
+        blocks = [x for x in blocks if id(x) not in fixed] or blocks
     return "\n".join(x.text for x in blocks)
 
 
@@ -282,8 +279,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             root = parse(source.as_py() or "")
             _sizes(root)
             pairs = align(template, root)[1]
-            size = sum(len(b.text) for _, b in pairs) or 1
-            if sum(len(b.text) for a, b in pairs if a.text == b.text) > COPY * size:
+            same = {id(b) for a, b in pairs if a.text == b.text}
+            blocks = [x for x, out in leaves(article(root)) if not out]
+            if sum(len(x.text) for x in blocks if id(x) in same) >= COPY * sum(len(x.text) for x in blocks):
                 continue  # a copy of the pivot
             for a, b in pairs:
                 seen = counts.setdefault((host.as_py(), numbers[id(a)]), [0, 0])

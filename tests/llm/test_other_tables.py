@@ -140,6 +140,15 @@ def test_html_copies_are_no_wrapper(spark):
     assert {r["text"] for r in pages.texts(frame(spark, rows, PAGES)).collect()} == {want}
 
 
+def test_html_much_boilerplate_is_wrapper(spark):
+    """Short articles between long unnamed menus and notices."""
+    menu, legal = prose(900, 150), prose(901, 200)
+    rows = [(i, f"http://{host}.org/{i}", f"<body><div>{menu}</div>{start}<p>{prose(300 + i, 30)}</p><div>{legal}</div>{end}</body>")
+            for host, start, end in (("plain", "", ""), ("marked", "<article>", "</article>")) for i in range(6)]
+    for r in pages.texts(frame(spark, rows, PAGES)).collect():
+        assert r["text"] == prose(300 + r["page_id"], 30)
+
+
 # -- embeddings --------------------------------------------------------------------------------------------------------
 
 VECTORS = "vec_id long, embedding array<float>, label int"
