@@ -5,7 +5,8 @@ aligned in order so that most nodes match.  For every text block of the pivot it
 often the aligned block says the same and how often it says something else.  Blocks that nearly always say the same are the
 wrapper's constants; the slots between them that vary are content.  Every page is then aligned once more, its constants and
 the blocks of roles that are never the article (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, comments) go, and what stays inside the article is the text, in page order.
+styles, comments) go, and what stays inside the article is the text, in page order.  The article is all outermost article and main elements, or
+the whole page where less than half of the text is in them.  Headers inside them are the article's own.
 
 A page whose article differs from the pivot in less than ``1 - COPY`` of its text is a copy, not evidence for a wrapper: a host that repeats one
 article keeps it.  Constants go block by block, unless nothing else would be left of a page.
@@ -53,6 +54,7 @@ NOT_CONTENT = re.compile(
     r"advertisement|advertising|sponsor|sponsored|promo|promotion|comment|comments|commentlist|respond|disqus|social|share|sharing|breadcrumb|breadcrumbs|"
     r"subscribe|newsletter|signup|login|search|related|recommended|popup|modal|overlay|widget|toolbar|pagination|pager|disclaimer|alert|complementary|"
     r"contentinfo|doubleclick)(?:$|[\s_-])", re.I)
+HEADER = re.compile(r"(?<![^\s_-])(?:header|masthead)(?![^\s_-])", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -75,7 +77,7 @@ def _dropped(tag: str, markup: str, in_article: bool) -> bool:
     for name, *values in ATTRIBUTE.findall(markup[len(tag) + 1:]):
         value = "".join(values)
         name = name.lower()
-        if name in ("class", "id", "role") and NOT_CONTENT.search(value):
+        if name in ("class", "id", "role") and NOT_CONTENT.search(HEADER.sub("-", value) if in_article else value):
             return True
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
@@ -114,7 +116,7 @@ def parse(source: str) -> Node:
             continue
         block = name in BLOCKS or name in DROPPED
         if not block:
-            if not closing and name not in VOID and _dropped(name, markup, True):
+            if not closing and name not in VOID and _dropped(name, markup, any(x.tag in ("article", "main") for x in stack)):
                 block = True  # an inline element that is hidden or an advert
             elif closing and any(x.tag == name for x in stack[1:]):
                 block = True
@@ -227,32 +229,35 @@ def _same_shape(a: Node, b: Node, depth: int = 0) -> bool:
     return all(_same_shape(x, y, depth + 1) for x, y in zip(a.children, b.children))
 
 
-def article(root: Node) -> Node:
-    """The page's article element: the one of most text, or the whole page."""
-    best, most, stack = root, 0, [root]
+def content(root: Node, fixed: set[int] = frozenset()) -> list[Node]:
+    """The article's text blocks in page order, without the ``fixed`` ones unless nothing else is left."""
+    tops, stack = [], [root]
     while stack:
         one = stack.pop()
         if one.tag in ("article", "main"):
-            size = sum(len(x.text) for x, out in leaves(one) if not out)
-            if size > most:
-                best, most = one, size
-            if one.tag == "article":
-                continue
-        stack.extend(c for c in one.children if not c.dropped)
-    return best
+            tops.append(one)
+        else:
+            stack.extend(c for c in reversed(one.children) if not c.dropped)
+    whole = [x for x, out in leaves(root) if not out]
+    inside = [x for top in tops for x, out in leaves(top) if not out]
+    for going in (fixed, frozenset()):
+        all_left, left = ([x for x in some if id(x) not in going] for some in (whole, inside))
+        if 2 * sum(len(x.text) for x in left) >= sum(len(x.text) for x in all_left) > 0:
+            return left
+        if all_left:
+            return all_left
+    return []
 
 
 def extract(source: str, pivot: str | None = None, constants: frozenset[int] = frozenset()) -> str:
     """Text of a page's article; ``constants`` are the numbers of the pivot's constant blocks."""
     root = parse(source)
-    main = article(root)
-    blocks = [x for x, out in leaves(main) if not out]
+    fixed = set()
     if pivot is not None and constants:
         template, numbers = _pivot(pivot)
         _sizes(root)
         fixed = {id(b) for a, b in align(template, root)[1] if numbers[id(a)] in constants and a.text == b.text}
-        blocks = [x for x in blocks if id(x) not in fixed] or blocks
-    return "\n".join(x.text for x in blocks)
+    return "\n".join(x.text for x in content(root, fixed))
 
 
 @lru_cache(64)
@@ -280,7 +285,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _sizes(root)
             pairs = align(template, root)[1]
             same = {id(b) for a, b in pairs if a.text == b.text}
-            blocks = [x for x, out in leaves(article(root)) if not out]
+            blocks = content(root)
             if sum(len(x.text) for x in blocks if id(x) in same) >= COPY * sum(len(x.text) for x in blocks):
                 continue  # a copy of the pivot
             for a, b in pairs:

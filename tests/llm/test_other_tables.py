@@ -149,6 +149,17 @@ def test_html_much_boilerplate_is_wrapper(spark):
         assert r["text"] == prose(300 + r["page_id"], 30)
 
 
+def test_html_article_in_parts():
+    parts = "".join(f"<article><p>part {i} {prose(i, 20)}</p></article>" for i in range(3))
+    assert pages.extract(f"<body>{parts}</body>").count("part") == 3
+    long = prose(5, 80)
+    got = pages.extract(f"<body><div class=content><p>{long}</p></div><article><p>a teaser</p></article></body>")
+    assert got == f"{long}\na teaser"
+    for name in ("entry-header", "post-header", "header"):
+        assert pages.extract(f'<article><div class="{name}"><h1>The title</h1></div><p>{long}</p><div class="comments">x</div></article>') == f"The title\n{long}"
+    assert pages.extract(f'<body><div class="site-header">menu</div><p>{long}</p></body>') == long
+
+
 # -- embeddings --------------------------------------------------------------------------------------------------------
 
 VECTORS = "vec_id long, embedding array<float>, label int"
