@@ -1,6 +1,6 @@
 """HTML extraction by wrapper induction.
 
-Pages of one host are aligned with that host's pivot page by simple tree matching: two trees match at equal tags, and their children are
+Pages of one host and template are aligned with their pivot page by simple tree matching: two trees match at equal tags, and their children are
 aligned in order so that most nodes match.  For every text block of the pivot it is counted over all pages of the host how
 often the aligned block says the same and how often it says something else.  Blocks that nearly always say the same are the
 wrapper's constants; the slots between them that vary are content.  Every page is then aligned once more, its constants and
@@ -11,11 +11,12 @@ the whole page where less than half of the text is in them.  Headers inside them
 A page whose article differs from the pivot in less than ``1 - COPY`` of its text is a copy, not evidence for a wrapper: a host that repeats one
 article keeps it.  Constants go block by block, unless nothing else would be left of a page.
 
-The pivot is one page a host, the one with the least hash.  Counts combine before they are shuffled, so a host with a third of
+Pages with the same set of structural tags and first class names are one template; those of templates with too few pages for evidence go with the
+host's most frequent one.  The pivot of each is the page with the least hash of those that have text.  Counts combine before they are shuffled, so a host with a third of
 all pages costs each task one row per pivot block.  Pivots are broadcast while they measure at most 16 MB, so pages need not move; beyond
 that pages and pivots meet by a shuffle on the host, whose large partitions Spark splits.
 
-Defined cases: null and empty html give an empty text; a null url is a host of its own; hosts of one page have no wrapper, and roles
+Defined cases: null and empty html give an empty text; a null url is a host of its own; hosts of few pages have no wrapper, and roles
 alone decide; broken markup is closed where an enclosing element ends; repeated rows are extracted each; other columns
 than ``page_id, url, html`` are ignored.
 """
@@ -57,6 +58,10 @@ NOT_CONTENT = re.compile(
 HEADER = re.compile(r"(?<![^\s_-])(?:header|masthead)(?![^\s_-])", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Structural tags, and first class names without digits, of a template.
+PARTS = r"(?i)<(article|main|section|nav|header|footer|aside|table|form|h1|ul|ol|div)[\s>]"
+NAMES = r"""(?i)<(?:article|main|section|div)\s[^>]*?\bclass\s*=\s*["']?\s*([a-z_-]+)"""
+HAS_TEXT = r"(?is)^(?:\s|<[^>]*>)*+[^<\s]"
 TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 
 
@@ -312,15 +317,23 @@ def texts(pages: DataFrame) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
     host = F.coalesce(F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)), F.lit(""))
     held = pages.select("page_id", "url", "html", host.alias("host"))
-    pivots = held.where("html is not null").groupBy("host").agg(
-        F.min_by("html", F.xxhash64("page_id", "html")).alias("pivot"), F.count(F.lit(1)).alias("n"))
-    pivots = aside(pivots.where(F.col("n") > EVIDENCE).select("host", "pivot"))  # the pivot itself is no evidence
-    counted = held.join(broadcast_if_small(pivots, "pivot"), "host").select("host", "html", "pivot").mapInArrow(_count, "host string, block int, same long, pages long")
-    counted = counted.groupBy("host", "block").agg(F.sum("same").alias("same"), F.sum("pages").alias("pages"))
+    found = [F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(p), F.lit(1)), F.lower))) for p in (PARTS, NAMES)]
+    held = held.withColumn("skeleton", F.coalesce(F.xxhash64(*found), F.lit(0).cast("long")))
+    sizes = aside(held.where(F.col("html").rlike(HAS_TEXT)).groupBy("host", "skeleton").agg(
+        F.min_by("html", F.xxhash64("page_id", "html")).alias("pivot"), F.count(F.lit(1)).alias("n")))
+    hosts = sizes.groupBy("host").agg(F.max_by("skeleton", F.struct("n", "skeleton")).alias("main"), F.sum("n").alias("all"))
+    # the pivot itself is no evidence
+    kept = sizes.join(hosts, "host").where((F.col("n") > EVIDENCE) | (F.col("skeleton") == F.col("main")) & (F.col("all") > EVIDENCE))
+    pivots = aside(kept.select(F.concat_ws(" ", "skeleton", "host").alias("site"), "pivot"))
+    template = sizes.join(hosts, "host").select(
+        "host", "skeleton", F.concat_ws(" ", F.when(F.col("n") > EVIDENCE, F.col("skeleton")).otherwise(F.col("main")), "host").alias("site"))
+    held = held.join(broadcast_if_small(aside(template), "site"), ["host", "skeleton"], "left")
+    counted = held.join(broadcast_if_small(pivots, "pivot"), "site").select(F.col("site").alias("host"), "html", "pivot").mapInArrow(_count, "host string, block int, same long, pages long")
+    counted = counted.withColumnRenamed("host", "site").groupBy("site", "block").agg(F.sum("same").alias("same"), F.sum("pages").alias("pages"))
     constant = counted.where((F.col("pages") >= EVIDENCE) & (F.col("same") >= CONSTANT * F.col("pages")))
     # at most one number per block of the pivot
-    wrappers = aside(pivots.join(constant.groupBy("host").agg(F.sort_array(F.collect_list("block")).alias("constants")), "host"))
-    return held.join(broadcast_if_small(wrappers, "pivot"), "host", "left").select("page_id", "url", "html", "pivot", "constants").mapInArrow(
+    wrappers = aside(pivots.join(constant.groupBy("site").agg(F.sort_array(F.collect_list("block")).alias("constants")), "site"))
+    return held.join(broadcast_if_small(wrappers, "pivot"), "site", "left").select("page_id", "url", "html", "pivot", "constants").mapInArrow(
         _texts, f"page_id {kind}, url string, text string, n_chars long")
 
 

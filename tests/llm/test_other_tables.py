@@ -160,6 +160,16 @@ def test_html_article_in_parts():
     assert pages.extract(f'<body><div class="site-header">menu</div><p>{long}</p></body>') == long
 
 
+def test_html_templates_of_one_host(spark):
+    """Two templates and pages without text on one host: each template's constants go."""
+    note, other = prose(910, 25), prose(911, 25)
+    rows = [(i, f"http://a.org/{i}", f"<body><div><p>{note}</p></div><section><p>{prose(400 + i, 30)}</p></section></body>") for i in range(8)]
+    rows += [(20 + i, f"http://a.org/{i}", f"<body><table><tr><td>{prose(420 + i, 30)}</td><td>{other}</td></tr></table></body>") for i in range(7)]
+    rows += [(50 + i, f"http://a.org/{i}", html) for i, html in enumerate(["", "  ", "<html></html>"] * 8)]
+    for r in pages.texts(frame(spark, rows, PAGES)).collect():
+        assert r["text"] == ("" if r["page_id"] >= 50 else prose(400 + r["page_id"], 30))
+
+
 # -- embeddings --------------------------------------------------------------------------------------------------------
 
 VECTORS = "vec_id long, embedding array<float>, label int"
