@@ -123,6 +123,7 @@ class Encoder:
     """The library's tokenizer behind a bounded cache of words.
 
     The vocabulary's own rules never join text across a space or line end, so the parts between them can be encoded one by one.
+    Special tokens that stand in a text get their ids, as by the library's defaults; none of them holds a space.
     They also lower-case, and split letters from a full stop or comma, so a word of Latin letters shares its entry with its lower case.
     """
 
@@ -131,7 +132,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.words = Words()
         self.end = np.array([END_ID], "<u4").tobytes()
 

@@ -222,6 +222,24 @@ def test_token_file(spark, docs, empty):
         assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
 
 
+def test_token_file_special_strings():
+    """Texts that hold the vocabulary's special strings, against an unmodified tokenizer."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    assert "<|endoftext|>" in special and not any(" " in x or "\n" in x for x in special)
+    rng = random.Random(5)
+    parts = [*special, *special, " ", "  ", "\n", "Word", "end.", ",", ".", "é", "<|", "|>", "12", special[0].upper()]
+    texts = special + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(500)]
+    for text, ids in zip(texts, tokenfile.Encoder(path).encode(texts)):
+        assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, tokenfile.END_ID], text
+
+
 # -- near-duplicates ---------------------------------------------------------------------------------------------------
 
 
