@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from barloom.llm import bpe, chat, embeddup, mixing, neardup, pages, pii, quality, tokenfile, urls
+from barloom.llm import bpe, chat, clusters, embeddup, mixing, neardup, pages, pii, quality, tokenfile, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,10 +16,12 @@ QUERIES = {
     "op8_pages": pages.op8_pages,
     "op9_quality": quality.op9_quality,
     "op10_embeddings": embeddup.op10_embeddings,
+    "op12_clusters": clusters.op12_clusters,
     "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {
     "op2_urls": urls.OP2_SQL,
     "op10_embeddings": embeddup.OP10_SQL,
+    "op12_clusters": clusters.OP12_SQL,
 }
