@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.session import stage
+from barloom.session import ensure_checkpoint_dir, stage
+
+#: With it Spark drops the shuffle files of a query when the query is over.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,6 +28,19 @@ def aside(df: DataFrame) -> DataFrame:
     return stage(df)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """A large intermediate as a Parquet table in the shared folder; once it stands, the shuffle files that led to it go."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, large: str, most_bytes: int = 16_000_000) -> DataFrame:
     """A table set aside, marked for broadcast if its rows and the text column ``large`` measure at most ``most_bytes``."""
     size = df.agg(F.sum(F.octet_length(large) + 200).alias("bytes")).first()["bytes"] or 0
