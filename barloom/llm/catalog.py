@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from barloom.llm import bpe, chat, clusters, embeddup, mixing, neardup, pages, pii, quality, substrings, tokenfile, urls
+from barloom.llm import bpe, chat, clusters, embeddup, hardneg, mixing, neardup, pages, pii, quality, substrings, tokenfile, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_pages": pages.op8_pages,
     "op9_quality": quality.op9_quality,
     "op10_embeddings": embeddup.op10_embeddings,
+    "op11_negatives": hardneg.op11_negatives,
     "op12_clusters": clusters.op12_clusters,
     "op13_substrings": substrings.op13_substrings,
     "pipeline": corpus_pipeline.run,
@@ -24,6 +25,7 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op2_urls": urls.OP2_SQL,
     "op10_embeddings": embeddup.OP10_SQL,
+    "op11_negatives": hardneg.OP11_SQL,
     "op12_clusters": clusters.OP12_SQL,
     "op13_substrings": substrings.OP13_SQL,
 }
