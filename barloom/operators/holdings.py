@@ -31,38 +31,51 @@ def merge_lots(lots: DataFrame) -> DataFrame:
         F.sum("shares").alias("shares"), F.sum("cost").alias("cost"))
 
 
-def value_series(lots: DataFrame, bars: DataFrame) -> DataFrame:
-    """(portfolio, ts, value, flow): market value and money added on every trading day since the first purchase.
+#: Contributions are summed as decimals of this kind, so that a long sum of changes does not drift.
+MONEY = "decimal(38,10)"
+
 
-    Lots, prices and calendar days are interleaved per (portfolio, symbol): the running sum of shares and the
-    last price give the as-of holding of every day, without a range join.
+def value_changes(lots: DataFrame, bars: DataFrame) -> DataFrame:
+    """(portfolio, ts, value, paid, priced): by how much value and money paid in change at an instant; ``priced`` where there is a price.
+
+    Lots and prices are interleaved per (portfolio, symbol).  An event changes the holding by shares x last price, or the price of what is held;
+    what changes at one instant is summed over the symbols map-side.  There is a row per event, never one per day and symbol.
     """
     lots = merge_lots(lots)
     held = lots.groupBy("portfolio", "symbol").agg(F.min("purchase_date").alias("_first"))
     start = held.groupBy("portfolio").agg(F.min("_first").alias("_start"))
-    # one row per held and priced symbol; written once because three branches read it
-    pairs = stage(held.join(bars.select("symbol").distinct(), "symbol", "left_semi").join(start, "portfolio").select("portfolio", "symbol", "_start"))
-    prices = bars.join(pairs, "symbol").where(F.col("ts") >= F.col("_start").cast("timestamp_ntz")).select(
-        "portfolio", "symbol", "ts", "close")
-    days = prices.select("portfolio", "ts").distinct().join(pairs.select("portfolio", "symbol"), "portfolio")
+    pairs = held.join(start, "portfolio").select("portfolio", "symbol", "_start")
+    prices = bars.select("symbol", "ts", "close").join(pairs, "symbol").where(F.col("ts") >= F.col("_start").cast("timestamp_ntz"))
     none = F.lit(None).cast("double")
+    bought = lots.select("portfolio", "symbol", F.col("purchase_date").cast("timestamp_ntz").alias("ts"), none.alias("close"), "shares", "cost")
+    timeline = bought.unionByName(prices.select("portfolio", "symbol", "ts", "close", none.alias("shares"), none.alias("cost")))
+    timeline = timeline.withColumn("priced", F.col("close").isNotNull())
+    key = ("portfolio", "symbol")
+    moment = Window.partitionBy(*key).orderBy("ts", "priced")
+    till = moment.rowsBetween(Window.unboundedPreceding, 0)
+    run = timeline.select(
+        *key, "ts", "priced", F.coalesce("cost", F.lit(0.0)).alias("paid"),
+        (F.coalesce(F.sum("shares").over(till), F.lit(0.0)) * F.last("close", ignorenulls=True).over(till)).cast(MONEY).alias("_worth"))
+    zero = F.lit(0).cast(MONEY)
+    worth = F.coalesce("_worth", zero)
+    step = run.withColumn("value", worth - F.coalesce(F.lag(worth).over(moment), zero))
+    # symbols without any price count neither as value nor as money paid in
+    known = bars.select("symbol").distinct()
+    return step.join(known, "symbol", "left_semi").groupBy("portfolio", "ts").agg(
+        F.sum("value").alias("value"), F.sum(F.col("paid").cast(MONEY)).alias("paid"), F.bool_or("priced").alias("priced"))
 
-    def events(df: DataFrame, order: int, close: Column = none, shares: Column = none, cost: Column = none) -> DataFrame:
-        return df.select("portfolio", "symbol", "ts", F.lit(order).alias("_k"), close.alias("close"), shares.alias("shares"), cost.alias("cost"))
 
-    bought = lots.join(pairs.select("portfolio", "symbol"), ["portfolio", "symbol"], "left_semi").withColumn(
-        "ts", F.col("purchase_date").cast("timestamp_ntz"))
-    timeline = (
-        events(bought, 0, shares=F.col("shares"), cost=F.col("cost")).unionByName(events(prices, 1, close=F.col("close")))
-        .unionByName(events(days, 2)))
-    w = Window.partitionBy("portfolio", "symbol").orderBy("ts", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    run = timeline.select(
-        "portfolio", "symbol", "ts", "_k", F.last("close", ignorenulls=True).over(w).alias("price"),
-        F.coalesce(F.sum("shares").over(w), F.lit(0.0)).alias("shares"), F.coalesce(F.sum("cost").over(w), F.lit(0.0)).alias("paid"))
-    daily = run.where(F.col("_k") == 2).groupBy("portfolio", "ts").agg(
-        F.sum(F.coalesce(F.col("shares") * F.col("price"), F.lit(0.0))).alias("value"), F.sum("paid").alias("_paid"))
+def value_series(lots: DataFrame, bars: DataFrame) -> DataFrame:
+    """(portfolio, ts, value, flow): market value and money added on every trading day since the first purchase.
+
+    One running sum of the changes; money paid in between two trading days arrives on the later one.
+    """
+    till = Window.partitionBy("portfolio").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    daily = value_changes(lots, bars).select(
+        "portfolio", "ts", "priced", F.sum("value").over(till).cast("double").alias("value"), F.sum("paid").over(till).alias("_paid")).where("priced")
     before = prev(F.col("_paid"), key=("portfolio",))
-    return daily.withColumn("flow", F.col("_paid") - F.coalesce(before, F.lit(0.0))).drop("_paid")
+    flow = (F.col("_paid") - F.coalesce(before, F.lit(0).cast(MONEY))).cast("double")
+    return daily.select("portfolio", "ts", "value", flow.alias("flow"))
 
 
 def time_weighted(series: DataFrame) -> DataFrame:
