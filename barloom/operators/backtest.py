@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +15,7 @@ from barloom import params as P
 from barloom.functions.series import KEY, over_time, prev, running, sdiv, whole
 from barloom.operators import indicators as ti
 from barloom.operators.risk import YEAR, simple_returns
+from barloom.session import stage
 
 
 @dataclass(frozen=True)
@@ -187,71 +188,104 @@ PERIODS = {"monthly": "MONTH", "quarterly": "QUARTER", "annually": "YEAR"}
 def basket_returns(runs: DataFrame, targets: DataFrame) -> DataFrame:
     """Net strategy returns of the basket members on common dates, weights re-spread over the survivors."""
     rets = runs.where(F.col("net_r").isNotNull()).select("symbol", "ts", "net_r")
-    live = rets.join(targets.where(F.col("target") > 0).select("basket", "symbol", "target"), "symbol")
+    # one pass over the indicator stack: who survives, how many, and the days all share are read from what it left
+    live = stage(rets.join(targets.where(F.col("target") > 0).select("basket", "symbol", "target"), "symbol"))
     survivors = live.select("basket", "symbol", "target").distinct()
     spread = survivors.groupBy("basket").agg(F.sum("target").alias("_sum"), F.count(F.lit(1)).alias("_size"))
-    here = F.count(F.lit(1)).over(Window.partitionBy("basket", "ts"))
-    return (
-        live.withColumn("_here", here).join(spread, "basket").where(F.col("_here") == F.col("_size"))
-        .select("basket", "symbol", "ts", "net_r", (F.col("target") / F.col("_sum")).alias("target"))
-    )
+    common = live.groupBy("basket", "ts").agg(F.count(F.lit(1)).alias("_here")).join(spread, "basket").where(F.col("_here") == F.col("_size"))
+    return live.join(common, ["basket", "ts"]).select("basket", "symbol", "ts", "net_r", (F.col("target") / F.col("_sum")).alias("target"))
 
 
-def drifting_weights(returns: DataFrame, freq: str = "none") -> DataFrame:
-    """Weights drift with returns and are reset on the first bar of a new period.
+def drifting_weights(returns: DataFrame, freq: str = "none", threshold_pct: float | None = None) -> DataFrame:
+    """Weights drift with returns; they go back to the targets on the first bar of a new period, when one is off its target by more than the
+    threshold, and after a bar that left nothing to divide (a total of zero or less).
 
-    Inside one period the drifted weight is target * product(1 + r) of the earlier bars, rescaled per date,
-    so the recursion becomes one running product per (basket, symbol, period).
+    Without a threshold the drifted weight inside one period is target * product(1 + r) of the earlier bars, rescaled per date: one running
+    product per (basket, symbol, period).  A threshold, or a lost total, makes a reset depend on the drifted state; such baskets are walked.
     """
+    if threshold_pct is not None:
+        return walked_weights(returns, freq, threshold_pct)
     member = ("basket", "symbol")
     if freq == "none":
         step = returns.withColumns({"epoch": F.lit(0).cast("long"), "rebalanced": F.lit(False)})
     else:
-        period = F.date_trunc(PERIODS[freq], F.col("ts"))
-        step = returns.withColumn("_p", period)
+        step = returns.withColumn("_p", F.date_trunc(PERIODS[freq], F.col("ts")))
         changed = F.coalesce(F.col("_p") != prev(F.col("_p"), key=member), F.lit(False))
         step = step.withColumn("rebalanced", changed).drop("_p")
         step = step.withColumn("epoch", F.sum(F.col("rebalanced").cast("long")).over(running(member)))
     before = over_time((*member, "epoch")).rowsBetween(Window.unboundedPreceding, -1)
     raw = F.col("target") * F.coalesce(F.product(1 + F.col("net_r")).over(before), F.lit(1.0))
     step = step.withColumn("_raw", raw)
-    step = step.withColumn("weight", F.col("_raw") / F.sum("_raw").over(Window.partitionBy("basket", "ts"))).drop("_raw")
-    return step.withColumn("contribution", F.col("weight") * F.col("net_r"))
-
-
-def _threshold_path(threshold_pct: float):
-    """Sequential reset-on-drift for one basket; the reset depends on the drifted state, so bars are walked."""
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="ts", columns="symbol", values="net_r").sort_index()
-        target = pdf.groupby("symbol")["target"].first().reindex(wide.columns).to_numpy()
-        growth = 1.0 + wide.to_numpy()
-        held = np.empty_like(growth)
-        resets = np.zeros(len(wide), dtype=bool)
-        now = target.copy()
-        for i in range(len(wide)):
-            if np.abs(now - target).max() * 100 > threshold_pct:
-                now, resets[i] = target.copy(), True
-            held[i] = now
-            drifted = now * growth[i]
-            now = drifted / drifted.sum() if drifted.sum() > 0 else target.copy()
-        out = pd.DataFrame(held, index=wide.index, columns=wide.columns).stack().rename("weight").reset_index()
-        out["rebalanced"] = np.repeat(resets, wide.shape[1])
-        out = out.merge(pdf[["symbol", "ts", "net_r", "target"]], on=["symbol", "ts"])
-        out["basket"] = pdf["basket"].iloc[0]
-        out["contribution"] = out["weight"] * out["net_r"]
-        return out[["basket", "symbol", "ts", "net_r", "target", "weight", "rebalanced", "contribution"]]
-
-    return walk
-
-
-def threshold_weights(returns: DataFrame, threshold_pct: float = 5.0) -> DataFrame:
-    """Like drifting_weights, reset when any weight is off its target by more than the threshold.
-
-    One basket is one task: its size is members x calendar dates, independent of the tick volume.
-    """
-    schema = "basket string, symbol string, ts timestamp_ntz, net_r double, target double, weight double, rebalanced boolean, contribution double"
-    return returns.groupBy("basket").applyInPandas(_threshold_path(threshold_pct), schema)
+    totals = step.groupBy("basket", "ts").agg(F.sum("_raw").alias("_total"), F.sum(F.col("_raw") * (1 + F.col("net_r"))).alias("_after"))
+    lost = totals.where(F.col("_after") <= 0).select("basket").distinct()
+    step = step.join(totals.drop("_after"), ["basket", "ts"]).join(lost, "basket", "left_anti")
+    step = step.withColumn("weight", sdiv(F.col("_raw"), F.col("_total")))
+    closed = step.select(*STREAM, "net_r", "target", "weight", "rebalanced", (F.col("weight") * F.col("net_r")).alias("contribution"))
+    return closed.unionByName(walked_weights(returns.join(lost, "basket", "left_semi"), freq))
+
+
+STREAM = ("basket", "ts", "symbol")
+
+
+class _Walk:
+    """The state of one basket: its members' weights and the period of the last date."""
+
+    def __init__(self, threshold_pct: float | None):
+        self.limit, self.basket = threshold_pct, None
+
+    def day(self, basket, symbols: list, period, r: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, bool]:
+        if basket != self.basket:
+            self.basket, self.period, self.now = basket, period, dict(zip(symbols, target))
+        now = np.array([self.now.get(s, t) for s, t in zip(symbols, target)])
+        reset = period != self.period or (self.limit is not None and float(np.abs(now - target).max()) * 100 > self.limit)
+        held = target.copy() if reset else now
+        drifted = held * (1 + r)
+        total = drifted.sum()
+        self.period, self.now = period, dict(zip(symbols, drifted / total if total > 0 else target))
+        return held, reset
+
+
+def _walked(threshold_pct: float | None):
+    """Sorted rows in, the same rows with weights out; a date's rows are held together, nothing else."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk, waiting = _Walk(threshold_pct), None
+        for batch in _then_none(batches):
+            rows = waiting if batch is None else pa.Table.from_batches([batch]) if waiting is None else pa.concat_tables([waiting, pa.Table.from_batches([batch])])
+            if rows is None or not rows.num_rows:
+                continue
+            basket, ts = rows.column("basket").to_pylist(), rows.column("ts").cast(pa.int64()).to_numpy()
+            cuts = [i for i in range(1, len(basket)) if basket[i] != basket[i - 1] or ts[i] != ts[i - 1]]
+            # the last date may go on in the next batch
+            end = len(basket) if batch is None else cuts[-1] if cuts else 0
+            waiting = rows.slice(end)
+            if not end:
+                continue
+            symbols, period = rows.column("symbol").to_pylist(), rows.column("_p").cast(pa.int64()).to_pylist()
+            r, target = rows.column("net_r").to_numpy(), rows.column("target").to_numpy()
+            weights, resets = np.empty(end), np.zeros(end, bool)
+            edges = [0, *[c for c in cuts if c < end], end]
+            for a, b in zip(edges, edges[1:]):
+                weights[a:b], resets[a:b] = walk.day(basket[a], symbols[a:b], period[a], r[a:b], target[a:b])
+            done = rows.slice(0, end).select([*STREAM, "net_r", "target"])
+            for name, column in (("weight", pa.array(weights)), ("rebalanced", pa.array(resets)), ("contribution", pa.array(weights * r[:end]))):
+                done = done.append_column(name, column)
+            yield from done.combine_chunks().to_batches()
+
+    return run
+
+
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def walked_weights(returns: DataFrame, freq: str = "none", threshold_pct: float | None = None) -> DataFrame:
+    """The walk over the dates of every basket: one sorted stream, of which a task holds one date's members at a time."""
+    period = F.lit(None).cast("timestamp_ntz") if freq == "none" else F.date_trunc(PERIODS[freq], F.col("ts")).cast("timestamp_ntz")
+    rows = returns.select(*STREAM, "net_r", "target", period.alias("_p")).repartition("basket").sortWithinPartitions(*STREAM)
+    return rows.mapInArrow(_walked(threshold_pct), (
+        "basket string, ts timestamp_ntz, symbol string, net_r double, target double, weight double, rebalanced boolean, contribution double"))
 
 
 def portfolio_curve(weighted: DataFrame) -> DataFrame:

@@ -156,14 +156,14 @@ def _(spark, sf):
     return rounded(bt.contributions(weighted, bt.summarize(runs)), 5, net_pct=3, target=6)
 
 
-def _threshold_sql():
-    """The reset-on-drift walk as a recursion over the days of each basket."""
-    return f"""{basket_sql('none')}, dy AS MATERIALIZED (SELECT basket, ts, row_number() OVER (PARTITION BY basket ORDER BY ts) AS i, rl, tl FROM (
+def _threshold_sql(period="NULL"):
+    """The walk as a recursion over the days of each basket."""
+    return f"""{basket_sql('none')}, dy AS MATERIALIZED (SELECT basket, ts, row_number() OVER (PARTITION BY basket ORDER BY ts) AS i, {period} AS p, rl, tl FROM (
       SELECT basket, ts, list(net_r ORDER BY symbol) AS rl, list(target ORDER BY symbol) AS tl FROM al GROUP BY ALL)),
     walk AS (WITH RECURSIVE w(basket, i, held, reset) AS (SELECT basket, i, tl, false FROM dy WHERE i = 1 UNION ALL
-      SELECT basket, i, CASE WHEN off THEN tl ELSE now END, off FROM (SELECT *, list_max(list_transform(list_zip(now, tl), lambda z: abs(z[1] - z[2]))) * 100 > 5 AS off FROM (
-        SELECT n.basket, n.i, n.tl, list_transform(g, lambda x: x / list_sum(g)) AS now FROM (
-          SELECT w.basket, w.i, list_transform(list_zip(w.held, d.rl), lambda z: z[1] * (1 + z[2])) AS g FROM w JOIN dy d ON d.basket = w.basket AND d.i = w.i) p
+      SELECT basket, i, CASE WHEN off THEN tl ELSE now END, off FROM (SELECT *, list_max(list_transform(list_zip(now, tl), lambda z: abs(z[1] - z[2]))) * 100 > 5 OR coalesce(turn, false) AS off FROM (
+        SELECT n.basket, n.i, n.tl, n.p <> p.p AS turn, CASE WHEN list_sum(g) > 0 THEN list_transform(g, lambda x: x / list_sum(g)) ELSE n.tl END AS now FROM (
+          SELECT w.basket, w.i, d.p, list_transform(list_zip(w.held, d.rl), lambda z: z[1] * (1 + z[2])) AS g FROM w JOIN dy d ON d.basket = w.basket AND d.i = w.i) p
           JOIN dy n ON n.basket = p.basket AND n.i = p.i + 1))) SELECT * FROM w),
     dr AS (SELECT d.basket, d.ts, reset, list_sum(list_transform(list_zip(held, rl), lambda z: z[1] * z[2])) AS r, list_sum(list_transform(list_zip(tl, rl), lambda z: z[1] * z[2])) AS sr FROM walk JOIN dy d ON d.basket = walk.basket AND d.i = walk.i),
     ec AS (SELECT *, product(1 + r) OVER w AS equity, product(1 + sr) OVER w AS static_equity FROM dr WINDOW w AS (PARTITION BY basket ORDER BY ts)),
@@ -174,5 +174,11 @@ def _threshold_sql():
 
 @query("bt_portfolio_threshold", _threshold_sql())
 def _(spark, sf):
-    out = bt.threshold_weights(basket_returns(spark, sf), 5.0)
+    out = bt.drifting_weights(basket_returns(spark, sf), threshold_pct=5.0)
+    return rounded(bt.portfolio_summary(bt.portfolio_curve(out)), 5, total_pct=4, static_pct=4)
+
+
+@query("bt_portfolio_period_threshold", _threshold_sql("date_trunc('quarter', ts)"))
+def _(spark, sf):
+    out = bt.drifting_weights(basket_returns(spark, sf), "quarterly", 5.0)
     return rounded(bt.portfolio_summary(bt.portfolio_curve(out)), 5, total_pct=4, static_pct=4)

@@ -73,7 +73,7 @@ def loop_portfolio(wide, target, freq=None, threshold=None):
             weights = target.copy()
         out.append(weights.copy())
         grown = weights * (1 + row.to_numpy())
-        weights = grown / grown.sum()
+        weights = grown / grown.sum() if grown.sum() > 0 else target.copy()
         prev = ts
     return np.array(out)
 
@@ -86,16 +86,55 @@ def returns(spark):
     return spark.createDataFrame(rows, "basket string, symbol string, ts timestamp_ntz, net_r double, target double")
 
 
-@pytest.mark.parametrize("freq,threshold", [("none", None), ("monthly", None), (None, 5.0)])
+@pytest.mark.parametrize("freq,threshold", [("none", None), ("monthly", None), ("none", 5.0), ("monthly", 5.0)])
 def test_drift_matches_loop(returns, freq, threshold):
     pdf = returns.toPandas()
     wide = pdf.pivot(index="ts", columns="symbol", values="net_r")
     want = loop_portfolio(wide, np.array([0.5, 0.3, 0.2]), freq if freq == "monthly" else None, threshold)
-    out = bt.threshold_weights(returns, threshold) if threshold else bt.drifting_weights(returns, freq)
+    out = bt.drifting_weights(returns, freq, threshold)
     got = out.toPandas().pivot(index="ts", columns="symbol", values="weight")
     assert np.allclose(got.to_numpy(), want)
 
 
+@pytest.mark.parametrize("freq,threshold", [("none", None), ("monthly", None), ("monthly", 5.0)])
+def test_lost_total_goes_back_to_the_targets(spark, returns, freq, threshold):
+    """On one day all members lose everything, on another the total is negative; a second basket is not touched by it."""
+    pdf = returns.toPandas()
+    days = sorted(pdf["ts"].unique())
+    pdf.loc[pdf["ts"] == days[30], "net_r"] = -1.0
+    pdf.loc[pdf["ts"] == days[60], "net_r"] = -1.5
+    both = spark.createDataFrame(pdf, returns.schema).union(returns.withColumn("basket", F.lit("q")))
+    out = bt.drifting_weights(both, freq, threshold).toPandas()
+    assert len(out) == 720
+    for basket, part in (("p", pdf), ("q", returns.toPandas())):
+        want = loop_portfolio(part.pivot(index="ts", columns="symbol", values="net_r"), np.array([0.5, 0.3, 0.2]), freq if freq == "monthly" else None, threshold)
+        got = out[out["basket"] == basket].pivot(index="ts", columns="symbol", values="weight")
+        assert np.allclose(got.to_numpy(), want)
+
+
+def test_walk_holds_one_date_only():
+    """A basket of 20,000 dates passes in batches of 64 rows; between batches no more than one date waits."""
+    import pyarrow as pa
+
+    dates, members = 20_000, ["A", "B", "C"]
+    held = []
+
+    def batches():
+        rows = [("p", np.datetime64("1950-01-01") + d, m, 0.001 * (i - 1), 1 / 3, None) for d in range(dates) for i, m in enumerate(members)]
+        for at in range(0, len(rows), 64):
+            part = list(zip(*rows[at:at + 64]))
+            held.append(len(part[0]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part[0]), pa.array(np.array(part[1], "datetime64[us]")), pa.array(part[2]), pa.array(part[3]), pa.array(part[4]), pa.array(part[5], pa.timestamp("us"))],
+                ["basket", "ts", "symbol", "net_r", "target", "_p"])
+
+    seen = 0
+    for out in bt._walked(5.0)(batches()):
+        seen += out.num_rows
+        assert out.num_rows <= 64 + len(members) and seen >= sum(held) - 64 - len(members)
+    assert seen == dates * len(members)
+
+
 def test_contributions_sum_to_portfolio_return(returns):
     weighted = bt.drifting_weights(returns, "monthly")
     daily = bt.portfolio_curve(weighted)
