@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,21 +25,28 @@ def whole_row() -> Column:
     return F.struct("*").alias("row")
 
 
+@contextmanager
+def _dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def aside(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; its files go when the frame is no longer used."""
-    return stage(df)
+    """Reliable checkpoint in the shared folder; the shuffle files that led to it go once it stands."""
+    with _dropping_shuffles(df.sparkSession):
+        return stage(df.select("*"))
 
 
 def written(df: DataFrame) -> DataFrame:
-    """A large intermediate as a Parquet table in the shared folder; once it stands, the shuffle files that led to it go."""
+    """A large intermediate as a Parquet table in the shared folder; the shuffle files that led to it go once it stands."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _dropping_shuffles(spark):
         df.select("*").write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
