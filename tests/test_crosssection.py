@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions.asof import asof
-from barloom.functions.rank import group_counts
+from barloom.functions.rank import group_counts, range_of, splitters
 from barloom.operators import clean as cl
 from barloom.operators import fundamentals as fa
 from barloom.operators import screen as sc
@@ -22,6 +22,31 @@ def test_group_counts_against_brute_force(spark):
         assert got[(g, v)] == (sum(b < v for b in same), sum(b == v for b in same), len(same))
 
 
+def test_one_outlier_does_not_crowd_a_range(spark):
+    """2,000 close values and one far away: ranges of about 50 distinct values all the same, and exact counts."""
+    rng = random.Random(2)
+    values = [rng.gauss(0, 1) for _ in range(2000)] + [1e300, -1e300]
+    rows = [("g", v) for v in values] + [("g", values[0])] * 3 + [("small", 1.0), ("small", 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    seen = df.distinct()
+    cuts = splitters(seen, ["g"], "v", 50)
+    assert [r.g for r in cuts.collect()] == ["g"]  # a small group needs none
+    sizes = [r["count"] for r in seen.join(cuts, "g").groupBy(range_of(F.col("v"), F.col("cuts"))).count().collect()]
+    assert len(sizes) >= 38 and max(sizes) <= 100
+    got = {(r.g, r.v): (r.less, r.equal, r.total) for r in group_counts(df, ["g"], "v", 50).collect()}
+    ordered = sorted(v for g, v in rows if g == "g")
+    assert all(got["g", v] == (ordered.index(v), ordered.count(v), len(ordered)) for v in set(ordered))
+    assert got["small", 2.0] == (1, 1, 2)
+
+
+@pytest.mark.parametrize("n", [0, 1, 31, 32, 33, 64, 1000, 1023])
+def test_range_of_counts_cuts(spark, n):
+    cuts = [float(2 * i) for i in range(n)]
+    rows = [(cuts, float(v)) for v in (-1, 0, 1, n, 2 * n - 2, 2 * n - 1, 2 * n, 1e9)]
+    got = spark.createDataFrame(rows, "cuts array<double>, v double").select("v", range_of(F.col("v"), F.col("cuts")).alias("r")).collect()
+    assert all(r.r == sum(c < r.v for c in cuts) for r in got)
+
+
 def test_percentile_excludes_the_target(spark):
     rows = [("A", "tech", "pe", 10.0), ("B", "tech", "pe", 20.0), ("C", "tech", "pe", 20.0), ("D", "tech", "pe", 30.0), ("E", "util", "pe", 5.0), ("F", "util", "pe", 6.0)]
     long = spark.createDataFrame(rows, "symbol string, sector string, metric string, value double")
