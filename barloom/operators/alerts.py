@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom import params as P
+from barloom.functions.rank import ROWS, range_of, splitters
 from barloom.functions.score import compare
 from barloom.operators import backtest as bt
 from barloom.operators import indicators as ti
@@ -40,14 +41,31 @@ def default_threshold(metric: Column, altman: Column | float = P.ALTMAN_GREY) ->
     return out
 
 
-def evaluate(snapshots: DataFrame, rules: DataFrame) -> DataFrame:
+def evaluate(snapshots: DataFrame, rules: DataFrame, rows: int = ROWS) -> DataFrame:
     """Every (symbol, rule) whose metric satisfies the rule; a missing metric is no trigger.
 
-    snapshots(symbol, metric, value) and rules(metric, op, threshold, ...) meet on the metric and, where the
-    rules carry a symbol, on the symbol as well.
+    snapshots(symbol, metric, value) and rules(metric, op, threshold, ...).  Rules that carry a symbol look it up.  Others go through an
+    interval index: the values of a metric are cut into ranges of about equal size, and a rule is sent to the ranges that its
+    threshold leaves open.  All values of those but the range of the threshold itself satisfy it, so hardly a pair is compared in vain, and a metric
+    is as many join keys as it has ranges.
     """
-    keys = ["metric"] + (["symbol"] if "symbol" in rules.columns else [])
-    return snapshots.join(rules, keys).where(compare(F.col("value"), F.col("op"), F.col("threshold")))
+    if "symbol" in rules.columns:
+        return snapshots.join(rules, ["metric", "symbol"]).where(compare(F.col("value"), F.col("op"), F.col("threshold")))
+    known = snapshots.where(F.col("value").isNotNull())
+    cuts = splitters(known.select("metric", "value").distinct(), ["metric"], "value", rows)
+    at = lambda x: F.when(F.col("cuts").isNull(), 0).otherwise(range_of(x, F.col("cuts")))
+    values = known.join(cuts, "metric", "left").withColumn("_range", at(F.col("value"))).drop("cuts")
+    own, last = at(F.col("threshold")), F.coalesce(F.size("cuts"), F.lit(0))
+    # values equal to a cut are in the range below it, so a threshold and what equals it share their range
+    open_ = F.when(F.col("op").isin("<", "<="), F.sequence(F.lit(0), own)).when(F.col("op").isin(">", ">="), F.sequence(own, last))
+    sent = rules.where(F.col("threshold").isNotNull()).join(cuts, "metric", "left").withColumn("_range", F.explode(open_)).drop("cuts")
+    return values.join(sent, ["metric", "_range"]).where(compare(F.col("value"), F.col("op"), F.col("threshold"))).drop("_range")
+
+
+def evaluate_watched(snapshots: DataFrame, rules: DataFrame, watch: DataFrame) -> DataFrame:
+    """The triggers of every owner's rules among the symbols on the owner's own watch list(owner, symbol)."""
+    mine = rules.join(watch.select("owner", "symbol").distinct(), "owner")
+    return evaluate(snapshots, mine)
 
 
 def indicator_state(bars: DataFrame) -> DataFrame:

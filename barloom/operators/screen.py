@@ -40,18 +40,33 @@ def long_metrics(df: DataFrame, metrics: dict[str, str], keep: Sequence[str] = (
     return wide.unpivot(list(keep), list(metrics), "metric", "value")
 
 
-def run_screen(metrics: DataFrame, criteria: DataFrame) -> DataFrame:
-    """criteria(screen_id, metric, op, threshold) against metrics(symbol, metric, value)."""
-    tested = metrics.join(criteria, "metric").withColumn(
-        "passed", compare(F.col("value"), F.col("op"), F.col("threshold")))
+def _screened(tested: DataFrame, loaded: Column | None = None) -> DataFrame:
+    """One row per (screen_id, symbol): a missing metric leaves it undecided, an empty criteria set has no verdict."""
+    loaded = F.lit(True) if loaded is None else loaded
     out = tested.groupBy("screen_id", "symbol").agg(
-        F.count(F.lit(1)).alias("criteria"), F.count("passed").alias("evaluable"), F.count_if("passed").alias("passes"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("passed").isNull(), F.col("metric")))), ", ").alias("missing"))
+        F.count("metric").alias("criteria"), F.count("passed").alias("evaluable"), F.count_if("passed").alias("passes"),
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("passed").isNull(), F.col("metric")))), ", ").alias("missing"), F.bool_and(loaded).alias("_loaded"))
     verdict = (
-        F.when(F.col("evaluable") < F.col("criteria"), "undecided")
+        F.when(F.col("criteria") == 0, F.lit(None)).when(F.col("evaluable") < F.col("criteria"), "undecided")
         .when(F.col("passes") == F.col("criteria"), "passed").otherwise("failed"))
-    status = F.when(F.col("evaluable") == F.col("criteria"), "ok").otherwise("insufficient_data")
-    return out.withColumns({"passed_all": verdict, "status": status})
+    status = F.when(~F.col("_loaded"), "fetch_error").when(F.col("evaluable") == F.col("criteria"), "ok").otherwise("insufficient_data")
+    return out.withColumns({"passed_all": verdict, "status": status}).drop("_loaded")
+
+
+def run_screen(metrics: DataFrame, criteria: DataFrame) -> DataFrame:
+    """criteria(screen_id, metric, op, threshold) against every symbol of metrics(symbol, metric, value)."""
+    return _screened(metrics.join(criteria, "metric").withColumn("passed", compare(F.col("value"), F.col("op"), F.col("threshold"))))
+
+
+def run_requests(metrics: DataFrame, criteria: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests(screen_id, symbol): what every screen asks for, each answered by exactly one row.
+
+    A symbol without any metric could not be loaded (``fetch_error``); a screen without criteria has no verdict.
+    """
+    asked = requests.select("screen_id", "symbol").distinct().join(criteria, "screen_id", "left")
+    loaded = metrics.select("symbol").distinct().withColumn("_known", F.lit(True))
+    tested = asked.join(metrics, ["symbol", "metric"], "left").join(loaded, "symbol", "left")
+    return _screened(tested.withColumn("passed", compare(F.col("value"), F.col("op"), F.col("threshold"))), F.coalesce("_known", F.lit(False)))
 
 
 def sector_percentiles(long: DataFrame, min_peers: int = 3) -> DataFrame:

@@ -122,9 +122,7 @@ OWNERS = f"""orl AS (SELECT * FROM (SELECT n_name AS owner, [{', '.join(repr(k)
 
 def owner_breaches(spark, sf, daily=None):
     long = sc.long_metrics(snapshots(spark, sf, daily), {k: k for k in METRIC_KEYS})
-    mine = long.join(watch_lists(spark, sf), "symbol")
-    r = owner_rules(spark, sf)
-    return dg.breach_lines(mine.join(r, ["owner", "metric"]).where(sc.compare(F.col("value"), F.col("op"), F.col("threshold"))))
+    return dg.breach_lines(al.evaluate_watched(long, owner_rules(spark, sf), watch_lists(spark, sf)))
 
 
 @query("al_evaluate_risk", f"WITH {WIDE_SQL}, {SNAP}, {OWNERS} SELECT owner, rl.metric, sl.symbol, round(threshold, 4) AS threshold, round(value, 6) AS value FROM sl JOIN rl USING (metric) WHERE value < threshold")
@@ -134,6 +132,12 @@ def _(spark, sf):
     return rounded(out, 6, threshold=4)
 
 
+@query("al_watched_risk", f"WITH {WIDE_SQL}, {SNAP}, {OWNERS} SELECT owner, metric, symbol, round(threshold, 4) AS threshold, round(value, 6) AS value FROM br")
+def _(spark, sf):
+    long = sc.long_metrics(snapshots(spark, sf), {k: k for k in METRIC_KEYS})
+    return rounded(al.evaluate_watched(long, owner_rules(spark, sf), watch_lists(spark, sf)).drop("op"), 6, threshold=4)
+
+
 @query("dg_risk_breaches", f"WITH {WIDE_SQL}, {SNAP}, {OWNERS} SELECT owner, symbol, metric, format('{{}}  {{}} < {{:.2f}}  (now {{:.4f}})', symbol, metric, threshold, value) AS line FROM br")
 def _(spark, sf):
     return owner_breaches(spark, sf).select("owner", "symbol", "metric", "line")

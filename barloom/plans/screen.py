@@ -18,7 +18,7 @@ from barloom.plans.registry import query
 from barloom.plans.risk import METRICS, staged_closes
 from barloom.sources.bars import bars_from_bars
 from barloom.sources.companies import profiles, yearly
-from barloom.sources.market import bars_daily, baskets
+from barloom.sources.market import bars_daily, baskets, brand_number
 from barloom.sources.tables import table
 
 CRITERIA = (
@@ -68,6 +68,26 @@ def _(spark, sf):
     return sc.run_screen(metrics, criteria)
 
 
+REQ_SQL = """req AS (SELECT DISTINCT unnest(['quality', 'trend', 'mixed', 'empty']) AS screen_id, p_brand AS symbol, regexp_extract(p_brand, '([0-9]+)', 1)::INT AS n FROM part),
+  asked AS MATERIALIZED (SELECT screen_id, symbol FROM req WHERE (n + length(screen_id)) % 3 > 0 UNION ALL SELECT DISTINCT screen_id, 'Brand#none' FROM req)"""
+
+
+@query("sc_run_requests", f"""WITH {WIDE_SQL}, {LONG_SQL}, {CRIT_SQL}, {REQ_SQL}, t AS (SELECT screen_id, a.symbol, c.metric, {CMP} AS passed, w.symbol IS NOT NULL AS known
+    FROM asked a LEFT JOIN crit c USING (screen_id) LEFT JOIN lm ON lm.symbol = a.symbol AND lm.metric = c.metric LEFT JOIN wide w ON w.symbol = a.symbol),
+  g AS (SELECT screen_id, symbol, count(metric) AS criteria, count(passed) AS evaluable, count(*) FILTER (passed) AS passes, coalesce(string_agg(metric, ', ' ORDER BY metric) FILTER (passed IS NULL AND metric IS NOT NULL), '') AS missing, bool_and(known) AS k FROM t GROUP BY ALL)
+  SELECT screen_id, symbol, criteria, evaluable, passes, missing, CASE WHEN criteria = 0 THEN NULL WHEN evaluable < criteria THEN 'undecided' WHEN passes = criteria THEN 'passed' ELSE 'failed' END AS passed_all,
+    CASE WHEN NOT k THEN 'fetch_error' WHEN evaluable = criteria THEN 'ok' ELSE 'insufficient_data' END AS status FROM g""")
+def _(spark, sf):
+    used = {m for _, m, _, _ in CRITERIA}
+    metrics = sc.long_metrics(full_metrics(spark, sf), {m: e for m, e in _M.items() if m in used})
+    criteria = spark.createDataFrame(CRITERIA, "screen_id string, metric string, op string, threshold double")
+    names = table(spark, sf, "part").select(F.col("p_brand").alias("symbol"), brand_number("p_brand").alias("n")).distinct()
+    screens = F.array(*[F.lit(s) for s in ("quality", "trend", "mixed", "empty")])
+    asked = names.withColumn("screen_id", F.explode(screens)).where((F.col("n") + F.length("screen_id")) % 3 > 0).select("screen_id", "symbol")
+    unknown = names.withColumn("screen_id", F.explode(screens)).select("screen_id", F.lit("Brand#none").alias("symbol")).distinct()
+    return sc.run_requests(metrics, criteria, asked.union(unknown))
+
+
 _PCT = {m: ("return_on_equity" if m == "roe" else m) for m in sc.PERCENTILE_METRICS}
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.asof import asof
 from barloom.functions.rank import group_counts, range_of, splitters
+from barloom.operators import alerts as al
 from barloom.operators import clean as cl
 from barloom.operators import fundamentals as fa
 from barloom.operators import screen as sc
@@ -71,6 +72,36 @@ def test_screen_missing_is_undecided(spark):
     assert got == {"A": ("undecided", "insufficient_data"), "B": ("failed", "ok")}
 
 
+def test_screen_answers_every_request(spark):
+    m = spark.createDataFrame([("A", "pe", 10.0), ("A", "rsi", None), ("B", "pe", 50.0)], "symbol string, metric string, value double")
+    c = spark.createDataFrame([("s", "pe", "<", 20.0)], "screen_id string, metric string, op string, threshold double")
+    asked = spark.createDataFrame([(x, y) for x in ("s", "empty") for y in ("A", "B", "gone")], "screen_id string, symbol string")
+    got = {(r.screen_id, r.symbol): (r.passed_all, r.status, r.missing) for r in sc.run_requests(m, c, asked).collect()}
+    assert got == {("s", "A"): ("passed", "ok", ""), ("s", "B"): ("failed", "ok", ""), ("s", "gone"): ("undecided", "fetch_error", "pe"),
+                   ("empty", "A"): (None, "ok", ""), ("empty", "B"): (None, "ok", ""), ("empty", "gone"): (None, "fetch_error", "")}
+
+
+def test_rules_meet_what_satisfies_them(spark):
+    """Random rules against random values through the interval index; equal values, extremes and unknown metrics included."""
+    rng = random.Random(6)
+    values = [(f"S{i}", m, rng.choice([None, float(rng.randrange(20)), rng.gauss(10, 5)])) for i in range(300) for m in ("a", "b")] + [("T", "a", 1e300)]
+    rules = [(i, rng.choice(["a", "b", "c"]), rng.choice(["<", "<=", ">", ">="]), rng.choice([float(rng.randrange(20)), -99.0, 99.0, 1e300, None])) for i in range(60)]
+    s = spark.createDataFrame(values, "symbol string, metric string, value double")
+    r = spark.createDataFrame(rules, "rule int, metric string, op string, threshold double")
+    test = {"<": lambda v, t: v < t, "<=": lambda v, t: v <= t, ">": lambda v, t: v > t, ">=": lambda v, t: v >= t}
+    want = sorted((i, k) for i, m, op, t in rules for k, n, v in values if m == n and v is not None and t is not None and test[op](v, t))
+    for rows in (10, 10_000):
+        out = al.evaluate(s, r, rows)
+        assert sorted((x.rule, x.symbol) for x in out.collect()) == want
+    plan = al.evaluate(s, r, 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_range" in plan
+    mine = spark.createDataFrame([("o", "a", "<", 10.0), ("p", "a", "<", 10.0)], "owner string, metric string, op string, threshold double")
+    watch = spark.createDataFrame([("o", "S1"), ("o", "S1"), ("p", "S2"), ("q", "S3")], "owner string, symbol string")
+    got = sorted((x.owner, x.symbol) for x in al.evaluate_watched(s, mine, watch).collect())
+    below = {k for k, n, v in values if n == "a" and v is not None and v < 10}
+    assert got == sorted((o, k) for o, k in (("o", "S1"), ("p", "S2")) if k in below)
+
+
 def test_altman_by_hand(spark):
     cols = dict(symbol="A", sector=None, pretax_income=None, tax_provision=None, gross_profit=None, revenue=900.0, operating_income=None, net_income=None,
                 total_assets=1000.0, equity=None, current_assets=400.0, current_liabilities=250.0, inventory=0.0, ebit=120.0, interest=None, free_cash_flow=None,
