@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from barloom import params as P
 from barloom.functions.score import ideal, linear, mean_of, names_where, weighted
 from barloom.functions.series import bands, sdiv
+from barloom.operators import thresholds as th
 from barloom.sources.companies import ITEMS
 
 # --- fixed values: validated fields (statement, field, accepted items in order, required) ---
@@ -339,12 +340,17 @@ def validation_summary(report: DataFrame, analyzed: DataFrame) -> DataFrame:
     return out.withColumns({"issues": total, "is_clean": total == 0})
 
 
-def max_debt_to_equity(sector: Column) -> Column:
-    return F.when(sector.isin(*P.FINANCIAL_SECTORS), P.FINANCIALS_MAX_DEBT_TO_EQUITY).otherwise(P.MAX_DEBT_TO_EQUITY)
+def max_debt_to_equity(sector: Column, limits: dict[str, Column] | None = None) -> Column:
+    limits = limits or th.shipped()
+    return F.when(sector.isin(*P.FINANCIAL_SECTORS), limits["financials_max_debt_to_equity"]).otherwise(limits["max_debt_to_equity"])
 
 
-def pe_bounds(sector: Column) -> tuple[Column, Column]:
-    low, high = F.lit(P.PE_RANGE[0]), F.lit(P.PE_RANGE[1])
+def pe_bounds(sector: Column, limits: dict[str, Column] | None = None, bands: Column | None = None) -> tuple[Column, Column]:
+    """The P/E band of a sector: from the table ``bands`` (shipped if none), else the general band."""
+    limits = limits or th.shipped()
+    low, high = limits["pe_range_low"], limits["pe_range_high"]
+    if bands is not None:
+        return F.coalesce(bands[sector]["lo"], low), F.coalesce(bands[sector]["hi"], high)
     for name, (lo, hi) in P.SECTOR_PE.items():
         low, high = F.when(sector == name, lo).otherwise(low), F.when(sector == name, hi).otherwise(high)
     return low, high
@@ -353,30 +359,42 @@ def pe_bounds(sector: Column) -> tuple[Column, Column]:
 CHECKS = ("net_margin", "debt_to_equity", "roic", "fcf_yield", "interest_coverage", "pe_ratio", "peg_ratio", "beta", "current_ratio")
 
 
-def checks(analyzed: DataFrame) -> DataFrame:
-    """Adds pass_<metric> (NULL when it cannot be evaluated) against sector-adjusted thresholds."""
-    c = F.col
-    lo, hi = pe_bounds(c("sector"))
+def checks(analyzed: DataFrame, limits: dict[str, Column] | None = None, bands_of: Column | None = None) -> DataFrame:
+    """Adds pass_<metric> (NULL when it cannot be evaluated) against sector-adjusted thresholds, the shipped ones if none are given."""
+    c, t = F.col, limits or th.shipped()
+    lo, hi = pe_bounds(c("sector"), t, bands_of)
     tests = {
-        "net_margin": c("net_margin") >= P.MIN_NET_MARGIN, "debt_to_equity": c("debt_to_equity") < max_debt_to_equity(c("sector")),
-        "roic": c("roic_pct") > P.MIN_ROIC_PCT, "fcf_yield": c("fcf_yield_pct") > P.MIN_FCF_YIELD_PCT,
-        "interest_coverage": c("interest_coverage") > P.MIN_INTEREST_COVERAGE,
+        "net_margin": c("net_margin") >= t["min_net_margin"], "debt_to_equity": c("debt_to_equity") < max_debt_to_equity(c("sector"), t),
+        "roic": c("roic_pct") > t["min_roic_pct"], "fcf_yield": c("fcf_yield_pct") > t["min_fcf_yield_pct"],
+        "interest_coverage": c("interest_coverage") > t["min_interest_coverage"],
         "pe_ratio": (c("pe_ratio") >= lo) & (c("pe_ratio") <= hi),
-        "peg_ratio": (c("peg_ratio") > P.PEG_RANGE[0]) & (c("peg_ratio") <= P.PEG_RANGE[1]),
-        "beta": c("beta") < P.MAX_BETA, "current_ratio": c("current_ratio") > P.MIN_CURRENT_RATIO,
+        "peg_ratio": (c("peg_ratio") > t["peg_range_low"]) & (c("peg_ratio") <= t["peg_range_high"]),
+        "beta": c("beta") < t["max_beta"], "current_ratio": c("current_ratio") > t["min_current_ratio"],
     }
-    return analyzed.withColumns({f"pass_{k}": t for k, t in tests.items()})
+    return analyzed.withColumns({f"pass_{k}": v for k, v in tests.items()})
 
 
-def scorecard(analyzed: DataFrame) -> DataFrame:
+def scorecard(analyzed: DataFrame, limits: dict[str, Column] | None = None, bands_of: Column | None = None) -> DataFrame:
     """Green flags, evaluable checks, weighted score and verdict."""
-    out = checks(analyzed)
+    t = limits or th.shipped()
+    out = checks(analyzed, t, bands_of)
     parts = [(F.col(f"pass_{m}").cast("double") * 100, w) for m, w in P.SCORE_WEIGHTS.items()]
     count = lambda test: sum((F.coalesce(test(F.col(f"pass_{m}")).cast("long"), F.lit(0)) for m in P.SCORE_WEIGHTS), F.lit(0)).cast("long")
     score = weighted(parts, empty=0.0)
     return out.withColumns({
         "green_flags": count(lambda p: p), "total_checks": count(lambda p: p.isNotNull()), "score_pct": score,
-        "alignment": bands(score, [(">=", P.HIGH_ALIGNMENT, "high"), (">=", P.MODERATE_ALIGNMENT, "moderate")], "low")})
+        "alignment": F.when(score >= t["high_alignment_pct"], "high").when(score >= t["moderate_alignment_pct"], "moderate").otherwise("low")})
+
+
+def scorecard_by_user(analyzed: DataFrame, follows: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
+    """The scorecards of followed companies, with the distress zone, by the thresholds of the user."""
+    limits = th.of_class()
+
+    def score(rows: DataFrame) -> DataFrame:
+        zone = altman_zone(F.col("altman_z"), limits["altman_safe_zone"], limits["altman_grey_zone"])
+        return scorecard(rows, limits, F.col("th_bands")).withColumn("altman_zone", zone)
+
+    return th.for_followers(analyzed, follows, members, classes, score)
 
 
 def company_quality(analyzed: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom import params as P
@@ -38,10 +40,17 @@ def by_user(values: DataFrame) -> DataFrame:
     return values.groupBy("user_id").pivot("key", [k for k, *_ in EDITABLE]).agg(F.first("value"))
 
 
-def problems(wide: DataFrame) -> DataFrame:
-    """Ordered pairs that are out of order, per user ('' when none)."""
-    text = F.concat_ws("; ", *[F.when(F.col(a) >= F.col(b), F.lit(t)) for a, b, t in PAIRS])
-    return wide.select("user_id", text.alias("problems"))
+def problems(wide: DataFrame, sector_rows: DataFrame | None = None) -> DataFrame:
+    """Ordered pairs that are out of order, per user ('' when none), then the user's own sector bands that are, by name."""
+    texts = [F.when(F.col(a) >= F.col(b), F.lit(t)) for a, b, t in PAIRS]
+    if sector_rows is not None:
+        empty = sector_rows.where(F.coalesce(F.trim("sector") != "", F.lit(False)) & (F.col("hi") <= F.col("lo")))
+        named = F.concat(F.lit("sector "), F.col("sector"), F.lit(": P/E band low must be below high"))
+        # at most one row per sector and user
+        own = empty.groupBy("user_id").agg(F.array_sort(F.collect_set(named)).alias("_sectors"))
+        wide = wide.join(own, "user_id", "left")
+        texts.append(F.coalesce("_sectors", F.array().cast("array<string>")))
+    return wide.select("user_id", F.concat_ws("; ", *texts).alias("problems"))
 
 
 def valid_sector_rows(rows: DataFrame) -> DataFrame:
@@ -54,3 +63,53 @@ def sector_pe(users: DataFrame, removed: DataFrame, overrides: DataFrame) -> Dat
     shipped = users.select("user_id", table.alias("s")).select("user_id", "s.*").join(removed, ["user_id", "sector"], "left_anti")
     own = valid_sector_rows(overrides).select("user_id", "sector", "lo", "hi")
     return shipped.join(own, ["user_id", "sector"], "left_anti").unionByName(own)
+
+
+# -- classes of users ----------------------------------------------------------------------------------------------------
+
+BAND = "struct<lo:double,hi:double>"
+
+
+def user_classes(users: DataFrame, overrides: DataFrame, removed: DataFrame, sector_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Users of equal thresholds as one class: members(user_id, class_id) and classes(class_id, th_<key>..., th_bands).
+
+    Only edits that take effect make a difference, so everybody without one is in the same class.  A user's edits are a row of their own before users
+    are compared; thresholds are spelled out once per class, however many users it has.
+    """
+    specs = {k: (d, lo, hi) for k, d, lo, hi in EDITABLE}
+    bound = lambda i: F.create_map(*[F.lit(x) for k, v in specs.items() for x in (k, v[i])])[F.col("key")]
+    valid = overrides.where(F.col("value").between(bound(1), bound(2)) & (F.col("value") != bound(0)))
+    own = valid.groupBy("user_id").agg(F.array_sort(F.collect_set(F.struct("key", "value"))).alias("own"))
+    gone = removed.where(F.col("sector").isin(*P.SECTOR_PE)).groupBy("user_id").agg(F.array_sort(F.collect_set("sector")).alias("gone"))
+    rows = valid_sector_rows(sector_rows).groupBy("user_id").agg(
+        F.array_sort(F.collect_set(F.struct("sector", F.struct(F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi")).alias("band")))).alias("rows"))
+    edits = users.select("user_id").join(own, "user_id", "left").join(gone, "user_id", "left").join(rows, "user_id", "left")
+    edits = edits.withColumn("class_id", F.sha2(F.to_json(F.struct("own", "gone", "rows")), 256))
+    members = edits.select("user_id", "class_id")
+    classes = edits.groupBy("class_id").agg(F.first("own").alias("own"), F.first("gone").alias("gone"), F.first("rows").alias("rows"))
+    values = {f"th_{k}": F.coalesce(F.map_from_entries("own")[k], F.lit(d)) for k, (d, _, _) in specs.items()}
+    shipped = F.create_map(*[x for s, (lo, hi) in P.SECTOR_PE.items() for x in (F.lit(s), F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")))])
+    mine = F.coalesce(F.map_from_entries("rows"), F.create_map().cast(f"map<string,{BAND}>"))
+    kept = F.map_filter(shipped, lambda k, _: ~F.coalesce(F.array_contains("gone", k), F.lit(False)) & ~F.map_contains_key(mine, k))
+    return members, classes.select("class_id", *[v.alias(k) for k, v in values.items()], F.map_concat(kept, mine).alias("th_bands"))
+
+
+def shipped() -> dict[str, Column]:
+    """The thresholds as they ship."""
+    return {k: F.lit(d) for k, d, _, _ in EDITABLE}
+
+
+def of_class() -> dict[str, Column]:
+    """The thresholds of the class that a row has been joined to."""
+    return {k: F.col(f"th_{k}") for k, *_ in EDITABLE}
+
+
+def for_followers(rows: DataFrame, follows: DataFrame, members: DataFrame, classes: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``score(rows with the thresholds of a class)`` for every user and symbol of follows(user_id, symbol).
+
+    A symbol is scored once for every class of users that follows it; users meet the result by (class, symbol).
+    """
+    linked = follows.select("user_id", "symbol").distinct().join(members, "user_id")
+    wanted = linked.select("class_id", "symbol").distinct()
+    scored = score(wanted.join(rows, "symbol").join(classes, "class_id"))
+    return linked.join(scored.drop(*[f"th_{k}" for k, *_ in EDITABLE], "th_bands"), ["class_id", "symbol"])

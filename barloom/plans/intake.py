@@ -1,4 +1,4 @@
-"""Source, cleaning and threshold queries."""
+"""Source and cleaning queries."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from barloom.functions.series import rounded
 from barloom.operators import clean as cl
-from barloom.operators import thresholds as th
 from barloom.plans.base_sql import BARS, BENCH
 from barloom.plans.registry import query
 from barloom.sources import payloads as pl
@@ -103,46 +102,6 @@ def _(spark, sf):
     return pl.load_status(symbols, {"statements": lines, "holders": holders}, "statements")
 
 
-def users(spark, sf):
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), "c_acctbal")
-
-
-def overrides(spark, sf):
-    """One override per customer; the key follows the customer number, the value the balance."""
-    keys = F.array(*[F.lit(k) for k, *_ in th.EDITABLE])
-    return users(spark, sf).select(
-        "user_id", F.element_at(keys, (F.col("user_id") % len(th.EDITABLE) + 1).cast("int")).alias("key"), (F.col("c_acctbal") / 100).alias("value"))
-
-
-_SPEC = "spec AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}', {d}::DOUBLE, {lo}::DOUBLE, {hi}::DOUBLE)" for i, (k, d, lo, hi) in enumerate(th.EDITABLE)) + ") v(i, key, def, lo, hi))"
-EFFECTIVE = f"""{_SPEC}, ef AS MATERIALIZED (SELECT c_custkey AS user_id, key, CASE WHEN i = c_custkey % 17 AND c_acctbal / 100 BETWEEN lo AND hi THEN c_acctbal / 100 ELSE def END AS value,
-  i = c_custkey % 17 AND c_acctbal / 100 BETWEEN lo AND hi AS overridden FROM customer, spec)"""
-
-
-@query("th_effective", f"WITH {EFFECTIVE} SELECT user_id, key, round(value, 6) AS value, overridden FROM ef")
-def _(spark, sf):
-    return rounded(th.effective(users(spark, sf).select("user_id"), overrides(spark, sf)))
-
-
-@query("th_problems", f"""WITH {EFFECTIVE}, w AS (PIVOT (SELECT user_id, key, value FROM ef) ON key IN ({', '.join(f"'{k}'" for k, *_ in th.EDITABLE)}) USING first(value) GROUP BY user_id)
-  SELECT user_id, concat_ws('; ', {', '.join(f"CASE WHEN {a} >= {b} THEN '{t}' END" for a, b, t in th.PAIRS)}) AS problems FROM w""")
-def _(spark, sf):
-    return th.problems(th.by_user(th.effective(users(spark, sf).select("user_id"), overrides(spark, sf))))
-
-
-@query("th_sector_pe", """WITH t AS (SELECT * FROM (VALUES ('Technology', 15, 65), ('Financial Services', 6, 18), ('Financials', 6, 18), ('Utilities', 12, 22), ('Energy', 6, 22), ('Consumer Defensive', 14, 28)) v(sector, lo, hi)),
-  own AS (SELECT c_custkey AS user_id, CASE c_custkey % 4 WHEN 0 THEN 'Energy' WHEN 1 THEN 'Healthcare' WHEN 2 THEN '' ELSE 'Technology' END AS sector, (c_custkey % 11)::DOUBLE AS lo, (c_custkey % 23)::DOUBLE AS hi FROM customer),
-  ok AS (SELECT * FROM own WHERE sector <> '' AND lo >= 0 AND hi > lo)
-  SELECT c_custkey AS user_id, sector, lo::DOUBLE AS lo, hi::DOUBLE AS hi FROM customer, t WHERE NOT (c_custkey % 3 = 0 AND sector = 'Utilities') AND NOT EXISTS (SELECT 1 FROM ok WHERE ok.user_id = c_custkey AND ok.sector = t.sector) UNION ALL SELECT * FROM ok""")
-def _(spark, sf):
-    u = users(spark, sf).select("user_id")
-    k = F.col("user_id")
-    own = u.select("user_id", F.element_at(F.array(*[F.lit(s) for s in ("Energy", "Healthcare", "", "Technology")]), (k % 4 + 1).cast("int")).alias("sector"),
-                   (k % 11).cast("double").alias("lo"), (k % 23).cast("double").alias("hi"))
-    removed = u.where(k % 3 == 0).select("user_id", F.lit("Utilities").alias("sector"))
-    return th.sector_pe(u, removed, own)
-
-
 @query("src_statement_symbols", "SELECT DISTINCT 'S' || l_suppkey AS symbol, make_date(year(l_shipdate), 12, 31)::TIMESTAMP AS period FROM lineitem")
 def _(spark, sf):
     out = statements(yearly(spark, sf)).select("symbol", F.col("period_end").cast("timestamp_ntz").alias("period"))
