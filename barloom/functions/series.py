@@ -52,6 +52,26 @@ def bfill(x: Column, key: Sequence[str] = KEY, order: str = "ts") -> Column:
     return F.first(x, ignorenulls=True).over(over_time(key, order).rowsBetween(0, Window.unboundedFollowing))
 
 
+#: Years after which a value no longer counts as the one before.
+LONGEST_GAP = 150
+
+
+def with_previous(df: DataFrame, value: str, name: str, order: str = "ts") -> DataFrame:
+    """``name``: the value of the row before, for one long series without a key, in two levels.
+
+    Every year looks back on its own; the first row of a year takes the last value of the nearest earlier year that has one, of which there
+    is one row per year.  No task sees the whole series.
+    """
+    years = df.withColumn("_y", F.year(order))
+    within = Window.partitionBy("_y").orderBy(order)
+    inside = years.withColumns({name: F.lag(value).over(within), "_first": F.row_number().over(within) == 1})
+    ends = years.groupBy("_y").agg(F.max_by(value, order).alias("_v")).withColumnRenamed("_y", "_from")
+    carried = ends.select("_from", "_v", F.explode(F.sequence(F.col("_from") + 1, F.col("_from") + LONGEST_GAP)).alias("_y"))
+    carried = carried.groupBy("_y").agg(F.max_by("_v", "_from").alias("_carried"))
+    out = inside.join(carried, "_y", "left").withColumn(name, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col(name)))
+    return out.drop("_y", "_first", "_carried")
+
+
 def sdiv(a: Column, b: Column) -> Column:
     """a / b, NULL when b is zero."""
     return F.try_divide(a.cast("double"), b.cast("double"))

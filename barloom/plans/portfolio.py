@@ -117,6 +117,18 @@ def _(spark, sf):
     return rounded(pa.frontier(stage(scored(spark, sf))))
 
 
+@query("pa_min_variance_short", f"""WITH RECURSIVE {RETURNS}{aligned(N)}, {PAIRS}, mu AS (SELECT basket, symbol, avg(ret) * 252 AS mu FROM aligned GROUP BY ALL),
+  m0 AS MATERIALIZED (SELECT basket, a, row_number() OVER (PARTITION BY basket ORDER BY a) AS i, list_append(list(cov ORDER BY b), 1.0) AS r, count(*) AS n FROM pairs GROUP BY basket, a),
+  g AS (SELECT basket, 0 AS k, a, i, r, n FROM m0 UNION ALL
+    SELECT g.basket, g.k + 1, g.a, g.i, CASE WHEN g.i = g.k + 1 THEN list_transform(g.r, lambda x: x / g.r[g.k + 1]) ELSE list_transform(list_zip(g.r, p.r), lambda z: z[1] - g.r[g.k + 1] * z[2] / p.r[g.k + 1]) END, g.n
+    FROM g JOIN g p ON p.basket = g.basket AND p.i = g.k + 1 WHERE g.k < g.n),
+  x AS (SELECT basket, a AS symbol, r[n + 1] AS x FROM g WHERE k = n), t AS (SELECT basket, sum(x) AS t FROM x GROUP BY basket),
+  e AS (SELECT basket, sum(x / t * mu) AS er, any_value(sqrt(1 / t)) AS vol FROM x JOIN t USING (basket) JOIN mu USING (basket, symbol) GROUP BY basket)
+  SELECT basket, symbol, round(x / t, 6) AS weight, round(er, 6) AS exp_return, round(vol, 6) AS vol, round((er - 0.04) / vol, 6) AS sharpe, 'ok' AS status FROM x JOIN t USING (basket) JOIN e USING (basket)""")
+def _(spark, sf):
+    return rounded(pa.min_variance_short(stage(pa.aligned_returns(closes(spark, sf), baskets(spark, sf), N))))
+
+
 @query("pa_momentum", f"WITH {BARS} SELECT symbol, count(*) AS bars, round(arg_max(close, ts) / arg_min(close, ts) - 1, 6) AS momentum FROM bars GROUP BY symbol")
 def _(spark, sf):
     return rounded(pa.momentum(closes(spark, sf)))
