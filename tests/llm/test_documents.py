@@ -301,13 +301,31 @@ def test_neardup_links_of_led_components(spark):
         texts = {x: v for x, v in zip("abcd", (a, b, c, d))}
         near = {x + y for x, y in combinations("abcd", 2) if neardup.alike(texts[x], texts[y])}
         assert near == {"ab", "bd", "cd"}
-        rows += [(i, i, hashlib.md5(f"{turn}{x}".encode()).digest(), 100, [turn], v.tobytes()) for i, (x, v) in enumerate(texts.items())]
+        rows += [(i, i, hashlib.md5(f"{turn}{x}".encode()).digest(), 100, [turn], *map(int, neardup.signature(v)), v.tobytes()) for i, (x, v) in enumerate(texts.items())]
     found = spark.createDataFrame(rows, f"doc_id long, h long, {neardup.FEATURES}")
     _, roots = neardup.links(found)
     root = {bytes(r["node"]): bytes(r["root"]) for r in roots.collect()}
     assert len(root) == 24 * 4 and len(set(root.values())) == 24
 
 
+@pytest.mark.parametrize("n", [10, 40, 300])
+def test_signature_keeps_pairs_at_the_threshold(n):
+    """Texts with a fifth of their words replaced, or dropped, stay within UNLIKE bits; texts with a third in common mostly do not."""
+    rng = np.random.default_rng(n)
+    unlike = lambda a, b: sum(bin(int(x) & (2**64 - 1)).count("1") for x in neardup.signature(a) ^ neardup.signature(b))
+    kept = other = 0
+    with np.errstate(over="ignore"):
+        for _ in range(300):
+            a = rng.integers(0, 60, n).astype(np.uint32)  # few words, many repeats
+            b = a.copy()
+            b[rng.choice(n, n // 5, replace=False)] = rng.integers(100, 2**32, n // 5)
+            c = rng.integers(0, 2**32, n).astype(np.uint32)
+            c[: n // 3] = a[: n // 3]
+            kept += unlike(a, b) <= neardup.UNLIKE and unlike(a, a[n // 5:]) <= neardup.UNLIKE
+            other += unlike(a, c) <= neardup.UNLIKE
+    assert kept == 300 and other < 60
+
+
 def test_neardup_candidates_near_the_threshold():
     """Pairs that the verification accepts meet: all of few words, 98 % of longer ones."""
     rng = np.random.default_rng(3)
