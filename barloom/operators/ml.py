@@ -10,7 +10,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom import params as P
@@ -58,12 +58,27 @@ def skipped(bars: DataFrame, rows: DataFrame) -> DataFrame:
     return have.join(used, "symbol", "left").select("symbol", "bars", F.coalesce("rows", F.lit(0)).cast("long").alias("rows"), reason.alias("reason"))
 
 
+def split_date(rows: DataFrame, test_fraction: float = P.TEST_FRACTION) -> DataFrame:
+    """One row ``_cut``: the first test date, the k-th of the distinct dates, by counting in two levels.
+
+    Dates are counted per month; the running count over the months (one row each) tells in which month the k-th lies, and only that month's
+    dates are ranked.  No list of all dates is built.
+    """
+    month = F.date_trunc("MONTH", "ts")
+    dates = rows.select("ts").distinct().withColumn("_m", month)
+    months = dates.groupBy("_m").agg(F.count(F.lit(1)).alias("_n"))
+    till = Window.orderBy("_m").rowsBetween(Window.unboundedPreceding, 0)  # rows are months
+    counted = months.select("_m", "_n", F.sum("_n").over(till).alias("_till"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    k = F.least(F.greatest(F.lit(1), F.floor(F.col("_all") * (1 - test_fraction))), F.col("_all") - 1) + 1
+    one = counted.withColumn("_k", k).where((F.col("_till") >= F.col("_k")) & (F.col("_till") - F.col("_n") < F.col("_k")))
+    inside = dates.join(F.broadcast(one.select("_m", (F.col("_k") - F.col("_till") + F.col("_n")).alias("_k"))), "_m")  # one row
+    ranked = inside.withColumn("_r", F.row_number().over(Window.partitionBy("_m").orderBy("ts")))
+    return ranked.where(F.col("_r") == F.col("_k")).select(F.col("ts").alias("_cut"))
+
+
 def with_split(rows: DataFrame, test_fraction: float = P.TEST_FRACTION) -> DataFrame:
-    """Adds ``is_test``: one date cutoff for all symbols.  The date list is bounded by the calendar."""
-    dates = rows.agg(F.array_sort(F.collect_set("ts")).alias("_d"))
-    n = F.size("_d")
-    at = F.least(F.greatest(F.lit(1), F.floor(n * (1 - test_fraction)).cast("int")), n - 1)
-    cutoff = dates.select(F.element_at("_d", at + 1).alias("_cut"))
+    """Adds ``is_test``: one date cutoff for all symbols."""
+    cutoff = split_date(rows, test_fraction)
     return rows.crossJoin(F.broadcast(cutoff)).withColumn("is_test", F.col("ts") >= F.col("_cut")).drop("_cut")
 
 

@@ -16,7 +16,7 @@ BARS = f"{TICKS}, {FROM_TICKS}"
 
 HOURLY = """
 eticks AS (
-  SELECT event_type AS symbol, date_trunc('hour', ts)::TIMESTAMP AS ts, epoch_us(ts) * 4096 + event_id % 4096 AS seq,
+  SELECT event_type AS symbol, date_trunc('hour', ts)::TIMESTAMP AS ts, epoch_us(ts) % 86400000000 * 67108864 + event_id % 67108864 AS seq,
          100 + 0.5 * sqrt(value) AS price, 1.0::DOUBLE AS qty
   FROM events),
 hourly AS MATERIALIZED (

@@ -55,7 +55,7 @@ def _(spark, sf):
 
 @query("src_bars_range", f"""WITH {BARS} SELECT symbol, ts, round(close, 6) AS close FROM bars WHERE symbol IN ('Brand#3', 'Brand#7') AND ts >= TIMESTAMP '1997-01-01' AND ts < TIMESTAMP '1999-01-01'""")
 def _(spark, sf):
-    out = bars_between(bars_daily(spark, sf), ["Brand#3", "Brand#7"], "1997-01-01", "1999-01-01")
+    out = bars_between(bars_daily(spark, sf, "1997-01-01", "1999-01-01"), ["Brand#3", "Brand#7"])
     return rounded(out.select("symbol", "ts", "close"))
 
 
@@ -108,7 +108,7 @@ def _(spark, sf):
     return out.distinct()
 
 
-@query("src_macro_bundle", f"""WITH {BARS}{BENCH}, e AS (SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS ts, arg_max(100 + 0.5 * sqrt(value), epoch_us(events.ts) * 4096 + event_id % 4096) AS c FROM events WHERE event_type IN ('error', 'view') GROUP BY ALL),
+@query("src_macro_bundle", f"""WITH {BARS}{BENCH}, e AS (SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS ts, arg_max(100 + 0.5 * sqrt(value), epoch_us(events.ts) % 86400000000 * 67108864 + event_id % 67108864) AS c FROM events WHERE event_type IN ('error', 'view') GROUP BY ALL),
   s AS (SELECT ts, max(c) FILTER (event_type = 'error') AS fear, max(c) FILTER (event_type = 'view') AS yield FROM e GROUP BY ts)
   SELECT ts, round(bench, 6) AS benchmark, round(fear, 6) AS fear, round(yield, 6) AS yield FROM bench FULL JOIN s USING (ts)""")
 def _(spark, sf):

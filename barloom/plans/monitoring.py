@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import functions as F
 
 from barloom import params as P
@@ -18,7 +20,7 @@ from barloom.plans.fundamentals import DCF, DCF_STATUS, GROWTH, QUALITY, SCORE,
 from barloom.plans.holdings import END, TWR, VALUE, staged_lots
 from barloom.plans.registry import query
 from barloom.plans.replay import RISK_SCORE
-from barloom.plans.risk import METRICS, PERF, drawdown_sql, staged_closes, tail_sql
+from barloom.plans.risk import METRICS, PERF, closes, drawdown_sql, staged_closes, tail_sql
 from barloom.plans.screen import WIDE_SQL, full_metrics, risk_inputs
 from barloom.plans.technical import indicator_events
 from barloom.operators.events import recent_events
@@ -148,6 +150,10 @@ MOVES = f"""mv AS MATERIALIZED (SELECT s.symbol, CASE WHEN n IS NULL THEN 'no pr
   LEFT JOIN (SELECT symbol, count(*) AS n, arg_min(close, ts) AS a, arg_max(close, ts) AS b FROM bars WHERE ts::DATE >= DATE '{DIG_END}' - {DIG_DAYS} AND ts::DATE < DATE '{DIG_END}' GROUP BY symbol) USING (symbol))"""
 
 
+def days_before(day, n):
+    return (date.fromisoformat(day) - timedelta(days=n)).isoformat()
+
+
 def period_moves(spark, sf, daily):
     names = table(spark, sf, "part").select(F.col("p_brand").alias("symbol"))
     return dg.moves(names, daily, F.lit(DIG_END).cast("date"), DIG_DAYS)
@@ -155,7 +161,7 @@ def period_moves(spark, sf, daily):
 
 @query("dg_moves", f"WITH {BARS}, {MOVES} SELECT symbol, round(a, 6) AS start_price, round(b, 6) AS end_price, round((b - a) / a * 100, 6) AS change_pct, unavailable FROM mv")
 def _(spark, sf):
-    return rounded(period_moves(spark, sf, staged_closes(spark, sf)))
+    return rounded(period_moves(spark, sf, closes(spark, sf, days_before(DIG_END, DIG_DAYS), DIG_END)))
 
 
 FIRED = f"""{BANDS_CTE}, {BREAKS}, fired AS (SELECT * FROM (SELECT * FROM es UNION ALL SELECT * FROM em UNION ALL SELECT * FROM breaks) WHERE ts >= TIMESTAMP '{DIG_END}' - INTERVAL {DIG_DAYS} DAY AND ts < TIMESTAMP '{DIG_END}')"""
@@ -177,7 +183,8 @@ def _(spark, sf):
     daily = staged_closes(spark, sf)
     end = F.lit(DIG_END).cast("timestamp_ntz")
     fired = dg.fired_since(indicator_events(daily), end - F.expr(f"INTERVAL {DIG_DAYS} DAYS")).where(F.col("ts") < end)
-    return rounded(dg.build(watch_lists(spark, sf), period_moves(spark, sf, daily), fired, owner_breaches(spark, sf, daily)))
+    moved = period_moves(spark, sf, closes(spark, sf, days_before(DIG_END, DIG_DAYS), DIG_END))
+    return rounded(dg.build(watch_lists(spark, sf), moved, fired, owner_breaches(spark, sf, daily)))
 
 
 @query("dg_is_due", """WITH s AS (SELECT c_custkey AS user_id, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'not a date' ELSE strftime(TIMESTAMP '2001-06-01' + INTERVAL (c_custkey % 40) DAY, '%Y-%m-%d %H:%M:%S') END AS last_sent, 1 + c_custkey % 14 AS period FROM customer)
@@ -234,7 +241,7 @@ FLAG_STATE = f"""{WIDE_SQL}, {SCORE.replace('FROM an)', 'FROM wide)', 1)}, {QUAL
   cutd AS (SELECT symbol, min(ts) AS c FROM (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS r FROM bars) WHERE r <= 10 GROUP BY symbol),
   rk_ AS (SELECT symbol, arg_max(kind, ts) FILTER (indicator = 'sma') AS sma_kind, arg_max(kind, ts) FILTER (indicator = 'macd') AS macd_kind, arg_max(kind, ts) FILTER (indicator = 'bollinger') AS band_kind
     FROM (SELECT * FROM es UNION ALL SELECT * FROM em UNION ALL SELECT * FROM breaks) JOIN cutd USING (symbol) WHERE ts >= c GROUP BY symbol),
-  fr AS (SELECT arg_max(100 + 0.5 * sqrt(value), epoch_us(ts) * 4096 + event_id % 4096) > 25 AS macro FROM events WHERE event_type = 'error' AND ts >= (SELECT date_trunc('day', max(ts)) FROM events WHERE event_type = 'error')),
+  fr AS (SELECT arg_max(100 + 0.5 * sqrt(value), epoch_us(ts) % 86400000000 * 67108864 + event_id % 67108864) > 25 AS macro FROM events WHERE event_type = 'error' AND ts >= (SELECT date_trunc('day', max(ts)) FROM events WHERE event_type = 'error')),
   fs AS MATERIALIZED (SELECT dcf.*, {RISK_SCORE} AS risk_score, CASE WHEN score_pct >= 75 THEN 'high' WHEN score_pct >= 40 THEN 'moderate' ELSE 'low' END AS alignment, sma_kind, macd_kind, band_kind, macro FROM dcf LEFT JOIN rk_ USING (symbol), fr)"""
 
 
@@ -270,7 +277,7 @@ _P = lambda c: f"CASE WHEN c.bars >= 30 THEN round({c} * 100, 2) END"  # noqa: E
     CASE WHEN c.bars < 30 THEN 'only ' || c.bars || ' bars: too few to annualize from' END AS refusal
   FROM (SELECT symbol, count(*) AS bars FROM bars GROUP BY symbol) c JOIN perf USING (symbol) JOIN tail USING (symbol) JOIN mdd USING (symbol)""")
 def _(spark, sf):
-    return dg.risk_view(staged_closes(spark, sf), VIEW_END)
+    return dg.risk_view(staged_closes(spark, sf, days_before(VIEW_END, dg.DEFAULT_DAYS), VIEW_END), VIEW_END)
 
 
 @query("risk_snapshot", f"""WITH {WIDE_SQL} SELECT symbol, {RISK_SCORE} AS risk_score, CASE WHEN {RISK_SCORE} >= 75 THEN 'low risk' WHEN {RISK_SCORE} >= 50 THEN 'moderate risk' WHEN {RISK_SCORE} >= 30 THEN 'elevated risk' ELSE 'high risk' END AS risk_grade,

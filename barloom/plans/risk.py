@@ -16,13 +16,13 @@ from barloom.session import stage
 from barloom.sources.market import event_ticks
 
 
-def closes(spark, sf):
-    return bars_daily(spark, sf).select("symbol", "ts", "close")
+def closes(spark, sf, start=None, end=None):
+    return bars_daily(spark, sf, start, end).select("symbol", "ts", "close")
 
 
-def staged_closes(spark, sf):
+def staged_closes(spark, sf, start=None, end=None):
     """The closes written once, for queries that read them from several branches."""
-    return stage(closes(spark, sf))
+    return stage(closes(spark, sf, start, end))
 
 
 @query("risk_log_returns", f"WITH {RETURNS} SELECT symbol, ts, round(ret, 8) AS ret FROM rets")
@@ -153,7 +153,7 @@ def _(spark, sf):
 
 
 @query("risk_position_sizing", f"""WITH {BARS}, eb AS (SELECT date_trunc('day', ts) AS d, sqrt(value) AS v, ts, event_id FROM events WHERE event_type = 'error'),
-  fear AS (SELECT arg_max(100 + 0.5 * v, epoch_us(ts) * 4096 + event_id % 4096) AS c FROM eb WHERE d = (SELECT max(d) FROM eb)),
+  fear AS (SELECT arg_max(100 + 0.5 * v, epoch_us(ts) % 86400000000 * 67108864 + event_id % 67108864) AS c FROM eb WHERE d = (SELECT max(d) FROM eb)),
   r AS (SELECT symbol, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS r FROM bars),
   s AS (SELECT symbol, count(r) AS n, count(*) FILTER (r > 0) / count(r) AS win_prob,
         coalesce(avg(r) FILTER (r > 0) / nullif(abs(avg(r) FILTER (r < 0)), 0), 0) AS payoff FROM r GROUP BY symbol HAVING count(*) FILTER (r < 0) > 0)

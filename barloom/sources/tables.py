@@ -42,3 +42,14 @@ def write_bars(bars: DataFrame, path: str, mode: str = "overwrite") -> None:
 def export_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Export a report (indicator, risk or scorecard table) as CSV with a header, one file per partition."""
     df.write.mode(mode).option("header", True).csv(path)
+
+
+def drop_below(spark: SparkSession, path: str, column: str, least: int) -> None:
+    """Delete the partitions ``column=n`` of a table with n below ``least``, on whatever store the path names."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for entry in store.listStatus(folder):
+        name, _, value = entry.getPath().getName().partition("=")
+        if name == column and value.isdigit() and int(value) < least:
+            store.delete(entry.getPath(), True)

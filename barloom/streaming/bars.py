@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.session import stage
 from barloom.sources.bars import bar_aggregates
+from barloom.sources.tables import drop_below
 
 
 def stream_bars(ticks: DataFrame, width: str = "1 hour", lateness: str = "2 hours") -> DataFrame:
@@ -19,10 +21,22 @@ def stream_bars(ticks: DataFrame, width: str = "1 hour", lateness: str = "2 hour
         "symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def upsert_bars(bars: DataFrame, path: str, log: str):
-    """Write bars whenever they change, open ones too: one partition per batch, written anew if the batch is repeated."""
+#: Batches after which the written partitions become one.
+COMPACT_EVERY = 32
+
+
+def upsert_bars(bars: DataFrame, path: str, log: str, compact_every: int = COMPACT_EVERY):
+    """Write bars whenever they change, open ones too: one partition per batch, written anew if the batch is repeated.
+
+    From time to time the newest state of all bars becomes the partition of the current batch, and the earlier ones go.  Whatever a failure leaves
+    behind is older than what replaces it, so readers never see it.
+    """
     def write(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        if batch and batch % compact_every == 0:
+            spark = changed.sparkSession
+            stage(newest_bars(spark, path)).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+            drop_below(spark, path, "batch", batch)
 
     return bars.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", log).trigger(availableNow=True).start()
 

@@ -40,6 +40,33 @@ def test_stored_bars_prune_by_year_and_symbol(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(year" in p and "EqualTo(symbol,Brand#3)" in p
 
 
+def test_date_ranges_reach_the_tick_scan(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    for name, since in (("src_bars_range", "1997-01-01"), ("dg_moves", "2001-05-31")):
+        p = plan(QUERIES[name](spark, SF))
+        assert re.search(rf"PushedFilters: \[[^\]]*GreaterThanOrEqual\(l_shipdate,{since}", p) and "LessThan(l_shipdate" in p, name
+    p = plan(bars_daily(spark, SF, "2000-06-30", "2001-06-30"))
+    assert "GreaterThanOrEqual(l_shipdate,2000-06-30" in p
+
+
+def test_ticks_of_one_instant_keep_their_order(spark):
+    """Ids decide within an instant, also far past 2041 and beyond the ids that the key tells apart."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from barloom.sources.bars import bars
+    from barloom.sources.market import IDS, order_in_day
+
+    rows = []
+    for year in (1950, 1970, 2024, 2300):
+        at = dt.datetime(year, 3, 1, 10, 59, 59, 999999)
+        rows += [("A", at, IDS * 7 + i, float(i)) for i in (3, 1, 4099, 2)] + [("A", at - dt.timedelta(seconds=1), IDS * 9, 50.0)]
+    ticks = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, id long, price double").withColumns({"seq": order_in_day(F.col("ts"), F.col("id")), "qty": F.lit(1.0)})
+    for freq in ("hour", "day", "minute"):
+        assert {(r.open, r.close) for r in bars(ticks, freq).collect()} == {(50.0, 4099.0)}
+
+
 def test_no_query_builds_a_cartesian_product(spark):
     for name in ("sc_sector_percentiles", "sc_suggestions", "fa_dcf_grid", "pa_candidates", "th_effective", "mc_gbm"):
         assert "CartesianProduct" not in plan(QUERIES[name](spark, SF)), name

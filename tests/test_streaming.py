@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from barloom.streaming.alerts import ROCKSDB, stream_edges, watch
+from barloom.streaming.alerts import ROCKSDB, StateTable, stream_edges, watch, watch_rest
 from barloom.streaming.bars import newest_bars, stream_bars, upsert_bars
 
 T0 = dt.datetime(2024, 1, 1)
@@ -93,3 +93,73 @@ def test_keyed_state_gives_the_same_edges(spark, tmp_path):
         q.awaitTermination()
     got = sorted(r.ts.minute for r in spark.read.parquet(out).select(F.col("ts")).collect())
     assert got == [0, 3]
+
+
+def test_late_rows_in_any_order_deleted_rules_and_expiry(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    schema = "rule_id string, ts timestamp, is_met boolean"
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    at = lambda i: T0 + dt.timedelta(minutes=i)
+    batches = [
+        [("r", at(2), True), ("r", at(0), True), ("r", at(1), False), ("gone", at(0), True)],  # out of order: edges at 0 and 2
+        [("gone", at(3), None)],  # deleted
+        [("gone", at(4), True), ("r", at(4), True)]]  # a new rule of the old name fires again, r goes on
+    for i, rows in enumerate(batches):
+        feed(spark, src, f"b{i}", rows, schema)
+        stream_edges(evaluations(spark, src), ttl_ms=86_400_000).writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", str(tmp_path / "log")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.rule_id, r.ts) for r in spark.read.parquet(out).collect()) == [("gone", at(0)), ("gone", at(4)), ("r", at(0)), ("r", at(2))]
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+
+
+def test_state_stays_small_and_forgets_deleted_rules(spark, tmp_path):
+    schema = "rule_id string, ts timestamp, is_met boolean"
+    src, state, sent, existing = str(tmp_path / "in"), str(tmp_path / "state"), [], ["a", "b"]
+    at = lambda i: T0 + dt.timedelta(minutes=i)
+
+    def run(dry=False, log="log"):
+        rules = lambda: spark.createDataFrame([(r,) for r in existing], "rule_id string")
+        deliver = lambda fired, _: sent.extend((r.rule_id, r.ts) for r in fired.collect())
+        watch(evaluations(spark, src), state, deliver, str(tmp_path / log), rules, dry).awaitTermination()
+
+    known = lambda: {r.rule_id: r.was_active for r in StateTable(spark, state).before(10**6).collect()}
+    for i in range(5):
+        feed(spark, src, f"b{i}", [("a", at(i), True), ("b", at(i), i % 2 == 1)], schema)
+        run()
+    assert sent == [("a", at(0)), ("b", at(1)), ("b", at(3))] and known() == {"a": True, "b": False}
+    assert len([p for p in (tmp_path / "state").iterdir() if p.name.startswith("batch=")]) == 2
+    existing.remove("a")
+    feed(spark, src, "b5", [("b", at(5), False)], schema)
+    run()
+    assert known() == {"b": False}
+    # a dry run evaluates everything against the stored state, and changes nothing
+    sent.clear()
+    feed(spark, src, "b6", [("b", at(6), True)], schema)
+    run(dry=True, log="dry")
+    assert sorted(sent) == [("a", at(0)), ("b", at(6))]  # the deleted rule's rows are still in the input
+    assert known() == {"b": False}
+
+
+def test_rest_is_evaluated_once(spark, tmp_path):
+    schema, sent = "rule_id string, ts timestamp, is_met boolean", []
+    at = lambda i: T0 + dt.timedelta(minutes=i)
+    deliver = lambda fired, _: sent.extend((r.rule_id, r.ts) for r in fired.collect())
+    feed(spark, str(tmp_path / "in"), "a", [("r", at(0), False), ("r", at(1), True)], schema)
+    watch(evaluations(spark, str(tmp_path / "in")), str(tmp_path / "state"), deliver, str(tmp_path / "log")).awaitTermination()
+    rows = spark.createDataFrame([("r", at(0), False), ("r", at(1), True), ("r", at(2), False), ("r", at(3), True), ("s", at(1), True)], schema)
+    watch_rest(rows, str(tmp_path / "state"), deliver)
+    watch_rest(rows, str(tmp_path / "state"), deliver)
+    assert sorted(sent) == [("r", at(1)), ("r", at(3)), ("s", at(1))]
+
+
+def test_written_bars_are_compacted(spark, tmp_path):
+    schema = "symbol string, ts timestamp, seq long, price double, qty double"
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for i in range(6):
+        feed(spark, src, f"f{i}", [("A", T0 + dt.timedelta(hours=i), i, 10.0 + i, 1.0), ("A", T0 + dt.timedelta(hours=max(i - 1, 0), minutes=9), 100 + i, 50.0 + i, 1.0)], schema)
+        ticks = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(src)
+        upsert_bars(stream_bars(ticks), out, str(tmp_path / "log"), compact_every=2).awaitTermination()
+    assert len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("batch=")]) <= 3
+    bars = {r.ts: r for r in newest_bars(spark, out).collect()}
+    assert len(bars) == 6 and bars[T0 + dt.timedelta(hours=2)].close == 53.0 and bars[T0 + dt.timedelta(hours=5)].close == 15.0
