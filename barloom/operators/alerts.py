@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom import params as P
@@ -101,8 +101,8 @@ def evaluate_all(rules: DataFrame, state: DataFrame, snapshots: DataFrame) -> Da
         k, t = F.col(f"{family}_kind"), F.col(f"{family}_ts")
         met = F.when(trig == name, (k == kind) & (t == F.col("last_ts"))).otherwise(met)
         status = F.when(trig == name, F.when(F.col("last_ts").isNull(), "insufficient_data").otherwise("ok")).otherwise(status)
-        text = F.concat(F.lit("latest crossover: "), k, F.lit(" on "), F.date_format(t, "yyyy-MM-dd"))
-        none = F.when(F.col("last_ts").isNull(), "no data").otherwise("no crossover in the loaded history")
+        text = F.concat(F.lit("last crossing "), F.date_format(t, "yyyy-MM-dd"), F.lit(", "), k)
+        none = F.when(F.col("last_ts").isNull(), "no data").otherwise("has not crossed yet")
         detail = F.when(trig == name, F.coalesce(text, none)).otherwise(detail)
     zone = ti.rsi_zone(F.col("rsi"))
     for name, wanted in ZONE_TRIGGERS.items():
@@ -141,12 +141,15 @@ def new_triggers(results: DataFrame, previous: DataFrame) -> DataFrame:
     return both.where(F.col("is_met") & ~F.coalesce("was_active", F.lit(False))).drop("was_active")
 
 
-def next_state(results: DataFrame) -> DataFrame:
-    """The state to store after a successful delivery; rules that no longer exist leave it."""
-    return results.select("rule_id", F.col("is_met").alias("was_active"))
+def append_history(fired: DataFrame, path: str, run: str) -> None:
+    """Append the triggers of one run to the history; a repeated run replaces its own part."""
+    fired.write.mode("overwrite").parquet(f"{path}/run={run}")
 
 
-def trimmed_history(history: DataFrame, keep: int = P.MAX_HISTORY, by: str = "symbol") -> DataFrame:
-    """The newest triggers of every owner; row_number <= keep is cut map-side before the shuffle."""
+def history(spark: SparkSession, path: str, keep: int | None = None, by: str = "symbol") -> DataFrame:
+    """All triggers ever appended, or the newest ``keep`` of every ``by`` for a display (cut map-side before the shuffle)."""
+    rows = spark.read.parquet(path)
+    if keep is None:
+        return rows
     w = Window.partitionBy(by).orderBy(F.col("ts").desc(), "rule_id")
-    return history.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep).drop("_r")
+    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep).drop("_r")

@@ -22,8 +22,8 @@ def moves(symbols: DataFrame, bars: DataFrame, end: Column, days: int) -> DataFr
         F.count(F.lit(1)).alias("_n"), F.min_by("close", "ts").alias("start_price"), F.max_by("close", "ts").alias("end_price"))
     out = symbols.select("symbol").distinct().join(ends, "symbol", "left")
     reason = (
-        F.when(F.col("_n").isNull(), "no price data").when(F.col("_n") < 2, F.format_string("only %d closing price(s) in this period", F.col("_n")))
-        .when(F.col("start_price") == 0, "opening price was zero"))
+        F.when(F.col("_n").isNull(), "no closes").when(F.col("_n") < 2, "a single close")
+        .when(F.col("start_price") == 0, "first close is zero"))
     ok = reason.isNull()
     change = sdiv(F.col("end_price") - F.col("start_price"), F.col("start_price")) * 100
     return out.select("symbol", F.when(ok, F.col("start_price")).alias("start_price"), F.when(ok, F.col("end_price")).alias("end_price"),
@@ -49,11 +49,12 @@ def build(lists: DataFrame, moved: DataFrame, fired: DataFrame, breaches: DataFr
     n_fired = fired.groupBy("symbol").agg(F.count(F.lit(1)).alias("_f"))
     n_breach = breaches.groupBy("owner", "symbol").agg(F.count(F.lit(1)).alias("_b"))
     rows = names.join(moved, "symbol", "left").join(n_fired, "symbol", "left").join(n_breach, ["owner", "symbol"], "left")
-    size = F.abs("change_pct")
+    # equal moves: the later name
+    size = F.when(F.col("change_pct").isNotNull(), F.struct(F.abs("change_pct"), F.col("symbol")))
     out = rows.groupBy("owner").agg(
         F.count(F.lit(1)).alias("symbols"), F.count("change_pct").alias("priced"),
         F.coalesce(F.sum("_f"), F.lit(0)).alias("alerts"), F.coalesce(F.sum("_b"), F.lit(0)).alias("breaches"),
-        F.max_by("symbol", F.when(size.isNotNull(), size)).alias("top_symbol"), F.max_by("change_pct", F.when(size.isNotNull(), size)).alias("top_pct"))
+        F.max_by("symbol", size).alias("top_symbol"), F.max_by("change_pct", size).alias("top_pct"))
     plural = lambda c, one, many: F.concat(F.col(c).cast("string"), F.when(F.col(c) == 1, one).otherwise(many))
     headline = (
         F.when(F.col("alerts") > 0, plural("alerts", " alert fired", " alerts fired"))

@@ -38,8 +38,8 @@ def alignment_report(aligned: DataFrame, bars: DataFrame, members: DataFrame) ->
         members.select("basket", "symbol").join(have, "symbol", "left").join(per_basket, "basket", "left")
         .withColumns({
             "observations": F.coalesce("observations", F.lit(0)).cast("long"),
-            "reason": F.when(F.col("_bars").isNull(), "no price data available")
-            .when(F.col("_bars") < 2, "no valid return observations in the selected window")
+            "reason": F.when(F.col("_bars").isNull(), "no bars")
+            .when(F.col("_bars") < 2, "too few bars for a return")
             .when(F.col("observations").isNull(), "no common dates in the basket"),
             "_usable": usable,
         })

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from barloom.functions.series import rounded
 from barloom.operators import ml
 from barloom.operators import text as tx
-from barloom.plans.base_sql import BARS, MACD_CTE, RETS, RSI_CTE, full
+from barloom.operators.risk import simple_returns
+from barloom.plans.base_sql import BARS, MACD_CTE, MEMBERS, RETS, RETURNS, RSI_CTE, full
 from barloom.plans.registry import query
 from barloom.session import stage
 from barloom.sources import payloads as pl
-from barloom.sources.market import bars_daily
+from barloom.sources.market import bars_daily, baskets
 from barloom.sources.tables import table
 
 FEAT = f"""{BARS}, {RETS}, {RSI_CTE}, {MACD_CTE}, ft AS MATERIALIZED (SELECT b.symbol, b.ts, b.close, rsi AS rsi_14, macd_hist AS macd_histogram, (b.close - s20) / s20 * 100 AS price_vs_sma20_pct, (s20 - s50) / s50 * 100 AS sma20_vs_sma50_pct,
@@ -139,3 +140,35 @@ def _(spark, sf):
     scored = tx.score(table(spark, sf, "documents"), lexicon(spark, sf), ["doc_id"], "text")
     expected = table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "positive").otherwise("negative").alias("expected"))
     return tx.evaluate(scored, expected, ["doc_id"])
+
+
+_VERBS = ((0.02, "surges"), (0.0, "gains"), (-0.02, "slips"))
+_HEADLINE = " ".join(f"WHEN r >= {b} THEN '{w}'" for b, w in _VERBS)
+_FIN = ", ".join(f"('{t}', {v}::DOUBLE)" for t, v in tx.FINANCE_WORDS.items())
+
+
+@query("ns_finance_headlines", f"""WITH {RETURNS}, hl AS MATERIALIZED (SELECT symbol, ts, symbol || ' stock ' || CASE {_HEADLINE} ELSE 'plunges' END || CASE WHEN abs(r) > 0.04 THEN ' after results miss' ELSE '' END AS title
+    FROM (SELECT symbol, ts, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS r FROM bars) WHERE r IS NOT NULL),
+  lex AS (SELECT * FROM (VALUES {_FIN}) v(term, valence)), gl AS (SELECT DISTINCT term, ((length(term) * 7 + ascii(term)) % 9 - 4)::DOUBLE AS valence FROM (VALUES ('stock'), ('results'), ('miss'), ('gains')) g(term)),
+  ov AS (SELECT * FROM lex UNION ALL SELECT * FROM gl WHERE term NOT IN (SELECT term FROM lex)),
+  tok AS (SELECT symbol, ts, unnest(string_split_regex(lower(title), '[^\\p{{L}}]+')) AS term FROM hl), sm AS (SELECT symbol, ts, sum(valence) AS s FROM tok JOIN ov USING (term) GROUP BY ALL)
+  SELECT symbol, ts, title, round(score, 6) AS score, {CLS} AS label FROM (SELECT hl.*, coalesce(s, 0) / sqrt(coalesce(s, 0) * coalesce(s, 0) + 15) AS score FROM hl LEFT JOIN sm USING (symbol, ts))""")
+def _(spark, sf):
+    """A headline for every daily move, scored by a general lexicon under the finance words."""
+    moved = simple_returns(bars_daily(spark, sf).select("symbol", "ts", "close")).where(F.col("r").isNotNull())
+    verb = F.lit("plunges")
+    for bound, word in reversed(_VERBS):
+        verb = F.when(F.col("r") >= bound, word).otherwise(verb)
+    title = F.concat(F.col("symbol"), F.lit(" stock "), verb, F.when(F.abs("r") > 0.04, " after results miss").otherwise(""))
+    heads = stage(moved.select("symbol", "ts", title.alias("title")))
+    general = spark.createDataFrame([(w, float((len(w) * 7 + ord(w[0])) % 9 - 4)) for w in ("stock", "results", "miss", "gains")], "term string, valence double")
+    scored = tx.score(heads, tx.overlay(general, tx.finance_lexicon(spark)), ["symbol", "ts"], "title")
+    out = heads.join(scored, ["symbol", "ts"])
+    return rounded(out.withColumn("label", tx.classify(F.col("score"))))
+
+
+@query("ml_universe", f"""WITH {MEMBERS[2:]}, h AS (SELECT DISTINCT p_brand AS symbol FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49)
+  SELECT symbol, min(b) AS first_basket FROM (SELECT symbol, 0 AS b FROM mem WHERE basket IN ('basket0', 'basket1') UNION ALL SELECT symbol, 1 FROM h) GROUP BY symbol""")
+def _(spark, sf):
+    lines = table(spark, sf, "lineitem").where("l_quantity > 49").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return ml.training_universe(baskets(spark, sf).where(F.col("basket").isin("basket0", "basket1")), lines.select(F.col("p_brand").alias("symbol")).distinct())

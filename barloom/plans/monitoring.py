@@ -72,8 +72,8 @@ EVAL = f"""ev0 AS (SELECT ru.*, price, last_ts, sma_kind, sma_ts, macd_kind, mac
       WHEN 'rsi_overbought' THEN rsi >= 70 WHEN 'rsi_oversold' THEN rsi <= 30 WHEN 'fundamental' THEN v < threshold ELSE false END, false) AS is_met,
     CASE WHEN trigger_type LIKE 'price%' THEN CASE WHEN price IS NULL THEN 'fetch_error' ELSE 'ok' END WHEN trigger_type LIKE '%cross%' THEN CASE WHEN last_ts IS NULL THEN 'insufficient_data' ELSE 'ok' END
       WHEN trigger_type LIKE 'rsi%' THEN CASE WHEN rsi IS NULL THEN 'insufficient_data' ELSE 'ok' END WHEN trigger_type = 'fundamental' THEN CASE WHEN v IS NULL THEN 'insufficient_data' ELSE 'ok' END ELSE 'fetch_error' END AS status,
-    CASE WHEN trigger_type LIKE 'price%' THEN coalesce(format('current price ${{:,.2f}}', price), 'quote unavailable') WHEN trigger_type LIKE 'sma%' THEN coalesce('latest crossover: ' || sma_kind || ' on ' || strftime(sma_ts, '%Y-%m-%d'), 'no crossover in the loaded history')
-      WHEN trigger_type LIKE 'macd%' THEN coalesce('latest crossover: ' || macd_kind || ' on ' || strftime(macd_ts, '%Y-%m-%d'), 'no crossover in the loaded history')
+    CASE WHEN trigger_type LIKE 'price%' THEN coalesce(format('current price ${{:,.2f}}', price), 'quote unavailable') WHEN trigger_type LIKE 'sma%' THEN coalesce('last crossing ' || strftime(sma_ts, '%Y-%m-%d') || ', ' || sma_kind, 'has not crossed yet')
+      WHEN trigger_type LIKE 'macd%' THEN coalesce('last crossing ' || strftime(macd_ts, '%Y-%m-%d') || ', ' || macd_kind, 'has not crossed yet')
       WHEN trigger_type LIKE 'rsi%' THEN coalesce(format('RSI currently {{:.1f}} (', rsi) || CASE WHEN rsi >= 70 THEN 'overbought' WHEN rsi <= 30 THEN 'oversold' ELSE 'neutral' END || ')', 'RSI not yet computable')
       WHEN trigger_type = 'fundamental' THEN {_FUND} ELSE 'unknown trigger type' END AS detail FROM ev0)"""
 ALERTS = f"{WIDE_SQL}, {SNAP}, {STATE}, {RULES}, {EVAL}"
@@ -146,7 +146,7 @@ def _(spark, sf):
 
 
 DIG_END, DIG_DAYS = "2001-06-30", 30
-MOVES = f"""mv AS MATERIALIZED (SELECT s.symbol, CASE WHEN n IS NULL THEN 'no price data' WHEN n < 2 THEN 'only ' || n || ' closing price(s) in this period' WHEN a = 0 THEN 'opening price was zero' END AS unavailable, a, b FROM (SELECT DISTINCT p_brand AS symbol FROM part) s
+MOVES = f"""mv AS MATERIALIZED (SELECT s.symbol, CASE WHEN n IS NULL THEN 'no closes' WHEN n < 2 THEN 'a single close' WHEN a = 0 THEN 'first close is zero' END AS unavailable, a, b FROM (SELECT DISTINCT p_brand AS symbol FROM part) s
   LEFT JOIN (SELECT symbol, count(*) AS n, arg_min(close, ts) AS a, arg_max(close, ts) AS b FROM bars WHERE ts::DATE >= DATE '{DIG_END}' - {DIG_DAYS} AND ts::DATE < DATE '{DIG_END}' GROUP BY symbol) USING (symbol))"""
 
 
@@ -176,7 +176,7 @@ def _(spark, sf):
 
 @query("dg_digest", f"""WITH {WIDE_SQL}, {SNAP}, {STATE}, {OWNERS}, {MOVES}, {FIRED}, f AS (SELECT symbol, count(*) AS f FROM fired GROUP BY symbol), b AS (SELECT owner, symbol, count(*) AS b FROM br GROUP BY ALL),
   j AS (SELECT owner, symbol, CASE WHEN unavailable IS NULL THEN (mv.b - a) / a * 100 END AS ch, f, b.b AS nb FROM wl_ LEFT JOIN mv USING (symbol) LEFT JOIN f USING (symbol) LEFT JOIN b USING (owner, symbol)),
-  g AS (SELECT owner, count(*) AS symbols, count(ch) AS priced, coalesce(sum(f), 0)::BIGINT AS alerts, coalesce(sum(nb), 0)::BIGINT AS breaches, arg_max(symbol, abs(ch)) AS top_symbol, arg_max(ch, abs(ch)) AS top_pct FROM j GROUP BY owner)
+  g AS (SELECT owner, count(*) AS symbols, count(ch) AS priced, coalesce(sum(f), 0)::BIGINT AS alerts, coalesce(sum(nb), 0)::BIGINT AS breaches, arg_max(symbol, {{'a': abs(ch), 's': symbol}}) FILTER (ch IS NOT NULL) AS top_symbol, arg_max(ch, {{'a': abs(ch), 's': symbol}}) FILTER (ch IS NOT NULL) AS top_pct FROM j GROUP BY owner)
   SELECT owner, symbols, priced, alerts, breaches, top_symbol, round(top_pct, 6) AS top_pct, CASE WHEN alerts > 0 THEN alerts || CASE WHEN alerts = 1 THEN ' alert fired' ELSE ' alerts fired' END WHEN breaches > 0 THEN breaches || CASE WHEN breaches = 1 THEN ' risk threshold breached' ELSE ' risk thresholds breached' END
     WHEN top_pct IS NOT NULL THEN top_symbol || format(' {{:+.1f}}%', top_pct) ELSE 'no material movement' END AS headline FROM g""")
 def _(spark, sf):
@@ -250,13 +250,19 @@ def _(spark, sf):
     return dg.top_flags(dg.flags(flag_state(spark, sf)))
 
 
+_CALM = """CASE WHEN safety_pct IS NULL THEN 'NO VALUATION' WHEN score_pct >= 75 AND safety_pct > -30 THEN 'STRONG BUY' WHEN score_pct >= 75 THEN 'HOLD (PREMIUM)'
+    WHEN score_pct >= 50 AND safety_pct > -25 THEN 'HOLD / WATCHLIST' ELSE 'AVOID' END"""
+MACRO = """(SELECT arg_max(100 + 0.5 * sqrt(value), epoch_us(ts) % 86400000000 * 67108864 + event_id % 67108864) > 25 FROM events WHERE event_type = 'error' AND ts >= (SELECT date_trunc('day', max(ts)) FROM events WHERE event_type = 'error'))"""
+
+
 @query("xd_verdict", f"""WITH {ANALYZED}, {SCORE.replace('FROM an)', 'FROM an)')}, {DCF.replace('FROM an)', 'FROM card)', 1)}
-  SELECT symbol, round(score_pct, 4) AS score_pct, round(safety_pct, 4) AS safety_pct, {DCF_STATUS} AS dcf_status, CASE WHEN safety_pct IS NULL THEN 'NO VALUATION' WHEN score_pct >= 75 AND safety_pct > -30 THEN 'STRONG BUY' WHEN score_pct >= 75 THEN 'HOLD (PREMIUM)'
-    WHEN score_pct >= 50 AND safety_pct > -25 THEN 'HOLD / WATCHLIST' ELSE 'AVOID' END AS verdict FROM dcf""")
+  SELECT symbol, round(score_pct, 4) AS score_pct, round(safety_pct, 4) AS safety_pct, {DCF_STATUS} AS dcf_status, CASE WHEN {MACRO} THEN 'STRONG AVOID' ELSE {_CALM} END AS verdict, {_CALM} AS calm_verdict FROM dcf""")
 def _(spark, sf):
     out = fa.dcf(fa.scorecard(analyzed(spark, sf)), GROWTH)
-    v = dg.verdict(F.col("score_pct"), F.col("safety_pct"), F.lit(False))
-    return rounded(out.select("symbol", "score_pct", "safety_pct", "dcf_status", v.alias("verdict")), 4)
+    fear = bars(event_ticks(spark, sf).where(F.col("symbol") == "error"), "day")
+    both = out.crossJoin(F.broadcast(rk.macro_flag(fear).select("macro_flag")))  # one row
+    v = lambda macro: dg.verdict(F.col("score_pct"), F.col("safety_pct"), macro)
+    return rounded(both.select("symbol", "score_pct", "safety_pct", "dcf_status", v(F.col("macro_flag")).alias("verdict"), v(F.lit(False)).alias("calm_verdict")), 4)
 
 
 _VIEW = ("gross_margin_pct", "operating_margin_pct", "net_margin_pct", "roa_pct", "roe_pct", "roic_pct", "current_ratio_computed", "quick_ratio_computed", "interest_coverage", "altman_z", "pe_computed", "pb_computed", "ev_ebitda", "fcf_yield_pct")

@@ -22,8 +22,8 @@ def _(spark, sf):
 
 @query("pa_alignment_report", f"""WITH {RETURNS}{aligned(N)}, o AS (SELECT basket, count(DISTINCT ts) AS observations FROM aligned GROUP BY basket),
   h AS (SELECT symbol, count(*) AS b FROM bars GROUP BY symbol)
-  SELECT basket, symbol, coalesce(observations, 0) AS observations, CASE WHEN b IS NULL THEN 'no price data available'
-    WHEN b < 2 THEN 'no valid return observations in the selected window' WHEN observations IS NULL THEN 'no common dates in the basket' END AS reason,
+  SELECT basket, symbol, coalesce(observations, 0) AS observations, CASE WHEN b IS NULL THEN 'no bars'
+    WHEN b < 2 THEN 'too few bars for a return' WHEN observations IS NULL THEN 'no common dates in the basket' END AS reason,
     coalesce(observations, 0) >= 20 AND count(*) FILTER (b >= 2) OVER (PARTITION BY basket) >= 2 AS sufficient
   FROM mem LEFT JOIN h USING (symbol) LEFT JOIN o USING (basket)""")
 def _(spark, sf):

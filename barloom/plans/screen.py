@@ -170,17 +170,25 @@ def preferences(spark, sf):
         F.when(k % 5 == 0, F.array(F.lit("Energy"), F.lit("Utilities"))).otherwise(F.array().cast("array<string>")).alias("sectors"))
 
 
-@query("sc_suggestions", f"""WITH {ANALYZED}, us AS (SELECT c_custkey AS user_id, [0.7, 1.0, 1.6][c_custkey % 3 + 1]::DOUBLE AS m, (c_custkey // 3) % 3 AS v, c_custkey % 4 <> 0 AS prof, c_custkey % 5 = 0 AS sec FROM customer),
-  cr AS (SELECT user_id, sec, 'beta' AS metric, '<=' AS op, round(1.5 * m, 2) AS threshold FROM us UNION ALL SELECT user_id, sec, 'debt_to_equity', '<=', round(2.5 * m, 2) FROM us UNION ALL SELECT user_id, sec, 'altman_z', '>=', round(1.81 / m, 2) FROM us
+def _suggestions_sql(source: str, table: str, volatility: bool) -> str:
+    """Criteria of every user against the companies of ``table``; the volatility criterion needs prices."""
+    more = " UNION ALL SELECT user_id, sec, 'annual_volatility_pct', '<=', round(30 * m, 2) FROM us" if volatility else ""
+    value = f" UNION ALL SELECT symbol, sector, 'annual_volatility_pct', ann_vol * 100 FROM {table}" if volatility else ""
+    return f"""WITH {source}, us AS (SELECT c_custkey AS user_id, [0.7, 1.0, 1.6][c_custkey % 3 + 1]::DOUBLE AS m, (c_custkey // 3) % 3 AS v, c_custkey % 4 <> 0 AS prof, c_custkey % 5 = 0 AS sec FROM customer),
+  cr AS (SELECT user_id, sec, 'beta' AS metric, '<=' AS op, round(1.5 * m, 2) AS threshold FROM us UNION ALL SELECT user_id, sec, 'debt_to_equity', '<=', round(2.5 * m, 2) FROM us{more} UNION ALL SELECT user_id, sec, 'altman_z', '>=', round(1.81 / m, 2) FROM us
     UNION ALL SELECT user_id, sec, 'net_margin_pct', '>=', round(10 / m, 2) FROM us WHERE prof UNION ALL SELECT user_id, sec, 'current_ratio', '>=', round(1 / m, 2) FROM us UNION ALL SELECT user_id, sec, 'pe_ratio', '<=', 27 FROM us WHERE v = 1
     UNION ALL SELECT user_id, sec, 'price_to_book', '<=', 4 FROM us WHERE v = 1 UNION ALL SELECT user_id, sec, 'peg_ratio', '<=', 2.5 FROM us WHERE v = 2),
-  lm AS (SELECT symbol, sector, 'beta' AS metric, beta AS value FROM an UNION ALL SELECT symbol, sector, 'debt_to_equity', debt_to_equity FROM an UNION ALL SELECT symbol, sector, 'altman_z', altman_z FROM an UNION ALL SELECT symbol, sector, 'net_margin_pct', net_margin * 100 FROM an
-    UNION ALL SELECT symbol, sector, 'current_ratio', current_ratio FROM an UNION ALL SELECT symbol, sector, 'pe_ratio', pe_ratio FROM an UNION ALL SELECT symbol, sector, 'price_to_book', price_to_book FROM an UNION ALL SELECT symbol, sector, 'peg_ratio', peg_ratio FROM an),
+  lm AS (SELECT symbol, sector, 'beta' AS metric, beta AS value FROM {table} UNION ALL SELECT symbol, sector, 'debt_to_equity', debt_to_equity FROM {table} UNION ALL SELECT symbol, sector, 'altman_z', altman_z FROM {table} UNION ALL SELECT symbol, sector, 'net_margin_pct', net_margin * 100 FROM {table}
+    UNION ALL SELECT symbol, sector, 'current_ratio', current_ratio FROM {table} UNION ALL SELECT symbol, sector, 'pe_ratio', pe_ratio FROM {table} UNION ALL SELECT symbol, sector, 'price_to_book', price_to_book FROM {table} UNION ALL SELECT symbol, sector, 'peg_ratio', peg_ratio FROM {table}{value}),
   t AS (SELECT user_id, symbol, {CMP} AS passed FROM lm JOIN cr USING (metric) WHERE NOT sec OR sector IN ('Energy', 'Utilities')),
   g AS (SELECT user_id, symbol, count(passed) AS n, count(*) FILTER (passed) AS k FROM t GROUP BY ALL HAVING count(passed) >= 3),
   w AS (SELECT *, k / n::DOUBLE AS p, greatest(0, ((k / n::DOUBLE) + 1 / (2.0::DOUBLE * n) - sqrt((k / n::DOUBLE) * (1 - k / n::DOUBLE) / n + 1 / (4.0::DOUBLE * n * n))) / (1 + 1 / n::DOUBLE)) * 100 AS c FROM g)
-  SELECT user_id, symbol, n AS evaluable, k AS matched, round(p * 100, 5) AS match_pct, round(c, 5) AS confidence_pct, row_number() OVER (PARTITION BY user_id ORDER BY round(c, 9) DESC, n DESC, symbol) AS rank FROM w QUALIFY rank <= 10""")
+  SELECT user_id, symbol, n AS evaluable, k AS matched, round(p * 100, 5) AS match_pct, round(c, 5) AS confidence_pct, row_number() OVER (PARTITION BY user_id ORDER BY round(c, 9) DESC, n DESC, symbol) AS rank FROM w QUALIFY rank <= 10"""
+
+
+@query("sc_suggestions", _suggestions_sql(ANALYZED, "an", False))
 def _(spark, sf):
+    """Companies that are not traded: the volatility criterion cannot be evaluated for them and leaves both sides of the score."""
     sets, users = sc.fold_users(preferences(spark, sf))
     wanted = {m: e for m, e in {**sc.SHALLOW, **sc.DEEP}.items() if m != "roe_pct"}
     long = sc.long_metrics(analyzed(spark, sf), wanted, ("symbol", "sector"))
@@ -189,6 +197,17 @@ def _(spark, sf):
     return rounded(out, 5)
 
 
+@query("sc_suggestions_priced", _suggestions_sql(WIDE_SQL, "wide", True))
+def _(spark, sf):
+    """Traded companies, judged by all tiers of metrics."""
+    sets, users = sc.fold_users(preferences(spark, sf))
+    wanted = {m: e for m, e in {**sc.SHALLOW, **sc.DEEP, **sc.PRICE}.items() if m in (
+        "beta", "debt_to_equity", "altman_z", "net_margin_pct", "current_ratio", "pe_ratio", "price_to_book", "peg_ratio", "annual_volatility_pct")}
+    long = sc.long_metrics(risk_inputs(spark, sf), wanted, ("symbol", "sector"))
+    best = sc.suggestions(long, sc.preference_criteria(sets)).withColumnRenamed("user_id", "set_id")
+    return rounded(users.join(best, "set_id").drop("set_id"), 5)
+
+
 @query("sc_available_sectors", f"WITH {YEARLY}, {PROFILE} SELECT DISTINCT sector FROM profile WHERE sector IS NOT NULL AND sector <> '' ORDER BY sector")
 def _(spark, sf):
     return profiles(yearly(spark, sf)).where(F.coalesce("sector", F.lit("")) != "").select("sector").distinct().orderBy("sector")
