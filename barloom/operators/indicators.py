@@ -35,7 +35,7 @@ def rsi(df: DataFrame, n: int = P.RSI_PERIOD) -> DataFrame:
     })
     step = smooth(step, [
         Smooth("_ag", "_gain", wilder(n), min_count=n),
-        Smooth("_al", "_loss", wilder(n), min_count=n),
+        Smooth("_al", "_loss", wilder(n), min_count=n, like="_gain"),
     ])
     ag, al = F.col("_ag"), F.col("_al")
     value = (
@@ -109,7 +109,7 @@ def adx(df: DataFrame, n: int = P.ADX_PERIOD) -> DataFrame:
     step = smooth(step, [
         Smooth("_atr", "_tr", wilder(n), seed=n, positional=True),
         Smooth("_p", "_pdm", wilder(n)),
-        Smooth("_m", "_mdm", wilder(n)),
+        Smooth("_m", "_mdm", wilder(n), like="_pdm"),
     ])
     k = sdiv(F.lit(100.0), F.col("_atr"))
     step = step.withColumns({"plus_di": k * F.col("_p"), "minus_di": k * F.col("_m")})

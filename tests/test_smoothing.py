@@ -80,3 +80,21 @@ def test_a_constant_with_nulls_stays(spark):
     specs = [Smooth("a", "close", 2 / 13), Smooth("b", "close", 1 / 3, seed=5), Smooth("c", "close", 0.1, seed=4, positional=True)]
     out = smooth(df, specs).toPandas()[["a", "b", "c"]].astype(float)
     assert np.nanmax(np.abs(out - 100.0)) < 1e-9 and out["b"].isna().sum() == 4 + 3 and out["c"].isna().sum() == 3
+
+
+def test_like_columns_share_a_sort(spark, bars):
+    """Two columns that are NULL on the same rows, smoothed together and one by one; the plan sorts once less."""
+    from pyspark.sql import functions as F
+
+    from barloom.functions.smoothing import Smooth, smooth
+
+    gone = F.dayofmonth("ts") % 5 == 0
+    df = bars.select("symbol", "ts", F.when(~gone, F.col("close")).alias("a"), F.when(~gone, F.col("high") - 3).alias("b"))
+    both = smooth(df, [Smooth("x", "a", 0.1), Smooth("y", "b", 0.1, like="a"), Smooth("z", "a", 0.2)])
+    apart = smooth(smooth(smooth(df, [Smooth("x", "a", 0.1)]), [Smooth("y", "b", 0.1)]), [Smooth("z", "a", 0.2)])
+    left, right = (d.orderBy("symbol", "ts").toPandas() for d in (both, apart))
+    for c in "xyz":
+        assert (left[c] - right[c]).abs().max() < 1e-9 and (left[c].isna() == right[c].isna()).all()
+    sorts = lambda d: d._jdf.queryExecution().executedPlan().toString().count("Sort [")
+    free = smooth(df, [Smooth("x", "a", 0.1), Smooth("y", "b", 0.1), Smooth("z", "a", 0.2)])
+    assert sorts(both) < sorts(free)
