@@ -40,8 +40,8 @@ def breach_lines(triggered: DataFrame) -> DataFrame:
     return triggered.withColumn("line", text)
 
 
-def build(lists: DataFrame, moved: DataFrame, fired: DataFrame, breaches: DataFrame) -> DataFrame:
-    """One digest row per owner.
+def _counts(lists: DataFrame, moved: DataFrame, fired: DataFrame, breaches: DataFrame) -> DataFrame:
+    """Per owner: symbols, priced ones, alerts, breaches and the largest move.
 
     Symbol-level counts are joined to the watch lists before grouping, so nothing is gathered per owner.
     """
@@ -51,17 +51,41 @@ def build(lists: DataFrame, moved: DataFrame, fired: DataFrame, breaches: DataFr
     rows = names.join(moved, "symbol", "left").join(n_fired, "symbol", "left").join(n_breach, ["owner", "symbol"], "left")
     # equal moves: the later name
     size = F.when(F.col("change_pct").isNotNull(), F.struct(F.abs("change_pct"), F.col("symbol")))
-    out = rows.groupBy("owner").agg(
+    return rows.groupBy("owner").agg(
         F.count(F.lit(1)).alias("symbols"), F.count("change_pct").alias("priced"),
         F.coalesce(F.sum("_f"), F.lit(0)).alias("alerts"), F.coalesce(F.sum("_b"), F.lit(0)).alias("breaches"),
         F.max_by("symbol", size).alias("top_symbol"), F.max_by("change_pct", size).alias("top_pct"))
+
+
+def _headline() -> Column:
     plural = lambda c, one, many: F.concat(F.col(c).cast("string"), F.when(F.col(c) == 1, one).otherwise(many))
-    headline = (
+    return (
         F.when(F.col("alerts") > 0, plural("alerts", " alert fired", " alerts fired"))
         .when(F.col("breaches") > 0, plural("breaches", " risk threshold breached", " risk thresholds breached"))
         .when(F.col("top_pct").isNotNull(), F.concat(F.col("top_symbol"), F.format_string(" %+.1f%%", F.col("top_pct"))))
         .otherwise("no material movement"))
-    return out.withColumn("headline", headline)
+
+
+def build(lists: DataFrame, moved: DataFrame, fired: DataFrame, breaches: DataFrame) -> DataFrame:
+    """One digest row per owner of a watch list, with everything in it."""
+    return _counts(lists, moved, fired, breaches).withColumn("headline", _headline())
+
+
+def build_complete(owners: DataFrame, lists: DataFrame, moved: DataFrame, fired: DataFrame, breaches: DataFrame, lines: DataFrame) -> DataFrame:
+    """One digest row per owner, by the owner's choice of parts, with the portfolio line and notes on what is missing.
+
+    owners(owner, portfolio, watchlist, alerts, risk): the parts are booleans, portfolio may be NULL.  lines(portfolio, line).
+    """
+    mine = owners.select("owner", "portfolio", *[F.col(c).alias(f"_{c}") for c in ("watchlist", "alerts", "risk")])
+    out = mine.join(_counts(lists, moved, fired, breaches), "owner", "left").join(lines, "portfolio", "left")
+    number = lambda c, part: F.when(F.col(part), F.coalesce(c, F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
+    shown = out.select(
+        "owner", "_watchlist", F.coalesce("symbols", F.lit(0).cast("long")).alias("symbols"), number(F.col("priced"), "_watchlist").alias("priced"),
+        number(F.col("alerts"), "_alerts").alias("alerts"), number(F.col("breaches"), "_risk").alias("breaches"),
+        F.when(F.col("_watchlist"), F.col("top_symbol")).alias("top_symbol"), F.when(F.col("_watchlist"), F.col("top_pct")).alias("top_pct"),
+        F.coalesce("line", F.lit("")).alias("portfolio_line"))
+    notes = F.concat_ws("; ", F.when(F.col("_watchlist") & (F.col("symbols") == 0), "nothing on the watch list"), F.when(F.col("portfolio_line") == "", "no holdings, watch list only"))
+    return shown.withColumns({"headline": _headline(), "notes": notes}).drop("_watchlist")
 
 
 def is_due(last_sent: Column, now: Column, period_days: Column) -> Column:

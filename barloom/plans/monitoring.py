@@ -14,7 +14,7 @@ from barloom.operators import fundamentals as fa
 from barloom.operators import holdings as ph
 from barloom.operators import risk as rk
 from barloom.operators import screen as sc
-from barloom.plans.base_sql import BANDS_CTE, BARS, BREAKS, MACD_CTE, RETS, SMA_CTE, flips
+from barloom.plans.base_sql import BANDS_CTE, BARS, BREAKS, MACD_CTE, RETS, RETURNS, SMA_CTE, flips
 from barloom.plans.company_sql import ANALYZED, BRAND_ANALYZED
 from barloom.plans.fundamentals import DCF, DCF_STATUS, GROWTH, QUALITY, SCORE, analyzed
 from barloom.plans.holdings import END, TWR, VALUE, staged_lots
@@ -187,6 +187,38 @@ def _(spark, sf):
     return rounded(dg.build(watch_lists(spark, sf), moved, fired, owner_breaches(spark, sf, daily)))
 
 
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+LINE = f"""l AS (SELECT symbol, arg_max(close, ts) AS price FROM bars GROUP BY symbol), t AS (SELECT portfolio, sum(shares * price) AS mv FROM lots JOIN l USING (symbol) GROUP BY portfolio),
+  m AS (SELECT portfolio, (arg_max(bench, ts) / arg_min(bench, ts) - 1) * 100 AS bp FROM series JOIN bench USING (ts) GROUP BY portfolio),
+  pline AS MATERIALIZED (SELECT portfolio, format('value {{:.0f}}; time-weighted {{:+.2f}}%; vs benchmark {{:+.2f}}%', mv, twr_pct, twr_pct - bp) AS line FROM t JOIN twr USING (portfolio) JOIN m USING (portfolio))"""
+_HELD = VALUE.replace("st AS (SELECT portfolio", "pst AS (SELECT portfolio").replace("JOIN st USING (portfolio)", "JOIN pst USING (portfolio)")
+_PARTS = WIDE_SQL.split(f"{RETURNS}, ", 1)[1]
+
+
+@query("dg_complete_digest", f"""{_HELD}, {TWR}, {LINE}, {RETS}, {_PARTS}, {SNAP}, {STATE}, {OWNERS}, {MOVES}, {FIRED}, f AS (SELECT symbol, count(*) AS f FROM fired GROUP BY symbol), b AS (SELECT owner, symbol, count(*) AS b FROM br GROUP BY ALL),
+  j AS (SELECT owner, symbol, CASE WHEN unavailable IS NULL THEN (mv.b - a) / a * 100 END AS ch, f, b.b AS nb FROM wl_ LEFT JOIN mv USING (symbol) LEFT JOIN f USING (symbol) LEFT JOIN b USING (owner, symbol) WHERE owner <> 'NATION_3'),
+  g AS (SELECT owner, count(*) AS symbols, count(ch) AS priced, coalesce(sum(f), 0)::BIGINT AS alerts, coalesce(sum(nb), 0)::BIGINT AS breaches, arg_max(symbol, {{'a': abs(ch), 's': symbol}}) FILTER (ch IS NOT NULL) AS top_symbol, arg_max(ch, {{'a': abs(ch), 's': symbol}}) FILTER (ch IS NOT NULL) AS top_pct FROM j GROUP BY owner),
+  o AS (SELECT n_name AS owner, n_nationkey % 4 <> 1 AS pw, n_nationkey % 3 <> 0 AS pa, n_nationkey % 5 <> 2 AS pr, [{', '.join(repr(x) for x in SEGMENTS)}][n_nationkey % 6 + 1] AS portfolio FROM nation),
+  z AS (SELECT owner, pw, coalesce(symbols, 0) AS symbols, CASE WHEN pw THEN coalesce(priced, 0) ELSE 0 END AS priced, CASE WHEN pa THEN coalesce(alerts, 0) ELSE 0 END AS alerts, CASE WHEN pr THEN coalesce(breaches, 0) ELSE 0 END AS breaches,
+    CASE WHEN pw THEN top_symbol END AS top_symbol, CASE WHEN pw THEN top_pct END AS top_pct, coalesce(line, '') AS portfolio_line FROM o LEFT JOIN g USING (owner) LEFT JOIN pline USING (portfolio))
+  SELECT owner, symbols, priced, alerts, breaches, top_symbol, round(top_pct, 6) AS top_pct, portfolio_line, CASE WHEN alerts > 0 THEN alerts || CASE WHEN alerts = 1 THEN ' alert fired' ELSE ' alerts fired' END WHEN breaches > 0 THEN breaches || CASE WHEN breaches = 1 THEN ' risk threshold breached' ELSE ' risk thresholds breached' END
+    WHEN top_pct IS NOT NULL THEN top_symbol || format(' {{:+.1f}}%', top_pct) ELSE 'no material movement' END AS headline,
+    concat_ws('; ', CASE WHEN pw AND symbols = 0 THEN 'nothing on the watch list' END, CASE WHEN portfolio_line = '' THEN 'no holdings, watch list only' END) AS notes FROM z""")
+def _(spark, sf):
+    """Owners choose the parts of their digest; one has no watch list, some have no holdings."""
+    daily = staged_closes(spark, sf)
+    end = F.lit(DIG_END).cast("timestamp_ntz")
+    fired = dg.fired_since(indicator_events(daily), end - F.expr(f"INTERVAL {DIG_DAYS} DAYS")).where(F.col("ts") < end)
+    moved = period_moves(spark, sf, closes(spark, sf, days_before(DIG_END, DIG_DAYS), DIG_END))
+    k = F.col("n_nationkey")
+    owners = table(spark, sf, "nation").select(
+        F.col("n_name").alias("owner"), (k % 4 != 1).alias("watchlist"), (k % 3 != 0).alias("alerts"), (k % 5 != 2).alias("risk"),
+        F.get(F.array(*[F.lit(x) for x in SEGMENTS]), (k % 6).cast("int")).alias("portfolio"))
+    lists = watch_lists(spark, sf).where("owner <> 'NATION_3'")
+    lines = dg.portfolio_line(ph.performance(staged_lots(spark, sf), daily, benchmark(daily), F.lit(END).cast("date")))
+    return rounded(dg.build_complete(owners, lists, moved, fired, owner_breaches(spark, sf, daily), lines))
+
+
 @query("dg_is_due", """WITH s AS (SELECT c_custkey AS user_id, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'not a date' ELSE strftime(TIMESTAMP '2001-06-01' + INTERVAL (c_custkey % 40) DAY, '%Y-%m-%d %H:%M:%S') END AS last_sent, 1 + c_custkey % 14 AS period FROM customer)
   SELECT user_id, coalesce(epoch_us(TIMESTAMP '2001-06-30') - epoch_us(try_cast(last_sent AS TIMESTAMP)) >= period * 86400000000, true) AS due FROM s""")
 def _(spark, sf):
