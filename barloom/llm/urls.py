@@ -3,12 +3,17 @@
 A rule fits its host and all subdomains where the url's path starts with the rule's; the longest rule wins.  Urls that
 no rule fits are judged by their host: trust is a personalised PageRank that restarts at the hosts with allowed pages,
 distrust one over the reversed links that restarts at the hosts with blocked pages (who links to bad hosts is
-suspect).  A host restarts with the share of its pages that rules allow or block, and a host without links keeps what
-it has, so scores stay within comparable bounds.  Where distrust exceeds trust by ``MARGIN`` the host's other urls are
-blocked.
+suspect).  A host restarts with the share of its pages that rules allow or block, whatever its links, and scores are in units of
+a whole restart: a host whose pages are all blocked has a distrust of 1 or more, and who only links to it has ``DAMPING`` times
+that at most.  Rounds go on until no score changes by more than ``TOLERANCE``, so every host that a seed reaches has one.
+
+A host's other urls are blocked if its own blocked share exceeds its allowed share by ``MARGIN``, or if its distrust reaches
+``MARGIN`` and exceeds its trust.
 
 Rules are matched per host, not per page: hosts are split into their suffixes, which meet the rules by equality.
-Links are summed per pair of hosts before anything else; the rounds move one row per host and one per pair.
+Links are summed per pair of hosts before anything else; the rounds move one row per host and one per pair and direction, and the
+driver sees one number every ``HOPS`` rounds.  Pages meet what is known of their host under salted keys if the host is crowded, so
+that no task gets all pages of one (``by_host``).
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and is allowed unless a rule says
 otherwise; null html has no links; links to the own host do not count; repeated rows are judged each; extra columns
@@ -25,8 +30,13 @@ from barloom.llm.common import aside, table
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 DAMPING = 0.85
-ROUNDS = 5
+#: Rounds end when no score changes by more; scores are then within TOLERANCE * DAMPING / (1 - DAMPING) or so of the limit.
+TOLERANCE = 1e-5
+#: Rounds between two checkpoints.
+HOPS = 4
 MARGIN = 0.5
+#: A host with more than one in so many rows is crowded; there are fewer than that.
+CROWDED = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = "://([^/?#]*)([^?#]*)"
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
@@ -47,18 +57,37 @@ def parts(pages: DataFrame) -> DataFrame:
         "page_id", _lower(F.regexp_extract(url, URL, 1)).alias("host"), F.regexp_extract(url, URL, 2).alias("path"))
 
 
-def by_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+def crowded_hosts(hosts: DataFrame) -> DataFrame:
+    """Of ``hosts(host, n)`` those with more than one in CROWDED rows: fewer than CROWDED hosts at any size."""
+    rows = hosts.agg(F.sum("n").alias("rows")).first()["rows"] or 0
+    return hosts.where(F.col("n") * CROWDED > rows).select("host")
+
+
+def by_host(rows: DataFrame, facts: DataFrame, crowded: DataFrame) -> DataFrame:
+    """``rows(page_id, host, path, ...)`` with ``fact``, the columns of ``facts`` of their host, if any.
+
+    Facts of crowded hosts are broadcast.  The rows of these hosts pass the shuffle under keys that no host can have (with a
+    slash), dealt by the row's hash, so that a host with a third of all rows is spread over all tasks.
+    """
+    fact = F.struct(*[c for c in facts.columns if c != "host"])
+    few = crowded.join(facts, "host", "left").select("host", fact.alias("few"))
+    marked = rows.join(F.broadcast(few), "host", "left")
+    dealt = F.concat(F.lit("/"), F.pmod(F.xxhash64("page_id", "path"), F.lit(4 * CROWDED)).cast("string"))
+    marked = marked.withColumn("key", F.when(F.col("few").isNull(), F.col("host")).otherwise(dealt))
+    joined = marked.join(facts.select(F.col("host").alias("key"), fact.alias("fact")), "key", "left")
+    return joined.withColumn("fact", F.coalesce("few", "fact")).drop("key", "few")
+
+
+def by_rules(urls: DataFrame, rules: DataFrame, hosts: DataFrame, crowded: DataFrame) -> DataFrame:
     """``page_id, host, path`` with ``rule`` and ``verdict`` (null where no rule fits)."""
-    hosts = urls.select("host").distinct().where("host <> ''")
     labels = F.split("host", "\\.", -1)
     suffix = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    fitting = hosts.select("host", F.explode(suffix).alias("suffix")).join(rules, "suffix")
+    fitting = hosts.where("host <> ''").select("host", F.explode(suffix).alias("suffix")).join(rules, "suffix")
     rule = F.struct(
         F.length(F.concat("suffix", "path")).alias("size"), F.concat("suffix", "path").alias("rule"), F.col("path").alias("path"), "verdict")
     fitting = fitting.groupBy("host").agg(F.collect_set(rule).alias("rules"))
-    judged = urls.join(fitting, "host", "left")
-    longest = F.array_max(F.filter("rules", lambda r: F.col("path").startswith(r["path"])))
-    judged = judged.withColumn("best", longest)
+    longest = F.array_max(F.filter("fact.rules", lambda r: F.col("path").startswith(r["path"])))
+    judged = by_host(urls, fitting, crowded).withColumn("best", longest)
     return judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
 
 
@@ -69,42 +98,53 @@ def links(pages: DataFrame) -> DataFrame:
     return out.where("src <> dst and src <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``host, trust, distrust`` after some rounds; ``seeds(host, good, bad)`` has every host."""
+def spread(seeds: DataFrame, edges: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """``host, good, bad, trust, distrust`` at the limit of the rounds; ``seeds(host, good, bad)`` has every host.
+
+    Every host also moves to itself: that row carries its restart and, for the change of a round, its last scores.
+    A round multiplies what is still to come by ``DAMPING`` at most, so the rounds end.
+    """
     total_out = edges.groupBy("src").agg(F.sum("n").alias("out"))
     total_in = edges.groupBy("dst").agg(F.sum("n").alias("into"))
-    edges = aside(edges.join(total_out, "src").join(total_in, "dst").select(
-        "src", "dst", (F.col("n") / F.col("out")).alias("forward"), (F.col("n") / F.col("into")).alias("back")))
-    hosts = seeds.join(total_out.select(F.col("src").alias("host"), F.lit(True).alias("links")), "host", "left")
-    hosts = hosts.join(total_in.select(F.col("dst").alias("host"), F.lit(True).alias("linked")), "host", "left")
-    hosts = aside(hosts.select("host", "good", "bad", F.col("links").isNull().alias("sink"), F.col("linked").isNull().alias("source")))
-    score = hosts.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
-    for _ in range(rounds):
-        ahead = edges.join(score.withColumnRenamed("host", "src"), "src").select(
-            F.col("dst").alias("host"), (F.col("forward") * F.col("trust")).alias("t"), F.lit(0.0).alias("d"))
-        behind = edges.join(score.withColumnRenamed("host", "dst"), "dst").select(
-            F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("back") * F.col("distrust")).alias("d"))
-        got = ahead.union(behind).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-        score = hosts.join(score, "host").join(got, "host", "left").select(
-            "host",
-            ((1 - DAMPING) * F.col("good") + DAMPING * (F.coalesce("t", F.lit(0.0)) + F.when(F.col("sink"), F.col("trust")).otherwise(0.0))).alias("trust"),
-            ((1 - DAMPING) * F.col("bad") + DAMPING * (F.coalesce("d", F.lit(0.0)) + F.when(F.col("source"), F.col("distrust")).otherwise(0.0))).alias("distrust"))
+    weighed = edges.join(total_out, "src").join(total_in, "dst")
+    none = F.lit(0.0)
+    ahead = weighed.select(
+        F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("n") / F.col("out")).alias("forward"), none.alias("back"),
+        none.alias("good"), none.alias("bad"), none.alias("same"))
+    behind = weighed.select(F.col("dst").alias("a"), F.col("src").alias("b"), none, F.col("n") / F.col("into"), none, none, none)
+    itself = seeds.select(F.col("host").alias("a"), F.col("host").alias("b"), none, none, "good", "bad", F.lit(1.0))
+    moves = aside(ahead.union(behind).union(itself))
+    score = seeds.select(F.col("host").alias("a"), F.col("good").alias("trust"), F.col("bad").alias("distrust"))
+    while True:
+        for _ in range(HOPS):
+            moved = score.select("a", "trust", "distrust").join(moves, "a").groupBy("b").agg(
+                F.sum("good").alias("good"), F.sum("bad").alias("bad"),
+                (F.sum("good") + DAMPING * F.sum(F.col("forward") * F.col("trust"))).alias("trust"),
+                (F.sum("bad") + DAMPING * F.sum(F.col("back") * F.col("distrust"))).alias("distrust"),
+                F.sum(F.col("same") * F.col("trust")).alias("trust0"), F.sum(F.col("same") * F.col("distrust")).alias("distrust0"))
+            score = moved.withColumnRenamed("b", "a")
         score = aside(score)
-    return score
+        change = F.greatest(F.abs(F.col("trust") - F.col("trust0")), F.abs(F.col("distrust") - F.col("distrust0")))
+        if (score.agg(F.max(change).alias("change")).first()["change"] or 0.0) <= tolerance:
+            return score.select(F.col("a").alias("host"), "good", "bad", "trust", "distrust")
 
 
 def judge(pages: DataFrame, rules: DataFrame, margin: float = MARGIN) -> DataFrame:
     """``page_id, host, path, rule, verdict, trust, distrust`` for every page row."""
-    judged = aside(by_rules(parts(pages), rules))
+    urls = parts(pages)
+    hosts = aside(urls.groupBy("host").agg(F.count(F.lit(1)).alias("n")))
+    crowded = aside(crowded_hosts(hosts))
+    judged = aside(by_rules(urls, rules, hosts, crowded))
     share = lambda v: F.avg((F.col("verdict").eqNullSafe(v)).cast("double"))
     own = judged.where("host <> ''").groupBy("host").agg(share("allow").alias("good"), share("block").alias("bad"))
     edges = aside(links(pages))
     linked = edges.select(F.col("dst").alias("host"), F.lit(0.0).alias("good"), F.lit(0.0).alias("bad")).distinct()
-    seeds = own.union(linked).groupBy("host").agg(F.max("good").alias("good"), F.max("bad").alias("bad"))
-    scores = spread(seeds, edges)
-    out = judged.join(scores, "host", "left")
-    method = F.when(F.col("distrust") - F.col("trust") >= margin, "block").otherwise("allow")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"), "trust", "distrust")
+    seeds = aside(own.union(linked).groupBy("host").agg(F.max("good").alias("good"), F.max("bad").alias("bad")))
+    out = by_host(judged, spread(seeds, edges), crowded)
+    by_itself = F.col("fact.bad") - F.col("fact.good") >= margin
+    by_links = (F.col("fact.distrust") >= margin) & (F.col("fact.distrust") > F.col("fact.trust"))
+    method = F.when(by_itself | by_links, "block").otherwise("allow")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"), "fact.trust", "fact.distrust")
 
 
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +152,8 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, rule_table(spark, RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
+#: Rounds of the SQL, more than any table takes to come within TOLERANCE.
+SQL_ROUNDS = 120
 OP2_SQL = f"""
 WITH RECURSIVE rules(verdict, suffix, rpath) AS (VALUES {", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)}),
 u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{URL}', 1), '{UPPER}', '{LOWER}') AS host,
@@ -128,13 +170,11 @@ seeds AS (SELECT host, max(good) AS good, max(bad) AS bad FROM (
             SELECT host, avg(CASE WHEN verdict = 'allow' THEN 1.0 ELSE 0.0 END) AS good,
                    avg(CASE WHEN verdict = 'block' THEN 1.0 ELSE 0.0 END) AS bad FROM judged WHERE host <> '' GROUP BY host
             UNION ALL SELECT DISTINCT dst, 0.0, 0.0 FROM edges) GROUP BY host),
-s0 AS (SELECT host, good AS t, bad AS d FROM seeds),
-""" + ",\n".join(f"""s{i + 1} AS (SELECT h.host,
-  {1 - DAMPING} * good + {DAMPING} * (coalesce((SELECT sum(fw * x.t) FROM w JOIN s{i} x ON x.host = w.src WHERE w.dst = h.host), 0)
-     + CASE WHEN h.host IN (SELECT src FROM w) THEN 0 ELSE p.t END) AS t,
-  {1 - DAMPING} * bad + {DAMPING} * (coalesce((SELECT sum(bk * x.d) FROM w JOIN s{i} x ON x.host = w.dst WHERE w.src = h.host), 0)
-     + CASE WHEN h.host IN (SELECT dst FROM w) THEN 0 ELSE p.d END) AS d
-  FROM seeds h JOIN s{i} p ON p.host = h.host)""" for i in range(ROUNDS)) + f"""
-SELECT page_id, j.host, path, rule, coalesce(verdict, CASE WHEN s.d - s.t >= {MARGIN} THEN 'block' ELSE 'allow' END) AS verdict
-FROM judged j LEFT JOIN s{ROUNDS} s ON s.host = j.host
+moves AS (SELECT src AS a, dst AS b, fw, 0.0::DOUBLE AS bk, 0.0::DOUBLE AS good, 0.0::DOUBLE AS bad FROM w
+          UNION ALL SELECT dst, src, 0.0, bk, 0.0, 0.0 FROM w UNION ALL SELECT host, host, 0.0, 0.0, good, bad FROM seeds),
+s(k, host, t, d) AS (SELECT 0, host, good::DOUBLE, bad::DOUBLE FROM seeds UNION ALL
+  SELECT k + 1, b, sum(good) + {DAMPING}::DOUBLE * sum(fw * t), sum(bad) + {DAMPING}::DOUBLE * sum(bk * d)
+  FROM s JOIN moves ON a = s.host WHERE k < {SQL_ROUNDS} GROUP BY k, b)
+SELECT page_id, j.host, path, rule, coalesce(verdict, CASE WHEN bad - good >= {MARGIN} OR d >= {MARGIN} AND d > t THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged j LEFT JOIN s ON s.host = j.host AND k = {SQL_ROUNDS} LEFT JOIN seeds ON seeds.host = j.host
 """

@@ -41,7 +41,10 @@ def test_url_rules(spark):
     assert urls.judge(frame(spark, [], PAGES), urls.rule_table(spark, urls.RULES)).count() == 0
 
 
-def test_url_scores(spark):
+@pytest.mark.parametrize("crowded", [1000, 10, 1])
+def test_url_scores(spark, monkeypatch, crowded):
+    """With all hosts crowded, some and none."""
+    monkeypatch.setattr(urls, "CROWDED", crowded)
     rng = random.Random(4)
     hosts = [f"h{i}.{rng.choice(['com', 'net', 'org'])}" for i in range(12)]
     rows = []
@@ -61,15 +64,43 @@ def test_url_scores(spark):
     trust, distrust = ({h: s[k] for h, s in share.items()} for k in (0, 1))
     out = {h: sum(n for (a, _), n in edges.items() if a == h) for h in every}
     into = {h: sum(n for (_, b), n in edges.items() if b == h) for h in every}
-    for _ in range(urls.ROUNDS):
-        t = {h: 0.15 * share[h][0] + 0.85 * (sum(n / out[a] * trust[a] for (a, b), n in edges.items() if b == h) + (trust[h] if not out[h] else 0)) for h in every}
-        d = {h: 0.15 * share[h][1] + 0.85 * (sum(n / into[b] * distrust[b] for (a, b), n in edges.items() if a == h) + (distrust[h] if not into[h] else 0))
-             for h in every}
+    for _ in range(300):
+        t = {h: share[h][0] + 0.85 * sum(n / out[a] * trust[a] for (a, b), n in edges.items() if b == h) for h in every}
+        d = {h: share[h][1] + 0.85 * sum(n / into[b] * distrust[b] for (a, b), n in edges.items() if a == h) for h in every}
         trust, distrust = t, d
     for r in got:
-        assert r["trust"] == pytest.approx(trust[r["host"]]) and r["distrust"] == pytest.approx(distrust[r["host"]])
+        h = r["host"]
+        assert r["trust"] == pytest.approx(trust[h], abs=1e-3) and r["distrust"] == pytest.approx(distrust[h], abs=1e-3)
         if r["rule"] is None:
-            assert r["verdict"] == ("block" if distrust[r["host"]] - trust[r["host"]] >= urls.MARGIN else "allow")
+            bad = share[h][1] - share[h][0] >= urls.MARGIN or distrust[h] >= urls.MARGIN and distrust[h] > trust[h]
+            assert r["verdict"] == ("block" if bad else "allow")
+
+
+def link(host):
+    return f'<a href="http://{host}/p">x</a>'
+
+
+def test_url_linked_seed_stays_blocked_and_outranks_its_linker(spark):
+    """Links to a blocked host change nothing about it, and its linkers come below it, along a chain of any length."""
+    chain = [f"h{i}.org" for i in range(30)]
+    rows = [(i, f"http://{a}/p", link(b)) for i, (a, b) in enumerate(zip(chain, chain[1:]))]
+    rows += [(50 + i, "http://h29.org/x/", None) for i in range(9)] + [(60, "http://h29.org/y/", None), (61, "http://far.org/x", None)]
+    rules = spark.createDataFrame([("block", "h29.org", "/x/")], "verdict string, suffix string, path string")
+    got = {r["page_id"]: r for r in urls.judge(frame(spark, rows, PAGES), rules).collect()}
+    assert got[60]["rule"] is None and got[60]["verdict"] == "block" and got[60]["distrust"] == pytest.approx(0.9)
+    for hops in range(1, 30):
+        assert got[29 - hops]["distrust"] == pytest.approx(0.9 * 0.85**hops, abs=1e-4)
+        assert got[29 - hops]["verdict"] == ("block" if 0.9 * 0.85**hops >= 0.5 else "allow")
+    assert got[61]["distrust"] == 0 and got[61]["verdict"] == "allow"
+
+
+def test_url_trust_outweighs_distrust(spark):
+    rows = [(i, f"http://good{i}.org/a/", link("mid.net")) for i in range(3)] + [(10, "http://mid.net/q", link("bad.net")), (11, "http://bad.net/b/", None)]
+    rules = spark.createDataFrame([("allow", "org", "/"), ("block", "bad.net", "/b/")], "verdict string, suffix string, path string")
+    got = {r["page_id"]: r for r in urls.judge(frame(spark, rows, PAGES), rules).collect()}
+    assert (got[10]["trust"], got[10]["distrust"], got[10]["verdict"]) == (pytest.approx(2.55), pytest.approx(0.85), "allow")
+    without = {r["page_id"]: r["verdict"] for r in urls.judge(frame(spark, rows[3:], PAGES), rules).collect()}
+    assert without == {10: "block", 11: "block"}
 
 
 # -- chat --------------------------------------------------------------------------------------------------------------
