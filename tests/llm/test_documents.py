@@ -11,6 +11,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.llm import bpe, mixing, neardup, pii, quality, tokenfile
 from barloom.session import ensure_checkpoint_dir
@@ -121,11 +122,12 @@ def test_pii_added_spans_and_redaction(spark, empty):
 # -- mixing ------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("weights", [None, {"a": 5.0, "b": 1.0, "c": 2.5, None: 0.3, "": 0.1}])
+@pytest.mark.parametrize("weights", [None, {"a": 5.0, "b": 1.0, "c": 2.5, None: 0.3, "": 0.1}, {"a": 1.0, "b": 0.0123456789, "c": 2 / 3, None: 1e-4, "": 7e-4}])
 def test_mixing_deviates_less_than_a_block(spark, weights):
+    """From the target weights themselves, at every prefix."""
     sizes = {"a": 900, "b": 120, "c": 33, None: 5, "": 1}
     rows = [(i * 10 + k, "t", None, s, 1) for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
-    out = mixing.mix(frame(spark, rows).repartition(5), weights).select("row.source", "row.doc_id", "block", "copy", "slot", "seat").collect()
+    out = mixing.mix(frame(spark, rows).repartition(5), weights).select("row.source", "row.doc_id", "unit", "copy", "slot", "seat").collect()
     for source, n in sizes.items():
         own = [r for r in out if r["source"] == source]
         assert {r["doc_id"] for r in own} == {r[0] for r in rows if r[3] == source}
@@ -134,16 +136,33 @@ def test_mixing_deviates_less_than_a_block(spark, weights):
         assert len(first) == n and len({r["doc_id"] for r in first}) == n
     by_slot = {r["slot"]: r["source"] for r in out}
     assert sorted(by_slot) == list(range(len(by_slot)))
-    period = mixing.PERIOD
-    keys = {s: "null" if s is None else f"={s}" for s in sizes}
-    frame_sizes = spark.createDataFrame([(keys[s], n) for s, n in sizes.items()], "key string, n long")
-    shares = {x["key"]: x["share"] for x in mixing.shares(frame_sizes, weights, mixing.EVENNESS).first()["sources"]}
-    assert sum(shares.values()) == period and min(shares.values()) >= 1
+    wanted = {s: (weights[s] if weights else n**mixing.EVENNESS) for s, n in sizes.items()}
     had = Counter()
     for slot in range(len(by_slot)):
         had[by_slot[slot]] += 1
         for s in sizes:
-            assert abs(had[s] - shares[keys[s]] * (slot + 1) / period) < 1
+            assert abs(had[s] - wanted[s] / sum(wanted.values()) * (slot + 1)) * mixing.UNIT < mixing.BLOCK
+    last = by_slot[len(by_slot) - 1]  # the mix ends with the first use of a last unit
+    assert had[last] == -(-sizes[last] // mixing.UNIT)
+
+
+def test_mixing_weights_far_into_a_mix(spark):
+    """A rare source of weight 1e-6 in a mix of millions of units, by the closed form of the counts."""
+    weights = {"x": 0.6180339887, "y": 0.3819650113, "z": 0.000001}
+    sizes = spark.createDataFrame([(f"={s}", 10) for s in weights], "key string, n long")
+    planned = mixing.levels(mixing.targets(sizes, weights)).cache()
+    for slots in (999, 123_456, 7_654_321, 1_000_000_007, 10**12):
+        counts = {r["key"]: sum(r[1]) for r in planned.select("key", mixing._counts(F.lit(slots))).collect()}
+        assert sum(counts.values()) == slots
+        if slots <= 10**9 + 7:
+            assert all(abs(counts[f"={s}"] - w * slots) < 2 * mixing.LEVELS for s, w in weights.items())
+    planned.unpersist()
+
+
+def test_mixing_many_sources(spark):
+    rows = [(i, "t", None, f"s{i % 130}", 1) for i in range(400)]
+    out = mixing.mix(frame(spark, rows)).select("row.doc_id", "slot", "seat").collect()
+    assert {r["doc_id"] for r in out} == set(range(400)) and len({(r["slot"], r["seat"]) for r in out}) == len(out)
 
 
 def test_mixing_odd_rows(spark, docs, empty):
