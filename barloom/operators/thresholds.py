@@ -27,17 +27,25 @@ PAIRS = (
 
 
 def effective(users: DataFrame, overrides: DataFrame) -> DataFrame:
-    """(user_id, key, value, overridden); overrides(user_id, key, value) outside their bounds are ignored."""
-    specs = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.lit(d).alias("default"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for k, d, lo, hi in EDITABLE]))
-    base = users.select("user_id", specs.alias("s")).select("user_id", "s.*")
-    out = base.join(overrides.withColumnRenamed("value", "_v"), ["user_id", "key"], "left")
+    """(user_id, key, value, overridden); overrides(user_id, key, value) outside their bounds are ignored.
+
+    Users meet their overrides as one row each, dealt by user; thresholds are spelled out only behind that.
+    """
+    specs = {k: F.struct(F.lit(k).alias("key"), F.lit(d).alias("default"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(1 << i).alias("bit")) for i, (k, d, lo, hi) in enumerate(EDITABLE)}
+    spec = F.create_map(*[x for k, v in specs.items() for x in (F.lit(k), v)])[F.col("key")]
+    spread = users.select("user_id").repartition("user_id")
+    given = overrides.select("user_id", F.col("value").alias("_v"), spec.alias("s")).where(F.col("s").isNotNull()).select("user_id", "_v", "s.*").repartition("user_id")
     ok = F.coalesce(F.col("_v").between(F.col("lo"), F.col("hi")), F.lit(False))
-    return out.select("user_id", "key", F.when(ok, F.col("_v")).otherwise(F.col("default")).alias("value"), ok.alias("overridden"))
+    own = spread.join(given, "user_id").select("user_id", "key", F.when(ok, F.col("_v")).otherwise(F.col("default")).alias("value"), ok.alias("overridden"))
+    bits = given.groupBy("user_id").agg(F.bit_or("bit").alias("bits"))
+    rest = F.filter(F.array(*specs.values()), lambda s: s["bit"].bitwiseAND(F.coalesce("bits", F.lit(0))) == 0)
+    shipped = spread.join(bits, "user_id", "left").select("user_id", F.explode(rest).alias("s"))
+    return shipped.select("user_id", "s.key", F.col("s.default").alias("value"), F.lit(False).alias("overridden")).union(own)
 
 
 def by_user(values: DataFrame) -> DataFrame:
-    """One row per user with one column per threshold."""
-    return values.groupBy("user_id").pivot("key", [k for k, *_ in EDITABLE]).agg(F.first("value"))
+    """One row per user with one column per threshold, in one aggregation that starts where a user's rows are."""
+    return values.groupBy("user_id").agg(*[F.first(F.when(F.col("key") == k, F.col("value")), ignorenulls=True).alias(k) for k, *_ in EDITABLE])
 
 
 def problems(wide: DataFrame, sector_rows: DataFrame | None = None) -> DataFrame:
@@ -47,7 +55,7 @@ def problems(wide: DataFrame, sector_rows: DataFrame | None = None) -> DataFrame
         empty = sector_rows.where(F.coalesce(F.trim("sector") != "", F.lit(False)) & (F.col("hi") <= F.col("lo")))
         named = F.concat(F.lit("sector "), F.col("sector"), F.lit(": P/E band low must be below high"))
         # at most one row per sector and user
-        own = empty.groupBy("user_id").agg(F.array_sort(F.collect_set(named)).alias("_sectors"))
+        own = empty.repartition("user_id").groupBy("user_id").agg(F.array_sort(F.collect_set(named)).alias("_sectors"))
         wide = wide.join(own, "user_id", "left")
         texts.append(F.coalesce("_sectors", F.array().cast("array<string>")))
     return wide.select("user_id", F.concat_ws("; ", *texts).alias("problems"))

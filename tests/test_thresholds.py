@@ -63,3 +63,26 @@ def test_sector_bands_are_reported(spark):
     users, overrides, removed, rows = tables(spark)
     got = {r.user_id: r.problems for r in th.problems(th.by_user(th.effective(users, overrides)), rows).collect()}
     assert got[2] == "sector Energy: P/E band low must be below high" and got[1] == "" and got[3] == ""
+
+
+def test_effective_and_wide_with_repeated_and_null_users(spark):
+    users = spark.createDataFrame([(1,), (1,), (2,), (3,), (None,)], "user_id long")
+    rows = [(1, "min_net_margin", 0.2), (2, "max_beta", 99.0), (2, "min_roic_pct", None), (2, None, 1.0), (None, "max_beta", 0.5), (4, "max_beta", 0.5), (3, "max_beta", 0.5), (3, "max_beta", 0.5)]
+    values = th.effective(users, spark.createDataFrame(rows, "user_id long, key string, value double"))
+    assert values.columns == ["user_id", "key", "value", "overridden"]
+    defaults = {k: d for k, d, *_ in th.EDITABLE}
+    got = sorted(((r.user_id or 0, r.key, r.value, r.overridden) for r in values.collect()))
+    want = [(u, k, d, False) for u in (0, 1, 1, 2, 3) for k, d in defaults.items() if (u, k) not in ((1, "min_net_margin"), (3, "max_beta"))]
+    assert got == sorted(want + [(1, "min_net_margin", 0.2, True)] * 2 + [(3, "max_beta", 0.5, True)] * 2)
+    wide = {r.user_id: r.asDict() for r in th.by_user(values).collect()}
+    assert len(wide) == 4 and wide[1] == {"user_id": 1, **defaults, "min_net_margin": 0.2} and wide[None] == {"user_id": None, **defaults}
+
+
+def test_thresholds_are_spelled_out_behind_the_shuffle_of_users(spark):
+    users, overrides, _, rows = tables(spark)
+    plan = th.problems(th.by_user(th.effective(users, overrides)), rows)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    spelled = next(i for i, line in enumerate(lines) if "Generate explode" in line)
+    # no task before the shuffle holds all thresholds of its users, and no aggregation is by user and key
+    assert any("Exchange hashpartitioning(user_id" in line for line in lines[spelled:])
+    assert not any("Aggregate(keys=[user_id" in line and ", key#" in line.split("]")[0] for line in lines)
