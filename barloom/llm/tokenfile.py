@@ -39,9 +39,11 @@ SEGMENT_IDS = 65_536
 END_ID = 2
 CHUNK_CHARS = 400_000
 CACHED_WORDS = 1_400_000
-MARKS = (".", ",")
-#: Words of composed Latin letters, where lower case is a matter of single letters.
-LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+#: Words of printable ASCII and composed Latin letters, where lower case is a matter of single letters and the vocabulary's rule is PIECE.
+LATIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+").findall
+#: What special tokens begin with, and what the last id of a piece ends in.
+SPECIAL, LAST = "<|", "</w>"
 HEAD = struct.Struct("<IHHB")
 SEGMENTS = "shard int, segment int, first long, n_ids long, doc_ids array<long>, doc_lengths array<int>, payload binary"
 
@@ -124,7 +126,7 @@ class Encoder:
 
     The vocabulary's own rules never join text across a space or line end, so the parts between them can be encoded one by one.
     Special tokens that stand in a text get their ids, as by the library's defaults; none of them holds a space.
-    They also lower-case, and split letters from a full stop or comma, so a word of Latin letters shares its entry with its lower case.
+    They also lower-case, and split runs of letters, digits and signs, so a word of Latin letters and ASCII shares the entries of its pieces.
     """
 
     def __init__(self, path: str):
@@ -134,31 +136,40 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.words = Words()
         self.end = np.array([END_ID], "<u4").tobytes()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith(LAST)]] = True
 
     def _learn(self) -> None:
-        """Encode the new words in one call; the library says which word each id came from."""
-        words, split, plain = self.words, {}, {}
+        """Encode the new words: the pieces of most in one call, where every piece has one last id; others so that the library says which id is whose."""
+        words, split, pieces, plain = self.words, {}, {}, []
         for word in words.new:
-            core, mark = (word[:-1], word[-1]) if word[-1:] in MARKS else (word, "")
-            lower = core.lower()
-            if (mark or lower != core) and LATIN(core):
-                split[word] = lower, mark
-                for part in (lower, mark):
+            if LATIN(word) and SPECIAL not in word:
+                split[word] = parts = PIECE(word.lower())
+                for part in parts:
                     if not words.get(part):
-                        plain[part] = None
-            else:
-                plain[word] = None
-        asked = [w for w in plain if w]
-        found = self.tokenizer.encode(asked, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, "<u4").tobytes()
-        ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(asked)), side="right")
-        at = 0
+                        pieces[part] = None
+            elif word:
+                plain.append(word)
+        asked = list(pieces)
+        # the short form of an encoding has no places in the text
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(asked)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(asked):
+            self._note(asked, ids, ends)
+        else:
+            plain += asked
+        found = self.tokenizer.encode(plain, is_pretokenized=True, add_special_tokens=False)
+        self._note(plain, np.array(found.ids, "<u4"), np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(plain)), side="right"))
+        for word, parts in split.items():
+            words[word] = b"".join([words[p] for p in parts])
+        words.new = []
+
+    def _note(self, asked: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        packed, at = ids.tobytes(), 0
         for word, end in zip(asked, (4 * ends).tolist()):
-            words[word] = ids[at:end]
+            self.words[word] = packed[at:end]
             at = end
-        for word, (lower, mark) in split.items():
-            words[word] = words[lower] + words[mark]
-        words.new = []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.words) > CACHED_WORDS:

@@ -241,6 +241,21 @@ def test_token_file(spark, docs, empty):
         assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
 
 
+def test_token_file_words_share_pieces():
+    """Words of letters, digits and signs are learnt by pieces, each once; all ids are the library's."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import random
+
+    encoder = tokenfile.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    encoder.encode(["Quzzle!! quzzle%% (QUZZLE) 7quzzle"])
+    assert "quzzle" in encoder.words and encoder.words["Quzzle!!"] == encoder.words["quzzle"] + encoder.words["!!"] != b""
+    rng = random.Random(8)
+    parts = [*"aAzZsStTdDmMlLrReEvV.,!?<|>09 \n\t_-éÉßÀÿ×÷ªº²½İſ́ 　µ%$", "'", "'", "<|endoftext|>", "'ll", "'RE", "''s"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(3000)]
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert ids.tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+
+
 def test_token_file_special_strings():
     """Texts that hold the vocabulary's special strings, against an unmodified tokenizer."""
     public_tokenizers = pytest.importorskip("public_tokenizers")
