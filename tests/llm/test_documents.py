@@ -378,6 +378,44 @@ def test_neardup_candidates_near_the_threshold():
             assert neardup.alike(a, b) and set(neardup.keys_of(a)) & set(neardup.keys_of(b))
 
 
+@pytest.mark.parametrize("n", [5, 20, 50, 200])
+def test_parities_keep_all_pairs_at_the_threshold(n):
+    """Up to a fifth of the words replaced, dropped or added changes two parities an edit at most; short texts with half the words in common mostly fail that."""
+    rng = np.random.default_rng(n)
+    unlike = lambda a, b: sum(bin(int(x) & (2**64 - 1)).count("1") for x in neardup.parities(a) ^ neardup.parities(b))
+    other = 0
+    with np.errstate(over="ignore"):
+        for _ in range(300):
+            a = rng.integers(0, n, n).astype(np.uint32)
+            b = a.copy()
+            b[rng.choice(n, n // 5, replace=False)] = rng.integers(0, 2**32, n // 5)
+            assert unlike(a, b) <= 2 * (n // 5) and unlike(a, a[n // 5:]) <= n // 5 and unlike(a, rng.permutation(a)) == 0
+            c = rng.integers(0, 2**32, n).astype(np.uint32)
+            c[: n // 2] = a[: n // 2]
+            other += unlike(a, c) <= 2 * (n // 5)
+    assert n == 200 or other < 60
+    assert not neardup.parities(np.zeros(0, np.uint32)).any()
+
+
+def test_neardup_judges_a_pair_in_one_bucket(spark):
+    """Three texts in the same three buckets: each pair comes from the first sketch it shares, and a pair ruled out by its words from none."""
+    marks = {"x": [1, 2, 3], "y": [1, 2, 3], "z": [9, 2, 3]}
+    fixed = "n_words int, s0 long, s1 long, p0 long, p1 long, marks array<int>"
+
+    def met(parity):
+        facts = {k: (10, 0, 0, parity if k == "z" else 0, 0, v) for k, v in marks.items()}
+        own = [(s, k.encode(), k.encode(), False, nth, *facts[k]) for k, v in marks.items() for nth, s in enumerate(v)]
+        leaders = [(s, k.encode(), k.encode(), *facts[k]) for k in "xz" for s in marks[k]]
+        its = ", ".join(f"its_{c}" for c in fixed.split(", "))
+        return neardup._pairs(
+            spark.createDataFrame(own, f"sketch long, digest binary, root binary, led boolean, nth int, {fixed}"),
+            spark.createDataFrame(leaders, f"sketch long, leader binary, its_root binary, {its}"))
+
+    got = Counter(bytes(r["a"]) + bytes(r["b"]) for r in met(0b1111).collect())
+    assert got == {b"xy": 1, b"xz": 2, b"yz": 1}  # x and z lead both
+    assert Counter(bytes(r["a"]) + bytes(r["b"]) for r in met(0b11111).collect()) == {b"xy": 1}
+
+
 def test_neardup_odd_rows(docs, empty):
     got = neardup.groups(docs).collect()
     assert len(got) == len(ROWS)
