@@ -16,6 +16,7 @@ every bucket row carries, ``BITS`` min-wise bits of the labelled words, rules ou
 In the later rounds two more tests come first.  ``BITS`` parities of the labelled words differ in two places an edit at most, which rules out most
 short texts that share some runs and never a pair of ``SIMILARITY``.  And a pair of texts is judged in the bucket of the first hash function
 whose sketches are equal, or in their buckets of runs if there is none, not in all buckets that they share.
+The pairs to align are dealt out in tiles by bucket, and a tile gets the words of a text once (``judged``).
 
 Texts with the same words are one class from the start and are never paired.  Inside a bucket of equal sketches all members are
 compared with one leader, not with each other.  The first rounds use a few hash functions, so that most copies are joined
@@ -38,6 +39,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,8 @@ SHORT = 50
 #: (hash functions, leaders a bucket) of the first rounds; later rounds use all functions, runs of short texts too, and MORE times as many leaders.
 FIRST_ROUNDS = ((4, 1), (12, 1), (SKETCHES, 1))
 MORE = 8
+#: Pairs that are judged together.
+TILE = 1024
 #: Hashes held at once while sketching.
 WIDE = 1_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -286,12 +290,31 @@ def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made[:, 0]), pa.array(made[:, 1])], [*batch.schema.names, "p0", "p1"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _judge(rows: pa.Table) -> pa.Table:
+    """The alike pairs of a tile: its rows are pairs ``a, b`` and texts ``a, words``."""
+    texts = rows.filter(pc.is_valid(rows.column("words")))
+    held = {x.as_py(): np.frombuffer(w.as_buffer(), np.uint32) for x, w in zip(texts.column("a"), texts.column("words"))}
+    pairs = rows.filter(pc.is_null(rows.column("words"))).select(["a", "b"])
     with np.errstate(over="ignore"):
-        for batch in batches:
-            one, two = batch.column("words_a"), batch.column("words_b")
-            hit = [alike(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)) for x, y in zip(one, two)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
+        hit = [alike(held[x], held[y]) for x, y in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist())]
+    return pairs.filter(pa.array(hit, pa.bool_()))
+
+
+def judged(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """The alike ones of ``pairs(a, b, sketch)``, a table set aside, by the ``words`` of every ``digest``.
+
+    Pairs are dealt out in tiles of about ``TILE``, and a tile gets the words of each of its texts once.  Small buckets share tiles; a bucket of
+    many pairs is cut by a hash of either side, so that texts which all meet each other are not sent once a pair.
+    """
+    tiles = max(1, pairs.count() // TILE)
+    crowded = pairs.groupBy("sketch").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * TILE)
+    crowded = crowded.select("sketch", F.ceil(F.sqrt(F.col("n") / TILE)).alias("cuts"))  # one row for 2 * TILE pairs at most
+    cell = F.xxhash64("sketch", F.pmod(F.xxhash64("a"), "cuts"), F.pmod(F.xxhash64("b"), "cuts"))
+    tile = F.when(F.col("cuts").isNull(), F.pmod(F.xxhash64("sketch"), F.lit(tiles))).otherwise(cell)
+    dealt = pairs.join(F.broadcast(crowded), "sketch", "left").select(tile.alias("tile"), "a", "b")
+    texts = dealt.select("tile", F.col("a").alias("digest")).union(dealt.select("tile", "b")).distinct().join(words.select("digest", "words"), "digest")
+    rows = dealt.withColumn("words", F.lit(None).cast("binary")).union(texts.select("tile", "digest", F.lit(None).cast("binary"), "words"))
+    return aside(rows.groupBy("tile").applyInArrow(_judge, "a binary, b binary"))
 
 
 def links(found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -328,26 +351,28 @@ def links(found: DataFrame) -> tuple[DataFrame, DataFrame]:
             closer = aside(words.select("digest", "p0", "p1", "marks")) if closer is None else closer
             rest = rest.join(closer, "digest")
             led_by = leaders.join(closer.select(F.col("digest").alias("leader"), *(F.col(c).alias(f"its_{c}") for c in ("p0", "p1", "marks"))), "leader")
-        pairs = _pairs(rest, led_by).distinct()
-        told = pairs.join(words.select(F.col("digest").alias("a"), F.col("words").alias("words_a")), "a")
-        told = told.join(words.select(F.col("digest").alias("b"), F.col("words").alias("words_b")), "b")
-        new = aside(told.select("a", "b", "words_a", "words_b").mapInArrow(_verify, "a binary, b binary"))
-        near = new if near is None else near.union(new)
-        roots = components(near)
+        pairs = aside(_pairs(rest, led_by).groupBy("a", "b").agg(F.min("sketch").alias("sketch")))
+        new = judged(pairs, words)
+        if near is None or not new.isEmpty():
+            near = new if near is None else near.union(new)
+            roots = components(near)
         now = leaders.select("sketch", F.col("leader").alias("node"))
         sent = now if sent is None else sent.union(now)
 
 
 def _pairs(own: DataFrame, leaders: DataFrame) -> DataFrame:
-    """``a, b`` of members and leaders that meet in a bucket and that nothing in their rows rules out."""
+    """``a, b, sketch`` of members and leaders that meet in a bucket and that nothing in their rows rules out."""
     longer = F.greatest("n_words", "its_n_words")
     fits = (F.least("n_words", "its_n_words") >= SIMILARITY * longer) & (_unlike("s0", "s1") <= UNLIKE)
     if "marks" in own.columns:
-        first = F.array_position(F.zip_with("marks", "its_marks", lambda x, y: x == y), True)  # from 1; 0: none
-        fits &= (_unlike("p0", "p1") <= 2 * F.floor((1 - SIMILARITY) * longer + 1e-9)) & ((first == 0) | (first == F.col("nth") + 1))
+        fits &= _unlike("p0", "p1") <= 2 * F.floor((1 - SIMILARITY) * longer + 1e-9)
     # who led before has met everybody outside its component
-    met = own.where("not led").join(leaders, "sketch").where((F.col("root") != F.col("its_root")) & fits)
-    return met.select(F.least("leader", "digest").alias("a"), F.greatest("leader", "digest").alias("b"))
+    met = own.where("not led").join(leaders, "sketch").where(fits & (F.col("root") != F.col("its_root")))
+    if "marks" in own.columns:
+        first = F.array_position(F.zip_with("marks", "its_marks", lambda x, y: x == y), True)  # from 1; 0: none
+        # the generator keeps this test out of the join, whose condition is compiled without it and sees every member with every leader
+        met = met.withColumn("first", F.explode(F.array(first))).where((F.col("first") == 0) | (F.col("first") == F.col("nth") + 1))
+    return met.select(F.least("leader", "digest").alias("a"), F.greatest("leader", "digest").alias("b"), "sketch")
 
 
 def _unlike(*columns: str) -> Column:

@@ -416,6 +416,37 @@ def test_neardup_judges_a_pair_in_one_bucket(spark):
     assert Counter(bytes(r["a"]) + bytes(r["b"]) for r in met(0b11111).collect()) == {b"xy": 1}
 
 
+def test_neardup_sees_every_pair_of_a_bucket_in_compiled_code(spark):
+    """The join condition of members and leaders holds no function of arrays: such a function is not compiled, and runs for each pair of a crowded bucket."""
+    fixed = "n_words int, s0 long, s1 long, p0 long, p1 long, marks array<int>"
+    its = ", ".join(f"its_{c}" for c in fixed.split(", "))
+    own = spark.createDataFrame([], f"sketch long, digest binary, root binary, led boolean, nth int, {fixed}")
+    plan = neardup._pairs(own, spark.createDataFrame([], f"sketch long, leader binary, its_root binary, {its}"))._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 1 and "bit_count" in joins[0] and "lambda" not in joins[0] and "lambda" in plan
+
+
+@pytest.mark.parametrize("tile", [4, 50, 100_000])
+def test_neardup_judges_pairs_in_tiles(spark, monkeypatch, tile):
+    """One bucket in which all texts meet and many buckets of one pair: every pair is judged once, with tiles of any size, and a tile gets a text once."""
+    monkeypatch.setattr(neardup, "TILE", tile)
+    rng = np.random.default_rng(tile)
+    texts = {}
+    for i in range(40):
+        a = rng.integers(0, 2**32, 60).astype(np.uint32)
+        if i % 3:
+            a = texts[b"%03d" % (i - 1)].copy()
+            a[rng.choice(60, 7, replace=False)] += 1
+        texts[b"%03d" % i] = a
+    dense = sorted(texts)[:25]
+    pairs = [(a, b, 7) for a, b in combinations(dense, 2)] + [(a, b, 100 + i) for i, (a, b) in enumerate(zip(sorted(texts)[25:], sorted(texts)[26:]))]
+    words = spark.createDataFrame([(k, v.tobytes()) for k, v in texts.items()], "digest binary, words binary")
+    got = sorted((bytes(r["a"]), bytes(r["b"])) for r in neardup.judged(spark.createDataFrame(pairs, "a binary, b binary, sketch long"), words).collect())
+    with np.errstate(over="ignore"):
+        assert got == sorted((a, b) for a, b, _ in pairs if neardup.alike(texts[a], texts[b])) and len(got) > 20
+    assert neardup.judged(spark.createDataFrame([], "a binary, b binary, sketch long"), words).count() == 0
+
+
 def test_neardup_odd_rows(docs, empty):
     got = neardup.groups(docs).collect()
     assert len(got) == len(ROWS)
