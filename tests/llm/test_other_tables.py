@@ -246,6 +246,41 @@ def test_embedding_links(spark, tile, monkeypatch):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+@pytest.mark.parametrize("limit", [4000, 32_000_000])
+def test_embedding_shares(spark, monkeypatch, limit):
+    """Vectors that may all have links in all cells are sent once, in shares of bounded size, and links across shares, cells and lengths come out right."""
+    monkeypatch.setattr(embeddup, "TILE", 16)
+    monkeypatch.setattr(embeddup, "SHARE_BYTES", limit)
+    rng = np.random.default_rng(9)
+    made = list(rng.normal(size=(300, 8))) + [rng.normal(size=8) + 4 for _ in range(60)] + list(rng.normal(size=(20, 5)))
+    rows = [(i, [float(x) for x in np.float32(v)], 0) for i, v in enumerate(made)]
+    got = embeddup.links(frame(spark, rows, VECTORS).repartition(3)).collect()
+    want = brute_links(rows)
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in got), key=str) == want and sum(n for _, n, _ in want) > 100
+    homes = [(bytes([i % 256, i // 256] * 8), np.array(v, np.float32).tobytes(), 1, i % 7 if len(v) == 8 else -5) for i, v, _ in rows]
+    packed, count = embeddup.shares(spark.createDataFrame(homes, "digest binary, vector binary, copies long, cell int"), "<f4")
+    packed = packed.collect()
+    assert 1 < len(packed) <= count and sum(sum(r["sizes"]) for r in packed) == len(rows)
+    assert sorted(bytes(r["digests"][i:i + 16]) for r in packed for i in range(0, len(r["digests"]), 16)) == sorted(h[0] for h in homes)
+    assert all(len(r["vectors"]) <= limit for r in packed)
+
+
+def test_embedding_rounding_at_the_threshold():
+    """Cosines next to COSINE are decided in double precision."""
+    rng = np.random.default_rng(2)
+    left = rng.normal(size=(40, 16))
+    left /= np.linalg.norm(left, axis=1, keepdims=True)
+    right, wanted = [], []
+    for i, a in enumerate(left):
+        other = rng.normal(size=16)
+        other -= other @ a * a
+        cosine = embeddup.COSINE + (1e-9 if i % 2 else -1e-9)
+        right.append(cosine * a + np.sqrt(1 - cosine**2) * other / np.linalg.norm(other))
+        wanted += [(i, i)] * (i % 2)
+    one, two = embeddup.linked(left, np.stack(right))
+    assert sorted(zip(one.tolist(), two.tolist())) == wanted
+
+
 def test_embedding_empty(spark):
     assert embeddup.links(frame(spark, [], VECTORS)).count() == 0
 
